@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm.packing import pack_documents
 from docloom.llm.pii import find_pii
 from docloom.llm.simhash import simhash_groups
+from docloom.llm.toxicity import fit_toxicity, score_toxicity
 from docloom.session import read_table
 
 
@@ -22,6 +23,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_pii": op6_pii, "op9_packing": op9_packing}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op6_pii": op6_pii, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
 #: None of these operators can be put in SQL within reason; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
