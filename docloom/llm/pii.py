@@ -9,8 +9,9 @@ import re
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.boosting import BoostedTrees
@@ -247,6 +248,22 @@ def _scan(examples: int, precision: float):
     return run
 
 
+def redacted_text(text: Column, examples: int = TRAIN_EXAMPLES, precision: float = PRECISION) -> Column:
+    """A text column with all personal data replaced; null stays null."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            spans = base_spans(t) if t else {k: [] for k in KINDS}
+            extra = added_spans(t, spans, examples, precision) if t else spans
+            every = {k: spans[k] + extra[k] for k in KINDS}
+            out.append(redact(t, every) if any(every.values()) else t)
+        return pd.Series(out, dtype=object)
+
+    return clean(text)
+
+
 def find_pii(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = TRAIN_EXAMPLES, precision: float = PRECISION
 ) -> DataFrame:

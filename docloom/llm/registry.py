@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm.decontaminate import decontamination
 from docloom.llm.packing import pack_documents
 from docloom.llm.pii import find_pii
 from docloom.llm.simhash import simhash_groups
@@ -15,6 +16,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -28,6 +33,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_pii": op6_pii, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op6_pii": op6_pii, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
 #: None of these operators can be put in SQL within reason; tests hold them against brute force.
 ORACLES: dict[str, str] = {}

@@ -232,3 +232,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, all columns, without all but one document of each SimHash group.
+
+    The document of smallest id stays, once if its row is repeated; rows without an id,
+    which no group can name, stay.
+    """
+    groups = simhash_groups(docs, id_col, text_col, max_bits)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    named = docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -306,17 +308,19 @@ def fit_toxicity(
     return ToxicityModel(words, project, weight, bias, max(slope, 1e-3), shift)
 
 
-def _score_rows(model: ToxicityModel):
-    def run(batches):
+def toxicity_score(model: ToxicityModel, text: Column) -> Column:
+    """The model's score of a text column, null texts counting as empty."""
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = WordScorer(Landmarks(model.words)) if model.constant is None else None
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                texts = [t.as_py() or "" for t in part.column(1)]
-                x = scorer.features(texts) if scorer else np.zeros((len(texts), 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
+        for texts in parts:
+            x = np.zeros((len(texts), len(model.words)))
+            for at in range(0, len(texts) if scorer else 0, TEXTS_AT_ONCE):
+                x[at : at + TEXTS_AT_ONCE] = scorer.features([t or "" for t in texts.iloc[at : at + TEXTS_AT_ONCE]])
+            yield pd.Series(model.score(x))
 
-    return run
+    return score(text)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,6 +331,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     repeated rows give repeated results; words of any length are read in overlapping
     windows; an empty table gives no rows; other columns are not read.
     """
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = narrow.mapInArrow(_score_rows(model), "doc_id bigint, score double")
+    score = toxicity_score(model, F.col(text_col).cast("string"))
+    scored = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), score.alias("score"))
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
