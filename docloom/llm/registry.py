@@ -8,6 +8,7 @@ from docloom.llm.decontaminate import decontamination
 from docloom.llm.packing import pack_documents
 from docloom.llm.pii import find_pii
 from docloom.llm.simhash import simhash_groups
+from docloom.llm.substrings import remove_repeated_windows
 from docloom.llm.toxicity import fit_toxicity, score_toxicity
 from docloom.session import read_table
 
@@ -20,6 +21,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(read_table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -33,6 +38,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op6_pii": op6_pii, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_substrings": op5_substrings, "op6_pii": op6_pii, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
 #: None of these operators can be put in SQL within reason; tests hold them against brute force.
 ORACLES: dict[str, str] = {}

@@ -36,8 +36,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Prefix:
     """Prefix hashes of a buffer; of() gives the hash of buffer[start:end] for arrays of places."""
 
-    def __init__(self, buffer: bytes, which: int = 0):
-        data = np.frombuffer(buffer, np.uint8)
+    def __init__(self, buffer: bytes | np.ndarray, which: int = 0):
+        data = np.frombuffer(buffer, np.uint8) if isinstance(buffer, bytes) else buffer
         up, self.down = _power_tables(which, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_tables[which][data] * up[: len(data)], out=self.sums[1:])
@@ -64,6 +64,7 @@ class WordBuffer:
         self.starts = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else np.zeros(0, np.int64)
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         kept = np.concatenate([[0], np.cumsum(keep)])[first]
+        self._prefix: dict[int, Prefix] = {}
         self.bounds = np.append(np.searchsorted(self.starts, kept), len(self.starts))
 
     def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +77,13 @@ class WordBuffer:
 
     def hashes(self, word: np.ndarray, size: int, which: int = 0) -> np.ndarray:
         """Hash of the run of `size` words from each given word on."""
-        return Prefix(self.data.tobytes(), which).of(self.starts[word], self.ends[word + size - 1])
+        return self.hashes_between(word, word + size, which)
+
+    def hashes_between(self, first: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hash of the words first to stop - 1, for arrays of word numbers."""
+        if which not in self._prefix:
+            self._prefix[which] = Prefix(self.data, which)
+        return self._prefix[which].of(self.starts[first], self.ends[stop - 1])
 
 
 def by_bytes(sizes: list[int], limit: int):
