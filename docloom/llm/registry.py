@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.decontaminate import decontamination
+from docloom.llm.html_text import extract_pages
 from docloom.llm.packing import pack_documents
 from docloom.llm.pii import find_pii
 from docloom.llm.simhash import simhash_groups
 from docloom.llm.substrings import remove_repeated_windows
 from docloom.llm.toxicity import fit_toxicity, score_toxicity
+from docloom.llm.vector_dups import vector_groups
 from docloom.session import read_table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +48,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_substrings": op5_substrings, "op6_pii": op6_pii, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {
+    "op1_html": op1_html,
+    "op2_embeddings": op2_embeddings,
+    "op3_simhash": op3_simhash,
+    "op4_decontamination": op4_decontamination,
+    "op5_substrings": op5_substrings,
+    "op6_pii": op6_pii,
+    "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
+}
 #: None of these operators can be put in SQL within reason; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
