@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm.byte_dups import remove_repeated_bytes
 from docloom.llm.decontaminate import decontamination
 from docloom.llm.html_text import extract_pages
 from docloom.llm.packing import pack_documents
@@ -39,6 +40,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_substrings": op5_substrings,
     "op6_pii": op6_pii,
+    "op8_suffixes": op8_suffixes,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }

@@ -96,3 +96,10 @@ def by_bytes(sizes: list[int], limit: int):
         total += size
     if at < len(sizes):
         yield slice(at, len(sizes))
+
+
+def small(batches, rows: int = 512):
+    """Arrow batches of at most so many rows, so that few texts are unpacked at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
