@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm.byte_dups import remove_repeated_bytes
 from docloom.llm.decontaminate import decontamination
+from docloom.llm.edit_counts import edit_token_counts, redaction_edits
 from docloom.llm.html_text import extract_pages
 from docloom.llm.packing import pack_documents
 from docloom.llm.pii import find_pii
@@ -40,6 +42,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits as a corpus gets them: a language mark in front and personal data masked."""
+    mark = F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.concat(F.lit("["), F.coalesce("lang", F.lit("?")), F.lit("] ")).alias("text"))
+    edits = F.concat(F.array(mark), redaction_edits(F.col("text")))
+    return edit_token_counts(read_table(spark, sf_dir, "documents"), edits)
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +69,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_substrings": op5_substrings,
     "op6_pii": op6_pii,
+    "op7_edit_counts": op7_edit_counts,
     "op8_suffixes": op8_suffixes,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
