@@ -2,28 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.functions.vectors import cosine
-from docloom.session import read_table
-from pyspark.sql import functions as F
+from docloom.plans import retrieval  # noqa: F401  registers on import
+from docloom.plans.base import ORACLES, QUERIES
 
-
-def semantic_topk(spark, sf_dir):
-    """Ten nearest vectors to vector 0 by cosine."""
-    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    query = emb.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = emb.crossJoin(F.broadcast(query)).select(
-        F.col("vec_id").alias("chunk_id"),
-        F.col("label").alias("document_id"),
-        F.round(cosine("embedding", "q"), 6).alias("score"),
-    )
-    return scored.orderBy(F.desc("score"), "chunk_id").limit(10)
-
-
-QUERIES = {"semantic_topk": semantic_topk}
-ORACLES = {
-    "semantic_topk": """
-        SELECT e.vec_id AS chunk_id, e.label AS document_id,
-               round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-        FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
-        ORDER BY score DESC, chunk_id LIMIT 10"""
-}
+__all__ = ["ORACLES", "QUERIES"]
