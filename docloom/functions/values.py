@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from docloom.functions.text import WS, js_trim
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,12 +36,20 @@ def to_number(c: Column) -> Column:
     return F.when(c.isNull() | (text == ""), F.lit(0.0)).otherwise(text.try_cast("double"))
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def to_date_string(c: Column) -> Column:
     """YYYY-MM-DD from year-first or day-first dates with dashes or slashes, or a sheet's serial number; else null.
 
     The calendar is not checked.
     """
-    raw = js_trim(c)
+    return bind(js_trim(c), _date_string)
+
+
+def _date_string(raw: Column) -> Column:
     iso, local = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$"
     part = lambda p, k: F.lpad(F.regexp_extract(raw, p, k), 2, "0")
     serial = F.when(raw.rlike(r"^\d{5}(\.\d+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(raw.try_cast("double")).cast("int")))
