@@ -144,7 +144,7 @@ def truncate(c: Column, n: int) -> Column:
 
 def format_bytes(c: Column) -> Column:
     """Size in B, KB, MB or GB with at most one decimal."""
-    power = F.least(F.lit(3), F.greatest(F.lit(0), F.floor(F.log(F.lit(1024.0), F.greatest(c, F.lit(1))))))
+    power = F.least(F.lit(3), F.greatest(F.lit(0), F.floor(F.log(1024.0, F.greatest(c, F.lit(1))))))
     value = F.round(c / F.pow(F.lit(1024.0), power), 1)
     text = F.regexp_replace(value.cast("string"), r"\.0$", "")
     unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), (power + 1).cast("int"))

@@ -60,7 +60,7 @@ def pipe_rows(lines: DataFrame, group: str, order: str, line: str) -> DataFrame:
     starts = F.contains(text, F.lit("|")) & (head.rlike(r"^\d+") | head.rlike(r"(?i)^n[°º]?\s*\d+"))
     by = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     numbered = lines.where(text != "").withColumn("__starts", starts).withColumn("row_no", F.sum(starts.cast("int")).over(by)).where("row_no > 0")
-    cells = F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.split(text, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
     rest = F.array_sort(F.collect_list(F.when(~F.col("__starts"), F.struct(F.col(order).alias("o"), text.alias("t")))))
     grouped = numbered.groupBy(group, "row_no").agg(F.min_by(cells, order).alias("cells"), rest.alias("rest"))
     return grouped.select(group, F.col("row_no").cast("bigint").alias("row_no"), "cells", F.array_join(F.col("rest.t"), "\n").alias("continuation")).where(F.size("cells") >= 2)
