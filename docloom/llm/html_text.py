@@ -62,6 +62,7 @@ class Block:
     links: float
     in_article: bool
     furniture: bool
+    heading: bool
     label: bool | None = None
 
 
@@ -96,6 +97,7 @@ def blocks_of(page: str) -> list[Block]:
                 Block(
                     text, len(words), sum(w in STOP_WORDS for w in words) / len(words),
                     inside / max(1, len(text.replace(" ", ""))), bool(stack and stack[-1][2]), bool(stack and stack[-1][1]),
+                    bool(stack and re.fullmatch("h[1-6]", stack[-1][0])),
                 )
             )
         pieces.clear()
@@ -155,8 +157,9 @@ def label_blocks(blocks: list[Block]) -> None:
     First pass: furniture and link lists are not main text, nor is anything outside the
     article of a page that has one; long blocks are decided by their share of stop words.
     What is left are short blocks, and wordy ones in no language served when inside an
-    article. Second pass: those take the label of the nearest decided block; at equal
-    distance of unlike ones, or with none, an article's blocks count as main text.
+    article. Second pass: those take the label of the nearest decided block, headings before
+    main text belong to it; at equal distance of unlike ones, or with none, an article's blocks count as
+    main text.
     """
     has_article = any(b.in_article and not b.furniture for b in blocks)
     for b in blocks:
@@ -183,6 +186,8 @@ def label_blocks(blocks: list[Block]) -> None:
         sides = [s for s in (near[0][k], near[1][k]) if s]
         if b.in_article and (not sides or any(label for _, label in sides)):
             b.label = True
+        elif b.heading and near[1][k] and near[1][k][1]:
+            b.label = True
         elif not sides:
             b.label = b.stops > 0 or b.words >= LONG_WORDS
         else:
