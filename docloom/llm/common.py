@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 LOCAL_WORK_DIR = "/tmp/checkpoints/docloom"
 
 
@@ -21,6 +22,14 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of BATCH_ROWS rows for the session unless it sets a number itself: texts are long."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and return a reader of it: lineage ends here."""
     path = f"{work_dir(df.sparkSession)}/{name}"

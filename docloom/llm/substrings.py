@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, release
-from docloom.llm.rolling import WordBuffer, by_bytes
+from docloom.llm.common import materialize, modest_batches, release
+from docloom.llm.rolling import WordBuffer, by_bytes, small
 
 WINDOW = 35
 SEED = 8
 #: Runs that the index holds before it merges them into one, and loads that a whole table is split into.
 FANOUT = 4
 LOADS = 2
-_BLOCK_BYTES = 1 << 21
+_BLOCK_BYTES = 1 << 20
 _BLOCK_WORDS = 250_000
 
 #: Words are parted by space, tab, line feed, vertical tab, form feed and carriage return.
@@ -72,7 +72,7 @@ def blocks_of(texts: list[str | None], window: int):
 
 def _seed_rows(window: int, seed: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             for _, _, buffer in blocks_of([t.as_py() for t in batch.column(0)], window):
                 h = seeds_of(buffer, window, seed)[3]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["seed"])
@@ -85,7 +85,7 @@ _OCCURRENCE = "key bigint, check int, first bigint, windows int, seed bigint, co
 
 def _occurrence_rows(window: int, seed: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             key, check = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for index, shift, buffer in blocks_of([t.as_py() for t in batch.column(2)], window):
                 owner, first, count, h, context = seeds_of(buffer, window, seed)
@@ -143,7 +143,7 @@ def _window_rows(window: int):
     """(class columns, place, two window hashes) for the listed occurrences of each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             listed = batch.column(1).to_pylist()
             for index, shift, buffer in blocks_of([t.as_py() for t in batch.column(0)], window):
                 seeds, contexts, places, words = [], [], [], []
@@ -186,7 +186,7 @@ def _result_rows(window: int):
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = [_without(t.as_py(), s, window) for t, s in zip(batch.column(1), batch.column(2).to_pylist())]
             columns = list(zip(*rows)) or [[], [], []]
             types = [pa.int64(), pa.int64(), pa.string()]
@@ -216,7 +216,7 @@ def remove_repeated_windows(
     if not 0 < seed <= window <= seed + 62:
         raise ValueError("a seed lies in its window and an occurrence has at most 63 windows")
     identity, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
-    keyed = docs.select(
+    keyed = modest_batches(docs).select(
         identity.alias("doc_id"), text.alias("text"), F.xxhash64(identity, text).alias("key"), F.hash(identity, text).alias("check")
     )
     index = SubstringIndex(docs.sparkSession, window, seed)
