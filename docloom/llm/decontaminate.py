@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import modest_batches
 from docloom.llm.rolling import Prefix, WordBuffer, by_bytes
 
 SEED_WORDS = 5
@@ -142,7 +143,7 @@ class Benchmark:
 
 def benchmark_rounds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = ROUND_WORDS) -> Iterator[Benchmark]:
     """The test items in as many parts as keep each to about `limit` words (bytes / 4 is more than its words)."""
-    rows = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    rows = modest_batches(benchmark).select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / 4 / limit))
     for k in range(parts):

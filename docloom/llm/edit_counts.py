@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import modest_batches
 from docloom.llm.pii import KINDS, base_spans
 from docloom.llm.rolling import small
 from docloom.llm.tokens import default_tokenizer
@@ -226,6 +227,6 @@ def edit_token_counts(
     an empty table gives no rows; other columns are not read.
     """
     kind = "array<struct<start:bigint,end:bigint,text:string>>"
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.cast(kind).alias("edits"))
+    narrow = modest_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.cast(kind).alias("edits"))
     names = ["doc_id", "n_pieces", "n_tokens", "n_edits", "n_reencoded", "n_tokens_after"]
     return narrow.mapInArrow(_count_rows(tokenizer_path or default_tokenizer()), ", ".join(f"{n} bigint" for n in names))

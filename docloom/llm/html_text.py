@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import modest_batches
+
 #: Words and link share that decide a block in the first pass.
 LONG_WORDS = 12
 STOP_SHARE = 0.2
@@ -221,7 +223,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     ids and urls stay null; repeated rows give repeated results; an empty table gives no
     rows; pages of any length are read whole; other columns are not read.
     """
-    narrow = pages.select(
+    narrow = modest_batches(pages).select(
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     )
     return narrow.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")

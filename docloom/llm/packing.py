@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import materialize, modest_batches
 from docloom.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -162,7 +162,7 @@ def pack_documents(
     any length are cut and never dropped; other columns of docs are not read.
     """
     path = tokenizer_path or default_tokenizer()
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = modest_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, place bigint"
     pieces = materialize(narrow.mapInArrow(_encode_pieces(path, capacity), schema), "pieces")
     counts = pieces.groupBy("task", "length").count()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.boosting import BoostedTrees
+from docloom.llm.common import modest_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Examples of each kind, made up for training, and the share of them that must be right above a threshold.
@@ -277,7 +278,7 @@ def find_pii(
     Defined results: a null text counts as empty; a null id keeps its row; repeated rows
     give repeated results; an empty table gives no rows; other columns are not read.
     """
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = modest_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
     return narrow.mapInArrow(
         _scan(examples, precision), f"doc_id bigint, {counts}, base_sha256 string, spans string, redacted string"

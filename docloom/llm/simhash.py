@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, materialize, stars
+from docloom.llm.common import components, materialize, modest_batches, stars
 
 SEED = 42
 SHINGLE = 3
@@ -51,7 +51,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): each document's fingerprint as a signed bigint."""
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = modest_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
 
 

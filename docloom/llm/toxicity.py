@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import materialize, modest_batches
 
 #: Labelled rows that the model is fitted on at most (those of smallest hash), and its landmarks.
 TRAIN_ROWS = 6000
@@ -280,7 +280,7 @@ def fit_toxicity(
         .limit(train_rows)
     )
     chosen = materialize(chosen, "training_ids")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = modest_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = materialize(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "training")  # train_rows ids
     per_class = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = per_class.get(1, 0), per_class.get(0, 0)

@@ -192,3 +192,32 @@ def file_sniff(spark, sf_dir):
     k = F.col("doc_id") % 5
     head = F.when(k == 0, F.unhex(F.lit("255044462D312E37"))).when(k == 1, F.unhex(F.lit("FFD8FFE0"))).when(k == 2, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.unhex(F.lit("20")))
     return docs.select("doc_id", file_type(F.concat(head, F.encode("text", "UTF-8")))["mime"].alias("mime"))
+
+
+@query("SELECT l_suppkey AS image, round(avg(l_quantity * 2), 6) AS confidence, round(count_if(l_quantity * 2 >= 60) / count(*), 6) AS good_share FROM lineitem GROUP BY 1")
+def reading_quality(spark, sf_dir):
+    """Mean word confidence of each image and its share of words read well."""
+    words = read_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), (F.col("l_quantity") * 2).alias("confidence"))
+    good = F.count_if(F.col("confidence") >= 60) / F.count(F.lit(1))
+    return words.groupBy("image").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.round(good, 6).alias("good_share"))
+
+
+@query("""
+    WITH c AS (SELECT 'p_name' AS "column", max(len(p_name)) AS w FROM part UNION ALL SELECT 'p_type', max(len(p_type)) FROM part UNION ALL SELECT 'p_brand', max(len(p_brand)) FROM part),
+    k AS (SELECT "column", greatest(15, least(w, 150))::BIGINT AS width FROM c) SELECT "column", width, round(width / sum(width) OVER (), 6) AS share FROM k""")
+def column_widths(spark, sf_dir):
+    """Widths of a table's columns for printing, and their shares of the page; long lines of a cell count apart."""
+    p = read_table(spark, sf_dir, "part").select("p_name", "p_type", "p_brand")
+    longest = lambda c: F.max(F.array_max(F.transform(F.split(c, "\n"), lambda x: F.length(x))))
+    wide = p.agg(*[F.greatest(F.lit(15), F.least(longest(c), F.lit(150))).cast("bigint").alias(c) for c in p.columns])
+    total = sum((F.col(c) for c in p.columns[1:]), F.col(p.columns[0]))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("width"), F.round(F.col(c) / total, 6).alias("share")) for c in p.columns])
+    return wide.select(F.inline(cells))
+
+
+@query("SELECT conv_id, array_to_string(list_sort(list_distinct(list_filter(flatten(list(regexp_split_to_array(lower(text), '[^a-z]+'))), lambda w: len(w) > 9))), ' ') AS terms FROM conversations GROUP BY 1")
+def flattened_terms(spark, sf_dir):
+    """Long words of all messages of a conversation, flattened out of its nested messages."""
+    nested = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("texts"))
+    words = F.flatten(F.transform("texts", lambda t: F.filter(F.split(F.lower(t), "[^a-z]+"), lambda w: F.length(w) > 9)))
+    return nested.select("conv_id", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("terms"))

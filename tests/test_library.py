@@ -203,3 +203,8 @@ def test_plans(spark):
     assert "embedding" not in plan("lexical_search")
     listed = plan("list_documents_page")
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)" in listed and "text" not in listed.split("ReadSchema: ")[1].split("\n")[0]
+
+
+def test_approximate_recall(spark):
+    ids = lambda name: {r["chunk_id"] for r in QUERIES[name](spark, DATA).collect()}
+    assert len(ids("semantic_ann") & ids("semantic_topk")) >= 9
