@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch: texts are long, and both ends of the transfer hold a batch whole.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 LOCAL_WORK_DIR = "/tmp/checkpoints/docloom"
 
 
@@ -23,10 +25,11 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def modest_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of BATCH_ROWS rows for the session unless it sets a number itself: texts are long."""
+    """df, with Arrow batches of BATCH_ROWS rows and BATCH_BYTES for the session unless it sets a number of rows itself."""
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -25,7 +25,7 @@ FLOOR = 0.6
 WINDOW = 8
 LEAST = 4
 #: Entries of each memo of a worker before it is emptied.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 80_000
 TEXTS_AT_ONCE = 128
 
 #: Characters commonly written for letters.
