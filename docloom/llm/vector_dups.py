@@ -1,8 +1,9 @@
-"""Embedding near-duplicates by sorted projection passes."""
+"""Embedding near-duplicates by passes of random projection trees."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,106 +13,202 @@ from pyspark.sql import functions as F
 from docloom.llm.common import components, materialize
 
 COSINE = 0.9
-BITS = 30
-#: Rows of a block; each row meets its own block and the one before, and further ones while these link.
-BLOCK = 256
+#: Rows of a cell, all of which meet one another.
+CELL = 4096
 #: Share of the pairs just at the threshold that some pass must bring together.
 RECALL = 0.97
 SEED = 20
+#: Rows of one length that the driver finds medians on at most, and of these per cell.
+SAMPLE_ROWS = 32_768
+SAMPLE_OF_CELL = 32
+TILE = 1024
+#: Passes of one round at most; rounds follow until no row is left.
+ROUND_PASSES = 24
 
 
-def passes_for(rows: int, cosine: float = COSINE, block: int = BLOCK, recall: float = RECALL) -> int:
-    """Passes after which a pair at the threshold has met with the wanted probability.
+def passes_for(rows: int, cosine: float = COSINE, block: int = CELL, recall: float = RECALL) -> int:
+    """Passes after which a pair at the threshold has met with the wanted probability, if all vectors are evenly spread.
 
-    Two vectors agree in a random sign with probability 1 - angle / pi. Of `rows` sorted
-    vectors about a block share log2(rows / block) leading signs, so a pair meets in one
-    pass at least as often as it agrees in all of those.
+    Two vectors agree in a random sign with probability 1 - angle / pi, and cells of a block
+    lie log2(rows / block) signs deep. For vectors that stand closer see `vector_links`.
     """
     agree = 1 - math.acos(min(1.0, cosine)) / math.pi
-    together = agree ** max(0.0, math.log2(max(1, rows) / block))
-    return max(2, math.ceil(math.log(1 - recall) / math.log1p(-min(together, 0.95))))
+    together = agree ** max(0.0, math.ceil(math.log2(max(1, rows) / block)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(together, 1 - 1e-9))))
 
 
-def _directions(which: int, dim: int) -> np.ndarray:
-    """Random directions of one pass for vectors of one dimension."""
-    return np.random.default_rng([SEED, which, dim]).standard_normal((dim, BITS))
+def _direction(which: int, dim: int, level: int) -> np.ndarray:
+    return np.random.default_rng([SEED, which, dim, level]).standard_normal(dim)
 
 
-def _coded(passes: int):
-    """Each vector once per pass with that pass's sign code as an integer."""
-    places = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+def _unit(lists: pa.Array, dim: int) -> np.ndarray:
+    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _medians(x: np.ndarray, which: int, depth: int) -> list[np.ndarray]:
+    """For each level the medians at which its nodes are split, by rows of a sample."""
+    node, out = np.zeros(len(x), np.int64), []
+    for level in range(depth):
+        p = x @ _direction(which, x.shape[1], level)
+        order = np.lexsort([p, node])
+        ends = np.searchsorted(node[order], np.arange((1 << level) + 1))
+        middle = np.minimum((ends[:-1] + ends[1:]) // 2, len(x) - 1)
+        out.append(p[order][middle])
+        node = 2 * node + (p > out[-1][node])
+    return out
+
+
+def _coded(cuts: dict[tuple[int, int], list[np.ndarray]], passes: range):
+    """Each vector once per pass with the cell it falls into."""
 
     def run(batches):
         for batch in batches:
             reps, lists = batch.column(0), batch.column(1)
             dims = np.array([len(x) for x in lists])
             for dim in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == dim)
-                values = lists.take(pa.array(rows)).flatten()
-                x = values.to_numpy(zero_copy_only=False).reshape(len(rows), dim).astype(np.float64)
-                for k in range(passes):
-                    code = ((x @ _directions(k, dim)) > 0) @ places
+                rows = pa.array(np.flatnonzero(dims == dim))
+                x = _unit(lists.take(rows), dim)
+                for k in passes:
+                    cell = np.zeros(len(rows), np.int64)
+                    for level, at in enumerate(cuts.get((dim, k), ())):
+                        cell = 2 * cell + (x @ _direction(k, dim, level) > at[cell])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), k, np.int32)), pa.array(np.full(len(rows), dim, np.int32)), pa.array(code)]
-                        + [reps.take(pa.array(rows)), lists.take(pa.array(rows))],
-                        ["pass", "dim", "code", "rep", "vector"],
+                        [pa.array(np.full(len(rows), k, np.int32)), pa.array(np.full(len(rows), dim, np.int32)), pa.array(cell)]
+                        + [reps.take(rows), lists.take(rows)],
+                        ["pass", "dim", "cell", "rep", "vector"],
                     )
 
     return run
 
 
-def _block_links(cosine: float):
-    def compare(ids_a, a, ids_b, b):
-        i, j = np.nonzero(a @ b.T >= cosine)
-        return ids_a[i], ids_b[j]
+def _below(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function, to three places."""
+    return 0.5 * (1 + np.tanh(0.7978845608 * (z + 0.044715 * z**3)))
 
-    def blocks(batches):
-        """(dimension and pass, ids, unit vectors) of at most BLOCK consecutive rows of one pass and dimension."""
-        for batch in batches:
-            head = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)], axis=1)
-            cuts = np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1
-            for part in np.split(np.arange(len(head)), cuts):
-                for at in range(0, len(part), BLOCK):
-                    rows = slice(int(part[at]), int(part[min(at + BLOCK, len(part)) - 1]) + 1)
-                    dim = int(head[rows.start, 1])
-                    lists = batch.column(4).slice(rows.start, rows.stop - rows.start)
-                    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-                    yield tuple(head[rows.start]), batch.column(3).to_numpy()[rows], x / np.linalg.norm(x, axis=1)[:, None]
+
+def _chance_missed(x: np.ndarray, margins: np.ndarray, cosine: float) -> np.ndarray:
+    """Logarithm of the chance that a pair at the threshold does not share each row's cell.
+
+    Rows close by stand around a common centre at the squared distance 1 - (their cosine).
+    About it, a pair at the threshold has a cosine of `k`, so the partner of a row that lies
+    `margin` from a split is on the same side by a normal distribution. Where all that is
+    close links, `k` is 0: the partner may lie on either side.
+    """
+    if not margins.shape[1]:
+        return np.full(len(x), math.log(1e-9))
+    some = np.arange(0, len(x), max(1, len(x) // 256))
+    near = x @ x[some].T
+    near[some, np.arange(len(some))] = -1
+    top = min(8, max(1, len(some) - 1))
+    spread = np.maximum(1 - np.partition(near, -top, axis=1)[:, -top:].mean(axis=1), 1e-6)
+    k = np.clip(1 - (1 - cosine) / spread, 0, 0.999)
+    same = _below(np.minimum((k / np.sqrt(spread * (1 - k * k)))[:, None] * margins, 6)).prod(axis=1)
+    return np.log1p(-np.minimum(same, 1 - 1e-9))
+
+
+def _cell_links(cuts: dict[tuple[int, int], list[np.ndarray]], cosine: float, size: int):
+    """(a, b, null) for each pair that links and (rep, null, chance) for each row of a cell."""
+
+    def rows_of(a, b, chance):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, chance], ["a", "b", "chance"])
+
+    def leaf(ids, x, margins):
+        single = x.astype(np.float32)
+        for i in range(0, len(x), TILE):
+            for j in range(i, len(x), TILE):
+                value = single[i : i + TILE] @ single[j : j + TILE].T
+                p, q = np.nonzero(value >= cosine - 1e-5)
+                value, p, q = value[p, q], p + i, q + j
+                sure = value > cosine + 1e-5
+                edge = np.flatnonzero(~sure)
+                sure[edge] = np.einsum("ij,ij->i", x[p[edge]], x[q[edge]]) >= cosine
+                keep = sure & (p < q)
+                if keep.any():
+                    a, b = ids[p[keep]], ids[q[keep]]
+                    yield rows_of(np.minimum(a, b), pa.array(np.maximum(a, b), pa.int64()), pa.nulls(len(a), pa.float64()))
+        yield rows_of(ids, pa.nulls(len(ids), pa.int64()), pa.array(_chance_missed(x, margins, cosine)))
+
+    def cell_links(key, ids, x):
+        k, dim, cell = key
+        margins = [np.abs(x @ _direction(k, dim, n) - at[cell >> (len(cuts[dim, k]) - n)]) for n, at in enumerate(cuts.get((dim, k), ()))]
+        todo = [(np.arange(len(x)), np.stack(margins, axis=1) if margins else np.zeros((len(x), 0)))]
+        while todo:
+            rows, margins = todo.pop()
+            if len(rows) > 2 * size:
+                p = x[rows] @ _direction(k, dim, margins.shape[1])
+                middle = np.median(p)
+                above = p > middle
+                if above.any():  # else no direction tells them apart, and all meet
+                    margins = np.concatenate([margins, np.abs(p - middle)[:, None]], axis=1)
+                    todo += [(rows[above], margins[above]), (rows[~above], margins[~above])]
+                    continue
+            yield from leaf(ids[rows], x[rows], margins)
 
     def run(batches):
-        kind, earlier = None, []
-        for now, ids, x in blocks(batches):
-            if now != kind:
-                kind, earlier = now, []
-            i, j = compare(ids, x, ids, x)
-            own = i < j
-            found, reach = [(i[own], j[own])], 0
-            for k, (other_ids, other) in enumerate(reversed(earlier)):
-                pair = compare(ids, x, other_ids, other)
-                found.append(pair)
-                reach = k + 1
-                if not len(pair[0]):
-                    break
-            earlier = [*earlier[len(earlier) - reach :], (ids, x)] if reach else [(ids, x)]
-            a, b = (np.concatenate(s) for s in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        key, held = None, []
+        for batch in batches:
+            head = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            starts = [0, *(np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1).tolist(), len(head)]
+            for start, stop in zip(starts, starts[1:]):
+                if start == stop:
+                    continue
+                now = tuple(head[start].tolist())
+                if now != key and held:
+                    yield from cell_links(key, *(np.concatenate(part) for part in zip(*held)))
+                    held = []
+                key = now
+                held.append((batch.column(3).to_numpy()[start:stop], _unit(batch.column(4).slice(start, stop - start), now[1])))
+        if held:
+            yield from cell_links(key, *(np.concatenate(part) for part in zip(*held)))
 
     return run
 
 
-def vector_links(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None) -> DataFrame:
+def vector_links(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, cell: int = CELL) -> DataFrame:
     """Pairs (a < b) of rep numbers of (rep, vector) rows, all vectors valid and different, with at least that cosine.
 
-    Every pass orders all vectors by the signs of their products with its own random
-    directions. Tasks hold ranges of that order and compare blocks of neighbours; a block
-    goes on to earlier blocks for as long as it finds links there, so a crowd of any size
-    is compared whole. A pair is returned once, whatever the number of passes that met it.
+    Every pass sorts all vectors into cells by their products with its own random directions,
+    each node of the tree split at its median, so that a crowd is split inside itself and no
+    cell grows with it; all rows of a cell meet. A row is done when, by its own distances from
+    the splits and by how close its neighbours stand, a pair at the threshold has met with
+    probability RECALL or little less; the others go through a further round, and as soon as no
+    more than a cell of them are left, all of these meet. With a number of passes there is
+    one round. A pair is returned once, whatever the number of passes that met it.
     """
-    if passes is None:
-        passes = passes_for(vectors.count(), cosine)
-    coded = materialize(vectors.mapInArrow(_coded(passes), "pass int, dim int, code bigint, rep bigint, vector array<float>"), "coded")
-    dealt = coded.repartitionByRange("pass", "dim", "code").sortWithinPartitions("pass", "dim", "code", "rep")
-    return dealt.mapInArrow(_block_links(cosine), "a bigint, b bigint").distinct()
+    left, first, want, found, chances = vectors, 0, passes, [], []
+    agree = 1 - math.acos(min(1.0, cosine)) / math.pi
+    while True:
+        counts = {r["dim"]: r["count"] for r in left.groupBy(F.size("vector").alias("dim")).count().collect()}
+        rows = max(counts.values(), default=0)
+        wanted_depth = {d: math.ceil(math.log2(n / cell)) for d, n in counts.items() if n > cell}
+        together = agree ** max(wanted_depth.values(), default=0)
+        need = math.ceil(math.log(1 - RECALL) / math.log1p(-min(together, 1 - 1e-9)))
+        now = range(first, first + (passes or max(1, min(need, ROUND_PASSES))))
+        depth = {d: min(n, int(math.log2(SAMPLE_ROWS / SAMPLE_OF_CELL))) for d, n in wanted_depth.items()}
+        cuts: dict[tuple[int, int], list[np.ndarray]] = {}
+        for dim, levels in depth.items():
+            share = max(1, counts[dim] // (SAMPLE_OF_CELL << levels))
+            sample = left.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("rep"), F.lit(share)) == 0)).orderBy("rep").limit(2 * SAMPLE_ROWS)
+            x = _unit(sample.select("vector").toArrow().column(0).combine_chunks(), dim)
+            cuts.update({(dim, k): _medians(x, k, levels) for k in now if len(x)})
+        coded = left.select("rep", "vector").mapInArrow(_coded(cuts, now), "pass int, dim int, cell bigint, rep bigint, vector array<float>")
+        dealt = coded.repartition("pass", "dim", "cell").sortWithinPartitions("pass", "dim", "cell", "rep")
+        met = materialize(dealt.mapInArrow(_cell_links(cuts, cosine, cell), "a bigint, b bigint, chance double"), "met")
+        found.append(met.where("b is not null").select("a", "b"))
+        first += len(now)
+        if passes or rows <= cell:
+            break
+        chances.append(met.where("b is null").select(F.col("a").alias("rep"), "chance"))
+        total = reduce(DataFrame.unionByName, chances).groupBy("rep").agg(F.sum("chance").alias("chance"))
+        total = total.where(F.col("chance") > math.log(2 * (1 - RECALL)))
+        left = materialize(left.select("rep", "vector").join(total, "rep"), "left")
+        mean = left.agg(F.avg("chance")).first()[0]
+        if mean is None:
+            break
+        # agreement in one split of the rows that are left, as they had it so far
+        agree = max(0.5, (1 - math.exp(mean / first)) ** (1 / max(1, max(wanted_depth.values()))))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def vector_groups(

@@ -69,3 +69,31 @@ def test_vectors(spark):
     for k in set(range(len(x))) - set(valid):
         assert (got[3 * k]["n_links"], got[3 * k]["component_id"], got[3 * k]["kept"]) == (0, 3 * k, True)
     assert vector_dups.vector_groups(table.where("false")).count() == 0
+
+
+def test_crowd_that_does_not_link(spark):
+    """A third of the rows stand at a cosine of about 0.84 from one another; 200 pairs among them link."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, dim, inner = 20000, 256, 0.84
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(dim))
+
+    def across(m, *others):
+        w = rng.standard_normal((m, dim))
+        for o in others:
+            w -= (w * o).sum(axis=1)[:, None] * o
+        return unit(w)
+
+    first = across(n // 3 - 200, centre)
+    k = 1 - 0.095 / (1 - inner)
+    mates = k * first[:200] + np.sqrt(1 - k * k) * across(200, centre, first[:200])
+    crowd = np.sqrt(inner) * centre + np.sqrt(1 - inner) * np.concatenate([first, mates])
+    x = np.concatenate([crowd, unit(rng.standard_normal((n - len(crowd), dim)))]).astype(np.float32)
+    linked = np.argwhere(x @ x.T >= 0.9)
+    true = set(map(tuple, linked[linked[:, 0] < linked[:, 1]].tolist()))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+    table = spark.createDataFrame(pa.table({"rep": pa.array(np.arange(n)), "vector": vectors})).repartition(4)
+    got = {(r["a"], r["b"]) for r in vector_dups.vector_links(table).collect()}
+    assert len(true) == 200 and got <= true and len(got) >= 0.97 * len(true)
