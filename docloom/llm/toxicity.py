@@ -17,13 +17,17 @@ from docloom.llm.common import materialize, modest_batches
 #: Labelled rows that the model is fitted on at most (those of smallest hash), and its landmarks.
 TRAIN_ROWS = 6000
 LANDMARKS = 40
+#: Kernel value from which a landmark is too much like an earlier one.
+ALIKE = 0.7
 ORDER = 3
 DECAY = 0.7
-#: Normalised kernel values below this count as nothing shared.
-FLOOR = 0.6
+#: Normalised kernel values below this count as nothing shared: none does, the machine weighs all.
+FLOOR = 0.0
+#: Floors at which a value counts once more, so that the machine can weigh strong likeness by itself.
+STEPS = (0.3, 0.6)
 #: Letters of a word's windows, and of the shortest landmark.
 WINDOW = 8
-LEAST = 4
+LEAST = 3
 #: Entries of each memo of a worker before it is emptied.
 MEMO_WORDS = 80_000
 TEXTS_AT_ONCE = 128
@@ -54,8 +58,16 @@ def tokens_of(text: str) -> set[str]:
 
 
 def parts_of(word: str) -> list[str]:
-    """Overlapping windows that cover a word; the first carries the mark of a word's start."""
-    return ["^" + word[:WINDOW]] + [word[at : at + WINDOW] for at in range(WINDOW // 2, len(word) - WINDOW // 2, WINDOW // 2)]
+    """Overlapping windows that cover a word, those of its start marked; of long words twice as wide ones too, for inserted letters."""
+    parts = ["^" + word[:WINDOW]] + [word[at : at + WINDOW] for at in range(2, len(word) - LEAST, 2)]
+    if len(word) > WINDOW:
+        parts += ["^" + word[: 2 * WINDOW]] + [word[at : at + 2 * WINDOW] for at in range(4, len(word) - WINDOW, 4)]
+    return parts
+
+
+def stepped(x: np.ndarray) -> np.ndarray:
+    """Roots of kernel values, followed by those of their shares above each of STEPS."""
+    return np.concatenate([x] + [np.sqrt(np.clip((x**2 - s) / (1 - s), 0, 1)) for s in STEPS], axis=-1)
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -88,7 +100,7 @@ class Landmarks:
 
     A landmark letter that a word lacks removes every subsequence through it, so the
     kernel is at most the square root of the landmark's remaining share (Cauchy-Schwarz);
-    pairs that this bound puts under FLOOR need no kernel.
+    pairs for which this bound is 0 need no kernel.
     """
 
     def __init__(self, words: list[str]):
@@ -101,7 +113,7 @@ class Landmarks:
             self.bound.append(np.sqrt(np.maximum(subsequence_kernel(kept, kept), 0) / whole))
 
     def similar(self, words: list[str]) -> np.ndarray:
-        """(word, landmark) values from 0, at FLOOR or below, to 1, for equal words; the root lets altered words count."""
+        """(word, landmark) values from 0, with nothing shared, to 1, for equal words; the root lets altered words count."""
         out = np.zeros((len(words), len(self.words)), np.float32)
         grid = _codes(words)
         pairs = []
@@ -135,21 +147,18 @@ class WordScorer:
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
-        self.parts: dict[str, np.ndarray | None] = {}
-        self.tokens: dict[str, np.ndarray | None] = {}
+        self.parts: dict[str, np.ndarray] = {}
+        self.tokens: dict[str, np.ndarray] = {}
 
     def _learn(self, tokens: list[str]) -> None:
-        """Enter tokens; None stands for a token that is like no landmark."""
+        """Enter tokens."""
         cut = [parts_of(normal_word(t)) for t in tokens]
         new = sorted({p for parts in cut for p in parts if p not in self.parts})
         for at in range(0, len(new), 20_000):
             block = new[at : at + 20_000]
-            values = self.landmarks.similar(block)
-            some = values.any(axis=1)
-            self.parts.update((p, v if hit else None) for p, v, hit in zip(block, values, some.tolist()))
+            self.parts.update(zip(block, self.landmarks.similar(block)))
         for token, parts in zip(tokens, cut):
-            rows = [v for p in parts if (v := self.parts[p]) is not None]
-            self.tokens[token] = np.max(rows, axis=0) if rows else None
+            self.tokens[token] = np.max([self.parts[p] for p in parts], axis=0) if len(parts) > 1 else self.parts[parts[0]]
 
     def features(self, texts: list[str]) -> np.ndarray:
         """(text, landmark): the best value of any word in the text."""
@@ -163,10 +172,11 @@ class WordScorer:
             if len(self.parts) > MEMO_WORDS:
                 self.parts.clear()
             self._learn([t for t in part if t not in self.tokens])
-            alike = {t for t in part if self.tokens[t] is not None}
+            values = np.stack([self.tokens[t] for t in part])
+            place = {t: i for i, t in enumerate(part)}
             for i, tokens in enumerate(found):
-                if hit := alike & tokens:
-                    out[i] = np.maximum(out[i], np.max([self.tokens[t] for t in hit], axis=0))
+                if hit := [place[t] for t in tokens if t in place]:
+                    out[i] = np.maximum(out[i], values[hit].max(axis=0))
         return out
 
 
@@ -185,7 +195,7 @@ class ToxicityModel:
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(features), self.constant)
-        margin = features @ self.project @ self.weight + self.bias
+        margin = stepped(features) @ self.project @ self.weight + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
@@ -226,11 +236,12 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _candidate_rows(batches):
-    """(word, toxic) once per text: the marked beginnings of its words, from LEAST letters on."""
+    """(word, toxic) once per text: the marked beginnings of its words, from LEAST letters on, and pieces from inside them."""
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
             words = {w for w in map(normal_word, tokens_of(text.as_py() or "")) if len(w) >= LEAST}
-            heads = sorted({"^" + w[:k] for w in words for k in range(LEAST, min(len(w), WINDOW) + 1)})
+            heads = {"^" + w[:k] for w in words for k in range(LEAST, min(len(w), WINDOW) + 1)}
+            heads = sorted(heads | {w[at : at + k] for w in words for k in (5, WINDOW) for at in range(1, len(w) - k + 1)})
             if heads:
                 yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([toxic] * len(heads), pa.int32())], ["word", "toxic"])
 
@@ -238,11 +249,14 @@ def _candidate_rows(batches):
 def _spread(words: list[str], wanted: int) -> list[str]:
     """The first words of a ranking that are not much like an earlier choice."""
     chosen: list[str] = []
+    sizes: list[float] = []
     for word in words:
         if len(chosen) == wanted:
             break
-        if not chosen or Landmarks([word]).similar(chosen).max() < 0.5:
+        own = subsequence_kernel([word], [word])[0]
+        if own > 0 and (not chosen or (subsequence_kernel([word] * len(chosen), chosen) / np.sqrt(own * np.array(sizes))).max() < ALIKE):
             chosen.append(word)
+            sizes.append(own)
     return chosen
 
 
@@ -264,8 +278,8 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Fit on at most train_rows labelled documents that are not held out.
 
-    Landmarks are beginnings of words whose share among toxic texts exceeds their share
-    among others most; the driver gets 12 for each landmark and train_rows short feature rows.
+    Landmarks are beginnings and inner pieces of words whose share among toxic texts exceeds their share
+    among others most; the driver gets 40 for each landmark and train_rows short feature rows.
     With no labelled row, or one class only, the model is that class's constant score.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(
@@ -292,7 +306,7 @@ def fit_toxicity(
     # signed distance of the two shares in standard errors, smoothed
     share = (F.col("p") + F.col("q") + 1) / (n1 + n0 + 2)
     gap = (F.col("p") / n1 - F.col("q") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    ranked = counted.where("p >= 2").orderBy(F.desc(gap), F.desc(F.length("word")), "word").limit(12 * landmarks)
+    ranked = counted.where("p >= 2").orderBy(F.desc(gap), F.desc(F.length("word")), "word").limit(40 * landmarks)
     words = _spread([r["word"] for r in ranked.collect()], landmarks)
     if not words:
         return ToxicityModel(["^none"], np.eye(1), np.zeros(1), 0.0, 1.0, 0.0, n1 / (n1 + n0))
@@ -301,8 +315,11 @@ def fit_toxicity(
     order = np.lexsort(np.concatenate([x.T, y[None]]))
     x, y = x[order], y[order]
     gram = Landmarks(words).similar(words).astype(np.float64)
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    project = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
+    x, size = stepped(x), len(words)
+    project = np.zeros((x.shape[1], x.shape[1]))
+    for at, block in zip(range(0, len(project), size), np.split(stepped(gram), 1 + len(STEPS), axis=1)):
+        value, vector = np.linalg.eigh((block + block.T) / 2)
+        project[at : at + size, at : at + size] = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
     weight, bias = train_svm(x @ project, y)
     slope, shift = calibrate(x @ project @ weight + bias, y)
     return ToxicityModel(words, project, weight, bias, max(slope, 1e-3), shift)

@@ -375,6 +375,37 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs, none).collect()} == {0.0}
 
 
+def altered(rng, word):
+    """The word with two letters inserted, or glued to another in front."""
+    if rng.random() < 0.4:
+        return "".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 5))) + word
+    for _ in range(2):
+        at = rng.randrange(1, len(word))
+        word = word[:at] + rng.choice("xqz") + word[at:]
+    return word
+
+
+def test_inserted_letters_and_glued_words(spark):
+    """Insults with two inserted letters, glued ones and one of three letters, a third of them altered in training too."""
+    rng = random.Random(8)
+    bad = ["idiot", "worthless", "disgusting", "fuk"]
+    clean = lambda: ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 9))) for _ in range(20)]
+    table = []
+    for doc in range(2000):
+        word = rng.choice(bad)
+        table.append((doc, " ".join([*clean(), *([altered(rng, word) if doc % 3 == 0 else word] if doc % 2 or doc % 16 == 0 else [])]), int(doc % 2 or doc % 16 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in table], "doc_id bigint, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(r[0], r[2]) for r in table], "doc_id bigint, toxic int"))
+    kinds = {"idiot": 0, "worthless": 50, "disgusting": 100}
+    texts = [" ".join([*clean(), altered(rng, w)]) for w in kinds for _ in range(50)] + [" ".join([*clean(), "fuk"]) for _ in range(50)]
+    texts += [" ".join(clean()) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(rows, model).collect()}
+    caught = [sum(got[at + i] for i in range(50)) for at in (0, 50, 100, 150)]
+    wrong = sum(got[k] for k in range(200, 400))
+    assert min(caught) >= 35 and sum(caught) >= 160 and wrong <= 20, (caught, wrong)
+
+
 def test_held_out_accuracy(spark):
     """On the test tables, whose labels are noisy in three of four languages."""
     base = "/root/testdata/sf0.01"
