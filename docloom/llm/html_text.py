@@ -50,8 +50,12 @@ _TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>",
     re.S,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+#: Elements that hold a page's content, whatever their class says.
+_WRAPPERS = frozenset("html body main article".split())
+#: A class name that tells of furniture elsewhere on the page or of its absence.
+_STATE = re.compile(r"^(?:no|has|with|without)[-_]|[-_]closed$")
 
 
 @dataclass
@@ -72,13 +76,22 @@ def _role(name: str, attrs: str, in_article: bool) -> str | None:
     """The word that makes an element page furniture, if any."""
     if name in _FURNITURE or (name == "header" and not in_article):
         return name
-    if attrs:
-        if _HIDDEN.search(attrs):
-            return "hidden"
-        for m in _NAMED.finditer(attrs):
-            for word in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()):
-                if word in _FURNITURE_WORDS or (word == "header" and not in_article):
-                    return word
+    if not attrs:
+        return None
+    values: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        values.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    if "hidden" in values and values["hidden"] != "false" or values.get("aria-hidden") == "true" or _UNSEEN.search(values.get("style", "")):
+        return "hidden"
+    if name in _WRAPPERS:
+        return None
+    named = [n for key in ("class", "id", "role") for n in values.get(key, "").split()]
+    for n in named:
+        if _STATE.search(n):
+            continue
+        for word in re.split(r"[^a-z]+", n):
+            if word in _FURNITURE_WORDS or (word == "header" and not in_article):
+                return word
     return None
 
 

@@ -37,6 +37,14 @@ def test_article_with_parts():
     assert main_text(page).split("\n")[:2] == ["Head", "a b c d"] and "Kwa zulu" in main_text(page) and "fox" not in main_text(page)
 
 
+def test_wrappers_named_for_furniture():
+    for tag in ("body class='single no-sidebar'", "div class='content with-sidebar'", "article class='post has-social'", "div class='page menu-closed'",
+                "div style='overflow:hidden'", "div class='overflow-hidden'", "div title='hidden gems'", "body class='sidebar-left comments'"):
+        assert main_text(f"<html><{tag}><p>{PROSE}</p></{tag.split()[0]}></html>") == PROSE, tag
+    for tag in ("div hidden", "div hidden=''", "div style='color:red; display: none'", "div style='visibility:hidden'", "div aria-hidden=true", "div class='sidebar'"):
+        assert main_text(f"<body><{tag}><p>{PROSE} gone</p></div><p>{PROSE}</p></body>") == PROSE, tag
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (None, "u", "<p>unclosed"), (3, "u", "<!-- open"), (4, "u", "<" * 5000), (4, "u", "<" * 5000)], "page_id bigint, url string, html string")
     got = extract_pages(pages).collect()
