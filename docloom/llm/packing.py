@@ -170,7 +170,8 @@ def pack_documents(
     offsets = materialize(counts.withColumn("before", F.coalesce(before, F.lit(0))), "offsets")
     histogram = offsets.groupBy("length").agg(F.sum("count").alias("n")).collect()  # at most capacity rows
     plan = best_fit_plan({r["length"]: r["n"] for r in histogram}, capacity)
-    ranked = pieces.join(offsets.drop("count"), ["task", "length"]).select(
+    # offsets grow with the tasks, so they are merged by shuffle and never broadcast
+    ranked = pieces.join(offsets.drop("count").hint("merge"), ["task", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank")
     )
     return ranked.mapInArrow(

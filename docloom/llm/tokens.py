@@ -6,11 +6,13 @@ import os
 import re
 from array import array
 
-#: Entries of the memo before it is emptied; with keys of at most KEY_CHARS this bounds a worker's memory.
-MEMO_ENTRIES = 300_000
-KEY_CHARS = 48
+#: Bytes of one of the memo's two generations; with about as much for the other this bounds a worker's memory.
+MEMO_BYTES = 72 << 20
+#: Bytes that an entry takes besides its characters and ids.
+_ENTRY = 170
 
 _TWO_SPACES = re.compile(r"\s\s")
+_ONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[str, PieceEncoder] = {}
 
 
@@ -26,7 +28,12 @@ class PieceEncoder:
 
     The pre-tokenizer never joins what stands before a single space or line end with
     what follows it, so such pieces are encoded apart and remembered. A text with two
-    white-space characters in a row, or with a special token's string, is encoded whole.
+    white-space characters in a row is cut at single spaces between other characters
+    only; one with a special token's string is encoded whole.
+
+    The memo has two generations: what a batch of texts uses is entered in, or moved to,
+    the new one; when that is full it becomes the old one and the former old one goes. So
+    frequent pieces stay, and no more than the rare ones are encoded again.
     """
 
     def __init__(self, path: str):
@@ -36,6 +43,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -46,35 +55,39 @@ class PieceEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces whose encodings, one after the other, are the text's; None if it must stay whole."""
-        if _TWO_SPACES.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return None
+        if _TWO_SPACES.search(text):
+            return _ONE_SPACE.split(text)
         return text.replace("\n", " \n").split(" ")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [self._pieces(t) for t in texts]
-        memo = self.memo
-        keys = {p for pieces in cut if pieces for p in pieces[1:]}
-        new = [p for p in keys if p not in memo]
-        heads = {pieces[0] for pieces in cut if pieces}
-        head = dict(zip(heads, self._whole(list(heads))))
-        known = {p: memo[p] for p in keys if p in memo}
+    def _learn(self, pieces: set[str]) -> None:
+        """Have all pieces in the new generation."""
+        if self.size > MEMO_BYTES:
+            self.old, self.memo, self.size = self.memo, {}, 0
+        missing = pieces.difference(self.memo)
+        kept = {p: self.old[p] for p in missing.intersection(self.old)}
+        new = list(missing.difference(kept))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            spelled = [p if p[:1] == "\n" else " " + p for p in part]
-            if len(memo) + len(part) > MEMO_ENTRIES:
-                memo.clear()
-            for p, ids in zip(part, self._whole(spelled)):
-                known[p] = ids
-                if len(p) <= KEY_CHARS:
-                    memo[p] = ids
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self._whole([text])[0])
-            else:
-                out.append(head[pieces[0]] + b"".join([known[p] for p in pieces[1:]]))
-        return out
+            kept.update(zip(part, self._whole([p if p[:1] == "\n" else " " + p for p in part])))
+        self.memo.update(kept)
+        self.size += _ENTRY * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; equal texts are encoded once."""
+        distinct = list(dict.fromkeys(texts))
+        cut = [self._pieces(t) for t in distinct]
+        self._learn({p for pieces in cut if pieces for p in pieces[1:]})
+        heads = list({pieces[0] for pieces in cut if pieces})
+        head = dict(zip(heads, self._whole(heads)))
+        whole = iter(self._whole([t for t, pieces in zip(distinct, cut) if pieces is None]))
+        known = self.memo.__getitem__
+        done = {
+            t: next(whole) if pieces is None else head[pieces[0]] + b"".join(map(known, pieces[1:]))
+            for t, pieces in zip(distinct, cut)
+        }
+        return [done[t] for t in texts]
 
 
 def encoder(path: str) -> PieceEncoder:
