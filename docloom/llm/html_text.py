@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ LONG_WORDS = 12
 STOP_SHARE = 0.2
 FEW_STOPS = 0.08
 LINK_SHARE = 0.5
+MOSTLY_LINKS = 0.9
 
 #: Frequent function words of the languages served.
 STOP_WORDS = frozenset(
@@ -32,10 +34,14 @@ _BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _BREAKS = frozenset(["br", "wbr", "img", "input"])
-_RAW = frozenset("script style noscript template textarea title svg math iframe object select button canvas audio video".split())
+_RAW = frozenset("script style noscript template textarea title svg iframe select button canvas audio video".split())
+_TO_THE_END = frozenset("script style textarea title".split())
 _SELF_CLOSING = frozenset(["p", "li", "dt", "dd", "td", "th", "tr", "option"])
 _VOID = frozenset(["hr"])
 _FURNITURE = frozenset("nav aside footer form head dialog menu".split())
+#: Elements that hold a page's content, whatever their class says, and those that may hold its article.
+_WRAPPERS = frozenset("html body main article".split())
+_CONTAINERS = frozenset(["article", "main"])
 #: Words in class, id or role that name page furniture.
 _FURNITURE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu "
@@ -43,76 +49,127 @@ _FURNITURE_WORDS = frozenset(
     "subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply "
     "replies respond disqus discussion pagination pager copyright disclaimer alert toolbar search complementary contentinfo".split()
 )
+#: Words that may stand beside these in one class name without changing its meaning ("site-footer", "share-buttons").
+_PLAIN_WORDS = frozenset(
+    "site page main top bottom left right primary secondary global list item items area box block section bar link links button buttons "
+    "icon icons post posts article articles story stories media text message form thread container panel holder unit slot row col inner outer "
+    "google facebook twitter more you may also like id the of and in a".split()
+)
 _LASTING = frozenset("nav aside footer form comment comments commentlist reply replies disqus discussion hidden".split())
+#: Furniture whose class gives way when nothing else on the page is main text.
+_SOFT = frozenset("banner sidebar widget menu related recommended recommendations social share sharing search promo promotion notice alert complementary header".split())
+#: Texts that only mark an advert.
+_ADVERT_LABELS = frozenset(["advertisement", "advert", "sponsored", "sponsored content", "anzeige", "werbung", "publicité", "publicidad", "anuncio"])
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>",
-    re.S,
-)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*+")
+_TAG_REST = re.compile(r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
-#: Elements that hold a page's content, whatever their class says.
-_WRAPPERS = frozenset("html body main article".split())
-#: A class name that tells of furniture elsewhere on the page or of its absence.
-_STATE = re.compile(r"^(?:no|has|with|without)[-_]|[-_]closed$")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LETTERS = re.compile(r"[a-z]+")
+#: Scripts written without spaces: about two signs make a word.
+_UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
 
 
 @dataclass
 class Block:
-    """A run of text between block elements and where it stands."""
+    """A run of text between block elements and where it stands: containers are the numbers of the
+    articles and mains around it, from the outside, and heading the level of a heading, or 0."""
 
     text: str
     words: int
     stops: float
     links: float
-    in_article: bool
-    furniture: bool
-    heading: bool
+    containers: tuple[int, ...]
+    furniture: str | None
+    by_class: bool
+    heading: int
+    in_list: bool
     label: bool | None = None
 
 
-def _role(name: str, attrs: str, in_article: bool) -> str | None:
-    """The word that makes an element page furniture, if any."""
+def _role(name: str, attrs: str, in_article: bool) -> tuple[str | None, bool]:
+    """The word that makes an element page furniture, if any, and whether its class, id or role says so."""
     if name in _FURNITURE or (name == "header" and not in_article):
-        return name
+        return name, False
     if not attrs:
-        return None
+        return None, False
     values: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attrs):
-        values.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
-    if "hidden" in values and values["hidden"] != "false" or values.get("aria-hidden") == "true" or _UNSEEN.search(values.get("style", "")):
-        return "hidden"
+        values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in values and values["hidden"].lower() != "false" or values.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(values.get("style", "")):
+        return "hidden", False
     if name in _WRAPPERS:
-        return None
-    named = [n for key in ("class", "id", "role") for n in values.get(key, "").split()]
-    for n in named:
-        if _STATE.search(n):
+        return None, False
+    for named in (n for key in ("class", "id", "role") for n in values.get(key, "").split()):
+        words = _LETTERS.findall(_CAMEL.sub("-", named).lower())
+        own = [w for w in words if w in _FURNITURE_WORDS]
+        if own and all(w in _FURNITURE_WORDS or w in _PLAIN_WORDS for w in words):
+            return own[0], True
+        if words == ["header"] and not in_article:
+            return "header", True
+    return None, False
+
+
+def tags_of(page: str):
+    """(text before, element name, whether it closes, attributes) for each tag, and the rest with no name.
+
+    Every place is passed over a bounded number of times. Comments and declarations are left
+    out; without an end they reach to the end of the page. A tag that no > outside its quoted
+    values ends is read to its first >, and so are all after it.
+    """
+    at, done, last, quotes = 0, 0, page.rfind(">"), True
+    missing: set[str] = set()
+    while (at := page.find("<", at)) >= 0:
+        sign = page[at + 1 : at + 2]
+        if sign in ("!", "?") or sign == "/" and not page[at + 2 : at + 3].isalpha():
+            end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
+            yield page[done:at], "", False, ""
+            at = done = end if end > 3 or end > at else len(page)
+            continue
+        m = _NAME.match(page, at + 1)
+        if not m or at > last:
+            at += 1
             continue
-        for word in re.split(r"[^a-z]+", n):
-            if word in _FURNITURE_WORDS or (word == "header" and not in_article):
-                return word
-    return None
+        rest = _TAG_REST.match(page, m.end()) if quotes else None
+        if not rest:
+            quotes = False
+        end = rest.end() if rest else page.find(">", at) + 1
+        name = m[0].lower()
+        yield page[done:at], name.lstrip("/"), name[0] == "/", page[m.end() : end - 1]
+        at = done = end
+        if name in _RAW and page[end - 2] != "/" and name not in missing:
+            found = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            if found:
+                at = done = (page.find(">", found.end()) + 1) or len(page)
+            elif name in _TO_THE_END:
+                at = done = len(page)
+            else:
+                missing.add(name)
+    yield page[done:], "", False, ""
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, with empty ones left out."""
     found: list[Block] = []
-    stack: list[tuple[str, str | None, bool]] = []  # element, furniture word, inside an article
+    # element, furniture word, whether its class says so, containers
+    stack: list[tuple[str, str | None, bool, tuple[int, ...]]] = [("", None, False, ())]
+    is_open: Counter[str] = Counter()
     pieces: list[str] = []
     linked: list[str] = []
-    links = 0
+    links = containers = 0
 
     def flush():
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
             words = [w.strip(".,;:!?()[]\"'%*#&$").lower() for w in text.split()]
+            unspaced = len(_UNSPACED.findall(text))
             inside = len("".join(html.unescape("".join(linked)).split()))
+            name, furniture, by_class, around = stack[-1]
             found.append(
                 Block(
-                    text, len(words), sum(w in STOP_WORDS for w in words) / len(words),
-                    inside / max(1, len(text.replace(" ", ""))), bool(stack and stack[-1][2]), bool(stack and stack[-1][1]),
-                    bool(stack and re.fullmatch("h[1-6]", stack[-1][0])),
+                    text, len(words) + unspaced // 2, sum(w in STOP_WORDS for w in words) / len(words), inside / max(1, len(text.replace(" ", ""))),
+                    around, furniture, by_class, int(name[1]) if len(name) == 2 and name[0] == "h" and name[1].isdigit() else 0, name in ("li", "dt", "dd"),
                 )
             )
         pieces.clear()
@@ -123,75 +180,96 @@ def blocks_of(page: str) -> list[Block]:
         if links:
             linked.append(part)
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m["name"] or m["name2"]
-        if not name:
-            continue
-        name, closing = name.lower(), bool(m["close"] or m["close2"])
-        attrs = m["attrs"] or m["attrs2"] or ""
-        if name in _RAW:
-            if not closing and not attrs.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page) if name in ("script", "style", "textarea", "title") else at
-            text(" ")
-        elif name == "a":
-            links = max(0, links - 1) if closing else 1
-        elif name in _BREAKS:
+    def close():
+        is_open[stack.pop()[0]] -= 1
+
+    for before, name, closing, attrs in tags_of(page):
+        if before:
+            text(before)
+        if name == "a":
+            links = 0 if closing else 1
+        elif name in _BREAKS or name in _RAW:
             text(" ")
         elif name in _BLOCKS:
             flush()
             links = 0
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if is_open[name]:
+                    while stack[-1][0] != name:
+                        close()
+                    close()
             elif name not in _VOID:
-                if stack and name in _SELF_CLOSING and stack[-1][0] == name or name[0] == "h" and stack and stack[-1][0] == "p":
-                    stack.pop()
-                _, outer, in_article = stack[-1] if stack else ("", None, False)
-                if stack and stack[-1][0] == "head" and name != "head":
+                if stack[-1][0] == "p" or stack[-1][0] == name and name in _SELF_CLOSING:
+                    close()
+                inner, outer, by_class, around = stack[-1]
+                if inner == "head":
                     outer = None
-                own = _role(name, attrs, in_article)
-                if name in ("article", "main") and own is None:
-                    in_article, outer = True, outer if outer in _LASTING else None
-                stack.append((name, own or outer, in_article))
-    if at < len(page):
-        text(page[at:])
+                own, own_class = _role(name, attrs, bool(around))
+                if name in _CONTAINERS and own is None:
+                    around, containers = (*around[-3:], containers), containers + 1
+                    outer = outer if outer in _LASTING else None
+                stack.append((name, own or outer, own_class if own else by_class, around))
+                is_open[name] += 1
     flush()
     return found
 
 
+def _is_prose(b: Block) -> bool:
+    return b.words >= LONG_WORDS and b.stops >= STOP_SHARE and b.links <= LINK_SHARE
+
+
+def _article(blocks: list[Block]) -> tuple[int | None, bool]:
+    """The innermost article or main that holds most of the page's prose (of all text if there is no prose),
+    or none, and whether articles beside it are then teasers."""
+    free = [b for b in blocks if not b.furniture]
+    weighed = [b for b in free if _is_prose(b)] or free
+    total, held = sum(len(b.text) for b in weighed), Counter()
+    for b in weighed:
+        for c in b.containers:
+            held[c] += len(b.text)
+    most = [c for c, n in held.items() if 2 * n > total]
+    outside = sum(len(b.text) for b in weighed if not b.containers)
+    return max(most, default=None), 2 * outside >= total
+
+
 def label_blocks(blocks: list[Block]) -> None:
     """Set each block's label: True for main text.
 
-    First pass: furniture and link lists are not main text, nor is anything outside the
-    article of a page that has one; long blocks are decided by their share of stop words.
-    What is left are short blocks, and wordy ones in no language served when inside an
-    article. Second pass: those take the label of the nearest decided block, headings before
-    main text belong to it; at equal distance of unlike ones, or with none, an article's blocks count as
-    main text.
+    First pass: furniture, marks of adverts and link lists are not main text, nor is anything
+    outside the article that holds most of the page's prose, or inside teasers if most prose
+    stands outside all articles; long blocks are decided by their share of stop words, by length
+    and links alone on pages in no language served. What is left are short blocks, and wordy ones
+    without stop words inside the article. Second pass: those take the label of the nearest decided block; headings take
+    that of the block that follows. At equal distance of unlike ones an article's blocks are main
+    text and others are not; with none decided, an article's blocks are main text.
     """
-    has_article = any(b.in_article and not b.furniture for b in blocks)
-    for b in blocks:
-        if b.furniture or (has_article and not b.in_article):
+    article, teasers = _article(blocks)
+    served = any(_is_prose(b) for b in blocks if not b.furniture)
+    inside = [article in b.containers if article is not None else False for b in blocks]
+    titled = any(b.heading == 1 for b, i in zip(blocks, inside) if i and not b.furniture)
+    first = inside.index(True) if True in inside else 0
+    for k, b in enumerate(blocks):
+        if b.furniture or b.text.strip(" :.-–—").lower() in _ADVERT_LABELS:
+            b.label = False
+        elif article is not None and not inside[k]:
+            above = blocks[k + 1 : first] if k < first else [b]
+            b.label = b.heading == 1 and not titled and k < first and len(above) < 4 and not any(a.heading == 1 for a in above)
+        elif article is None and teasers and b.containers:
             b.label = False
-        elif b.links > LINK_SHARE and (b.words < LONG_WORDS or not b.in_article):
+        elif b.links > LINK_SHARE and (b.in_list or b.links > MOSTLY_LINKS or not inside[k]) and (b.words < LONG_WORDS or not inside[k]):
             b.label = False
-        elif b.words >= LONG_WORDS and b.stops >= STOP_SHARE:
+        elif _is_prose(b):
             b.label = True
-        elif b.words >= LONG_WORDS and b.stops < FEW_STOPS and not b.in_article:
+        elif b.words >= LONG_WORDS and not served:
+            b.label = True
+        elif b.words >= LONG_WORDS and b.stops < FEW_STOPS and not inside[k]:
             b.label = False
     near: list[list[tuple[int, bool] | None]] = []
     for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
         last, side = None, [None] * len(blocks)
         for k in order:
             side[k] = (abs(k - last), blocks[last].label) if last is not None else None
-            if blocks[k].label is not None and not (blocks[k].furniture and blocks[k].in_article):
+            if blocks[k].label is not None and (article is None or inside[k] and not blocks[k].furniture):
                 last = k
         near.append(side)
     decided = [b.label for b in blocks]
@@ -199,23 +277,28 @@ def label_blocks(blocks: list[Block]) -> None:
         if decided[k] is not None:
             continue
         sides = [s for s in (near[0][k], near[1][k]) if s]
-        if b.in_article and (not sides or any(label for _, label in sides)):
-            b.label = True
-        elif b.heading and near[1][k] and near[1][k][1]:
-            b.label = True
-        elif not sides:
-            b.label = b.stops > 0 or b.words >= LONG_WORDS
+        closest = {label for d, label in sides if d == min(d for d, _ in sides)}
+        if b.heading and near[1][k]:
+            b.label = near[1][k][1] or (inside[k] and b.heading == 1)
+        elif inside[k]:
+            b.label = closest != {False}
         else:
-            closest = min(d for d, _ in sides)
-            b.label = all(label for d, label in sides if d == closest)
-            if b.in_article and not b.label and all(not label for _, label in sides):
-                b.label = b.links <= LINK_SHARE
+            b.label = closest == {True} if closest else b.stops > 0 or b.words >= LONG_WORDS
 
 
 def main_text(page: str | None) -> str:
-    """Main text of a page, blocks joined by line feeds; empty when there is none."""
+    """Main text of a page, blocks joined by line feeds; empty when there is none.
+
+    If class names leave nothing, those that are often set around whole pages are not believed.
+    """
     blocks = blocks_of(page or "")
     label_blocks(blocks)
+    if not any(b.label for b in blocks) and any(b.by_class and b.furniture in _SOFT and _is_prose(b) for b in blocks):
+        for b in blocks:
+            b.label = None
+            if b.by_class and b.furniture in _SOFT:
+                b.furniture = None
+        label_blocks(blocks)
     return "\n".join(b.text for b in blocks if b.label)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -13,24 +14,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, modest_batches
+from docloom.llm.rolling import by_bytes
 
 #: Labelled rows that the model is fitted on at most (those of smallest hash), and its landmarks.
 TRAIN_ROWS = 6000
 LANDMARKS = 40
 #: Kernel value from which a landmark is too much like an earlier one.
-ALIKE = 0.7
+ALIKE = 0.5
+#: Standard errors between its shares among toxic and other texts that a landmark has at least.
+LEAST_GAP = 5.0
 ORDER = 3
 DECAY = 0.7
-#: Normalised kernel values below this count as nothing shared: none does, the machine weighs all.
-FLOOR = 0.0
-#: Floors at which a value counts once more, so that the machine can weigh strong likeness by itself.
-STEPS = (0.3, 0.6)
+#: Powers of the kernel, each a kernel by itself, that the machine weighs: higher ones tell strong likeness apart.
+POWERS = (1, 2, 4)
 #: Letters of a word's windows, and of the shortest landmark.
 WINDOW = 8
 LEAST = 3
-#: Entries of each memo of a worker before it is emptied.
-MEMO_WORDS = 80_000
-TEXTS_AT_ONCE = 128
+#: Rows of each of the two generations of a worker's memo, and texts and tokens that are scored together.
+MEMO_WORDS = 150_000
+TEXTS_AT_ONCE = 256
+TOKENS_AT_ONCE = 50_000
 
 #: Characters commonly written for letters.
 _LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
@@ -65,9 +68,9 @@ def parts_of(word: str) -> list[str]:
     return parts
 
 
-def stepped(x: np.ndarray) -> np.ndarray:
-    """Roots of kernel values, followed by those of their shares above each of STEPS."""
-    return np.concatenate([x] + [np.sqrt(np.clip((x**2 - s) / (1 - s), 0, 1)) for s in STEPS], axis=-1)
+def powers(x: np.ndarray) -> np.ndarray:
+    """Kernel values raised to each of POWERS, one block after the other."""
+    return np.concatenate([x**p for p in POWERS], axis=-1)
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -76,10 +79,12 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
 
 
-def subsequence_kernel(a: list[str], b: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+def subsequence_kernel(a: list[str], b: list[str] | None, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """Gap-weighted subsequence kernel of a[i] and b[i] for each i: common subsequences of
-    `order` letters, each weighted by decay to the power of the lengths it spans in both."""
-    s, t = _codes(a), _codes(b)
+    `order` letters, each weighted by decay to the power of the lengths it spans in both.
+    Without b, of each a[i] and itself."""
+    s = _codes(a)
+    t = s if b is None else _codes(b)
     rows, m, n = len(a), s.shape[1], t.shape[1]
     if not rows or m < order or n < order:
         return np.zeros(rows)
@@ -98,85 +103,121 @@ def subsequence_kernel(a: list[str], b: list[str], order: int = ORDER, decay: fl
 class Landmarks:
     """Normalised kernel between words and landmark words.
 
-    A landmark letter that a word lacks removes every subsequence through it, so the
-    kernel is at most the square root of the landmark's remaining share (Cauchy-Schwarz);
-    pairs for which this bound is 0 need no kernel.
+    The kernel of order 3 is the inner product of two sparse vectors, which hold for every
+    three letters the weights of their common subsequences. Those of the landmarks are
+    laid out in a table by letters once; a word looks up its own threes in it.
     """
 
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.self_kernel = subsequence_kernel(words, words)
-        self.letters = [sorted(set(w)) for w in words]
-        self.bound = []
-        for w, letters, whole in zip(words, self.letters, self.self_kernel):
-            kept = ["".join(c if 1 << letters.index(c) & mask else "\0" for c in w) for mask in range(1 << len(letters))]
-            self.bound.append(np.sqrt(np.maximum(subsequence_kernel(kept, kept), 0) / whole))
+    def __init__(self, words: list[str], decay: float = DECAY):
+        self.words, self.decay = words, decay
+        self.self_kernel = subsequence_kernel(words, words, ORDER, decay)
+        letters = sorted(set("".join(words)))
+        self.letters, self.base = np.array([ord(c) for c in letters], np.uint32), len(letters) + 1
+        self.threes: dict[int, tuple[np.ndarray, ...]] = {}
+        held: dict[int, np.ndarray] = {}
+        for k, word in enumerate(words):
+            if len(word) < ORDER:
+                continue
+            codes, weights = self._threes_of(_codes([word]))
+            for code, weight in zip(codes[0].tolist(), weights.tolist()):
+                held.setdefault(code, np.zeros(len(words), np.float32))[k] += weight
+        self.row = np.zeros(self.base**3, np.int32)
+        self.row[list(held)] = np.arange(1, len(held) + 1)
+        self.weights = np.concatenate([np.zeros((1, len(words)), np.float32), *(v[None] for v in held.values())])
+
+    def _threes_of(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code of each three letters of words of one length (0 if no landmark has one of them), and the weights by place."""
+        n = grid.shape[1]
+        if n not in self.threes:
+            places = np.array(list(combinations(range(n), ORDER)), np.int64)
+            self.threes[n] = (*places.T, (self.decay ** (places[:, -1] - places[:, 0] + 1)).astype(np.float32))
+        i, j, k, weights = self.threes[n]
+        at = np.minimum(np.searchsorted(self.letters, grid), len(self.letters) - 1)
+        index = np.where(self.letters[at] == grid, at + 1, 0).astype(np.int32)
+        a, b, c = index[:, i], index[:, j], index[:, k]
+        return np.where((a > 0) & (b > 0) & (c > 0), (a * self.base + b) * self.base + c, 0), weights
 
     def similar(self, words: list[str]) -> np.ndarray:
-        """(word, landmark) values from 0, with nothing shared, to 1, for equal words; the root lets altered words count."""
+        """(word, landmark) values from 0, with nothing shared, to 1, for equal words."""
         out = np.zeros((len(words), len(self.words)), np.float32)
-        grid = _codes(words)
-        pairs = []
-        has: dict[str, np.ndarray] = {}
-        for k, letters in enumerate(self.letters):
-            mask = np.zeros(len(words), np.int64)
-            for bit, c in enumerate(letters):
-                if c not in has:
-                    has[c] = (grid == ord(c)).any(axis=1)
-                mask |= has[c].astype(np.int64) << bit
-            near = np.flatnonzero(self.bound[k][mask] > FLOOR)
-            pairs.append(np.stack([near, np.full(len(near), k)], axis=1))
-        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        own: dict[int, float] = {}
-        index = np.unique(pairs[:, 0])
-        for at in range(0, len(index), 4096):
-            part = index[at : at + 4096]
-            ws = [words[i] for i in part]
-            own.update(zip(part.tolist(), subsequence_kernel(ws, ws).tolist()))
-        for at in range(0, len(pairs), 4096):
-            i, k = pairs[at : at + 4096, 0], pairs[at : at + 4096, 1]
-            value = subsequence_kernel([words[x] for x in i], [self.words[x] for x in k])
-            size = np.sqrt(np.array([own[x] for x in i.tolist()]) * self.self_kernel[k])
-            value = np.divide(value, size, out=np.zeros_like(value), where=size > 0)
-            out[i, k] = np.sqrt(np.clip((value - FLOOR) / (1 - FLOOR), 0, 1))
-        return out
+        lengths = np.array([len(w) for w in words], np.int64)
+        for n in np.unique(lengths[lengths >= ORDER]).tolist():
+            mine = np.flatnonzero(lengths == n)
+            for at in range(0, len(mine), 2048):
+                rows = mine[at : at + 2048]
+                part = [words[r] for r in rows.tolist()]
+                codes, weights = self._threes_of(_codes(part))
+                which, three = np.nonzero(self.row[codes])
+                if not len(which):
+                    continue
+                shared = self.weights[self.row[codes[which, three]]] * weights[three, None]
+                first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+                hit = which[first]
+                own = subsequence_kernel([part[h] for h in hit.tolist()], None, ORDER, self.decay)
+                out[rows[hit]] = np.add.reduceat(shared, first) / np.sqrt(own[:, None] * self.self_kernel)
+        return np.clip(out, 0, 1)
 
 
 class WordScorer:
-    """Best landmark values over a text's words, with memos of recurring tokens and windows."""
+    """Best landmark values over a text's words, with a memo of recurring tokens.
+
+    The memo has two generations of at most MEMO_WORDS rows: what a group of texts uses is
+    entered in, or moved to, the new one; when that is full it becomes the old one.
+    """
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
-        self.parts: dict[str, np.ndarray] = {}
-        self.tokens: dict[str, np.ndarray] = {}
-
-    def _learn(self, tokens: list[str]) -> None:
-        """Enter tokens."""
-        cut = [parts_of(normal_word(t)) for t in tokens]
-        new = sorted({p for parts in cut for p in parts if p not in self.parts})
-        for at in range(0, len(new), 20_000):
-            block = new[at : at + 20_000]
-            self.parts.update(zip(block, self.landmarks.similar(block)))
-        for token, parts in zip(tokens, cut):
-            self.tokens[token] = np.max([self.parts[p] for p in parts], axis=0) if len(parts) > 1 else self.parts[parts[0]]
+        self.old: tuple[dict[str, int], np.ndarray] = ({}, self._blank(0))
+        self.rows: dict[str, int] = {}
+        self.values = self._blank(0)
+
+    def _blank(self, rows: int) -> np.ndarray:
+        return np.zeros((rows, len(self.landmarks.words)), np.float16)
+
+    def _of_tokens(self, tokens: list[str]) -> np.ndarray:
+        """Values of tokens: the best of each word's parts."""
+        words = [normal_word(t) for t in tokens]
+        distinct = list(dict.fromkeys(words))
+        cut = [parts_of(w) for w in distinct]
+        place: dict[str, int] = {}
+        index = np.array([place.setdefault(p, len(place)) for parts in cut for p in parts], np.int64)
+        first = np.concatenate([[0], np.cumsum([len(parts) for parts in cut])[:-1]])
+        best = np.maximum.reduceat(self.landmarks.similar(list(place))[index], first).astype(np.float16)
+        where = {w: k for k, w in enumerate(distinct)}
+        return best[[where[w] for w in words]]
+
+    def _learn(self, tokens: set[str]) -> None:
+        """Have all tokens in the new generation."""
+        if len(self.rows) > MEMO_WORDS:
+            self.old = (self.rows, self.values[: len(self.rows)].copy())
+            self.rows = {}
+        known, values = self.old
+        missing = tokens.difference(self.rows)
+        kept = list(missing.intersection(known))
+        new = list(missing.difference(kept))
+        need = len(self.rows) + len(kept) + len(new)
+        if need > len(self.values):
+            grown = self._blank(need + need // 2)
+            grown[: len(self.rows)] = self.values[: len(self.rows)]
+            self.values = grown
+        for part, of in ((kept, lambda ts: values[[known[t] for t in ts]]), (new, self._of_tokens)):
+            for at in range(0, len(part), 10_000):
+                some = part[at : at + 10_000]
+                start = len(self.rows)
+                self.values[start : start + len(some)] = of(some)
+                self.rows.update(zip(some, range(start, start + len(some))))
 
     def features(self, texts: list[str]) -> np.ndarray:
         """(text, landmark): the best value of any word in the text."""
         out = np.zeros((len(texts), len(self.landmarks.words)), np.float32)
         found = [tokens_of(t) for t in texts]
-        every = list(set().union(*found))
-        for at in range(0, len(every), MEMO_WORDS // 4):
-            part = every[at : at + MEMO_WORDS // 4]
-            if len(self.tokens) + len(part) > MEMO_WORDS:
-                self.tokens.clear()
-            if len(self.parts) > MEMO_WORDS:
-                self.parts.clear()
-            self._learn([t for t in part if t not in self.tokens])
-            values = np.stack([self.tokens[t] for t in part])
-            place = {t: i for i, t in enumerate(part)}
-            for i, tokens in enumerate(found):
-                if hit := [place[t] for t in tokens if t in place]:
-                    out[i] = np.maximum(out[i], values[hit].max(axis=0))
+        for block in by_bytes([len(f) for f in found], TOKENS_AT_ONCE):
+            if any(f for f in found[block]):
+                self._learn(set().union(*found[block]))
+                some = [k for k in range(block.start, block.stop) if found[k]]
+                index = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(found[k] for k in some)), np.int64)
+                sizes = [len(found[k]) for k in some]
+                out[some] = np.maximum.reduceat(self.values[index], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
         return out
 
 
@@ -195,7 +236,7 @@ class ToxicityModel:
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(features), self.constant)
-        margin = stepped(features) @ self.project @ self.weight + self.bias
+        margin = powers(features) @ self.project @ self.weight + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
@@ -315,9 +356,9 @@ def fit_toxicity(
     order = np.lexsort(np.concatenate([x.T, y[None]]))
     x, y = x[order], y[order]
     gram = Landmarks(words).similar(words).astype(np.float64)
-    x, size = stepped(x), len(words)
+    x, size = powers(x), len(words)
     project = np.zeros((x.shape[1], x.shape[1]))
-    for at, block in zip(range(0, len(project), size), np.split(stepped(gram), 1 + len(STEPS), axis=1)):
+    for at, block in zip(range(0, len(project), size), np.split(powers(gram), len(POWERS), axis=1)):
         value, vector = np.linalg.eigh((block + block.T) / 2)
         project[at : at + size, at : at + size] = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
     weight, bias = train_svm(x @ project, y)
