@@ -6,10 +6,14 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: Bytes of one of the memo's two generations; with about as much for the other this bounds a worker's memory.
 MEMO_BYTES = 72 << 20
 #: Bytes that an entry takes besides its characters and ids.
 _ENTRY = 170
+#: Pieces that are encoded as one string.
+_JOINED = 256
 
 _TWO_SPACES = re.compile(r"\s\s")
 _ONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -42,6 +46,10 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():  # each sign of a byte-level token stands for a byte
+            self.token_bytes[number] = len(token)
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.size = 0
@@ -61,6 +69,25 @@ class PieceEncoder:
             return _ONE_SPACE.split(text)
         return text.replace("\n", " \n").split(" ")
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of spelled pieces, none of which ends in white space: encoded together and cut by their bytes."""
+        out: list[bytes] = []
+        groups = [pieces[at : at + _JOINED] for at in range(0, len(pieces), _JOINED)]
+        encoded = self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, encoded):
+            ids = np.array(encoding.ids, np.uint32)
+            ends = np.cumsum(self.token_bytes[ids])
+            want = np.cumsum(np.fromiter((len(p.encode()) for p in group), np.int64, len(group)))
+            stop = np.minimum(np.searchsorted(ends, want), len(ends) - 1)
+            if not np.array_equal(ends[stop], want):
+                out += self._whole(group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for k in (4 * (stop + 1)).tolist():
+                out.append(raw[at:k])
+                at = k
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
         """Have all pieces in the new generation."""
         if self.size > MEMO_BYTES:
@@ -69,8 +96,10 @@ class PieceEncoder:
         kept = {p: self.old[p] for p in missing.intersection(self.old)}
         new = list(missing.difference(kept))
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            kept.update(zip(part, self._whole([p if p[:1] == "\n" else " " + p for p in part])))
+            part = [p for p in new[at : at + 20_000] if p and not p[-1].isspace()]
+            kept.update(zip(part, self._joined([p if p[0] == "\n" else " " + p for p in part])))
+            rest = [p for p in new[at : at + 20_000] if p not in kept]
+            kept.update(zip(rest, self._whole([p if p[:1] == "\n" else " " + p for p in rest])))
         self.memo.update(kept)
         self.size += _ENTRY * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
 
