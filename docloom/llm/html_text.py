@@ -219,25 +219,25 @@ def _is_prose(b: Block) -> bool:
 
 
 def _article(blocks: list[Block]) -> tuple[int | None, bool]:
-    """The innermost article or main that holds most of the page's prose (of all text if there is no prose),
-    or none, and whether articles beside it are then teasers."""
+    """The innermost article or main that holds most of the text of all of them, and no less than a third
+    of the prose outside it; if there is none, whether articles are but teasers beside the page's prose."""
     free = [b for b in blocks if not b.furniture]
-    weighed = [b for b in free if _is_prose(b)] or free
-    total, held = sum(len(b.text) for b in weighed), Counter()
-    for b in weighed:
+    held: Counter[int] = Counter()
+    for b in free:
         for c in b.containers:
             held[c] += len(b.text)
-    most = [c for c, n in held.items() if 2 * n > total]
-    outside = sum(len(b.text) for b in weighed if not b.containers)
-    return max(most, default=None), 2 * outside >= total
+    inside = sum(len(b.text) for b in free if b.containers)
+    prose = {c: sum(len(b.text) for b in free if _is_prose(b) and c not in b.containers) for c, n in held.items() if 2 * n > inside}
+    chosen = max((c for c, outside in prose.items() if 3 * held[c] >= outside), default=None)
+    beside = sum(len(b.text) for b in free if _is_prose(b) and not b.containers)
+    return chosen, beside > inside
 
 
 def label_blocks(blocks: list[Block]) -> None:
     """Set each block's label: True for main text.
 
     First pass: furniture, marks of adverts and link lists are not main text, nor is anything
-    outside the article that holds most of the page's prose, or inside teasers if most prose
-    stands outside all articles; long blocks are decided by their share of stop words, by length
+    outside the page's article, or inside articles that are but teasers; long blocks are decided by their share of stop words, by length
     and links alone on pages in no language served. What is left are short blocks, and wordy ones
     without stop words inside the article. Second pass: those take the label of the nearest decided block; headings take
     that of the block that follows. At equal distance of unlike ones an article's blocks are main

@@ -45,6 +45,40 @@ def test_wrappers_named_for_furniture():
         assert main_text(f"<body><{tag}><p>{PROSE} gone</p></div><p>{PROSE}</p></body>") == PROSE, tag
 
 
+def test_class_names_around_whole_pages():
+    for tag in ("body class='has-sidebar'", "div class='post with-comments'", "article class='post comments-open'", "main class='page search-enabled'", "div class='sidebar'"):
+        assert main_text(f"<html><{tag}><p>{PROSE}</p></{tag.split()[0]}></html>") == PROSE, tag
+    for tag in ("div class='comments'", "div class='siteFooter'", "div class='cookie-notice'", "section id='related-posts'", "div class='share-buttons'"):
+        assert main_text(f"<div><p>{PROSE}</p></div><{tag}><p>{PROSE} gone</p></{tag.split()[0]}>") == PROSE, tag
+
+
+def test_best_article():
+    teaser = f"<article><h2>Next</h2><p>{PROSE[:30]}</p></article>"
+    assert main_text(f"<div id=content><p>{PROSE}</p><p>{PROSE}</p></div>{teaser}") == f"{PROSE}\n{PROSE}"
+    assert main_text(f"<h1>Top</h1><article><p>{PROSE}</p></article>{teaser}") == f"Top\n{PROSE}"
+    assert main_text(f"<main><article><p>{PROSE}</p><p>{PROSE}</p></article>{teaser}</main>") == f"{PROSE}\n{PROSE}"
+
+
+def test_second_pass_inside_articles():
+    page = f"<article><p>{PROSE}</p><p>Advertisement</p><p><a>Buy now!</a></p><p>{PROSE}</p><p>So <math><mi>m</mi></math></p><p>See <a>the other study</a></p></article>"
+    assert main_text(page) == f"{PROSE}\n{PROSE}\nSo m\nSee the other study"
+
+
+def test_scripts_without_spaces():
+    text = "狐狸在房子里它在垫子上休息了一天" * 4
+    assert main_text(f"<body><nav><a>首页</a></nav><p>{text}</p><ul><li><a>链接</a></li></ul></body>") == text
+
+
+def test_time_grows_with_the_page():
+    """Twice the page takes about twice the time, whatever is left open."""
+    import time
+
+    for unit in ("<a ", '<a href="x', '<a =">"', "<b x='", "<noscript>", "<button>", "<div>", "<div></p>", "<!-- ", "</p <", "<script>"):
+        began = time.process_time()
+        main_text(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 12, unit
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (None, "u", "<p>unclosed"), (3, "u", "<!-- open"), (4, "u", "<" * 5000), (4, "u", "<" * 5000)], "page_id bigint, url string, html string")
     got = extract_pages(pages).collect()
