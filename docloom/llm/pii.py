@@ -272,7 +272,8 @@ def _model(kind: str, examples: int, precision: float) -> tuple[BoostedTrees, fl
         order = np.argsort(-p, kind="stable")
         right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
         ok = np.flatnonzero(right >= precision)
-        least = max(least, float(p[order][ok[-1]]) if len(ok) else 1.1)
+        around = p[order][ok[-1] : ok[-1] + 2] if len(ok) else np.array([1.1])  # between the last one taken and the next
+        least = max(least, float(around.mean()))
     return trees, least
 
 
