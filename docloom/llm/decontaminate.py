@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
-import json
-import math
-from collections import defaultdict
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import modest_batches
-from docloom.llm.rolling import Prefix, WordBuffer, by_bytes
+from docloom.llm.common import materialize, modest_batches, release
+from docloom.llm.rolling import Prefix, WordBuffer, by_bytes, small
 
 SEED_WORDS = 5
 COVERAGE = 0.8
-#: Benchmark words that travel with the tasks at most; a larger benchmark is taken in several rounds.
-ROUND_WORDS = 1_000_000
+#: Bits of the map of benchmark seeds that travels with the tasks: its size is fixed, whatever the benchmark's.
+MAP_BITS = 26
+#: Candidate items that one row brings to a document's text.
+ITEMS_AT_ONCE = 256
 _CHUNK_WORDS = 100_000
 _BLOCK_BYTES = 1 << 21
 
@@ -34,159 +30,271 @@ def plain_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_PLAIN).split()
 
 
+class _Words:
+    """Hashes of all runs of words of one text."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.prefix = Prefix(b" ".join(words))
+
+    def runs(self, size: int) -> np.ndarray:
+        """Hash of the run of `size` words from each word on."""
+        n = len(self.words) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        return self.prefix.of(self.start[:n], self.start[size : size + n] - 1)
+
+
 def seed_hashes(words: list[bytes], size: int = SEED_WORDS) -> np.ndarray:
     """Hash of each run of `size` consecutive words."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    return Prefix(b" ".join(words)).of(start[:n], start[size:] - 1)
+    return _Words(words).runs(size)
+
 
+def _free_runs(used: np.ndarray, size: int) -> np.ndarray:
+    """Places from which `size` places are all unused."""
+    if len(used) < size:
+        return np.zeros(0, np.int64)
+    sums = np.concatenate([[0], np.cumsum(used)])
+    return np.flatnonzero(sums[size:] == sums[:-size])
 
-def tiles(item: list[bytes], doc: list[bytes], pairs: np.ndarray, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seed pairs (item place, document place).
 
-    Seeds next to each other on a diagonal make a match; the longest match whose words
-    are all free is marked in both texts, what overlaps a mark is cut to its free parts,
-    and so on down to `least` words. Returns (item place, document place, words).
+def tiles(item: list[bytes], doc: list[bytes], least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (item place, document place, words).
+
+    The longest run of words that is free in both texts is marked in both, the one of the
+    smallest places if there are several, and so on down to `least` words. Runs of one
+    length are compared by Karp-Rabin hashes; the longest length is found by halving, as
+    texts that share a run share all shorter ones; equal hashes are not taken on trust.
+    No list of all matching places is made, so repetitive texts cost no more than others.
     """
-    order = np.lexsort([pairs[:, 1], pairs[:, 1] - pairs[:, 0]])
-    i, j = pairs[order, 0], pairs[order, 1]
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(j - i) != 0) | (np.diff(j) != 1)]))
-    length = np.diff(np.concatenate([cut, [len(i)]])) + least - 1
-    heap = [(-n, a, b) for n, a, b in zip(length.tolist(), i[cut].tolist(), j[cut].tolist())]
-    heapq.heapify(heap)
-    used_item, used_doc, out = np.zeros(len(item), bool), set(), []
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        n = -n
-        free = [not used_item[a + k] and b + k not in used_doc for k in range(n)]
-        if all(free):
-            if item[a : a + n] == doc[b : b + n]:  # equal hashes are not taken on trust
-                used_item[a : a + n] = True
-                used_doc.update(range(b, b + n))
-                out.append((a, b, n))
-            continue
-        k = 0
-        while k < n:
-            run = k
-            while run < n and free[run]:
-                run += 1
-            if run - k >= least:
-                heapq.heappush(heap, (k - run, a + k, b + k))
-            k = run + 1
-    return out
+    seeds, own = seed_hashes(item, least), seed_hashes(doc, least)
+    near = np.zeros(len(doc) + 1, np.int64)
+    for k in np.flatnonzero(np.isin(own, seeds)).tolist():
+        near[k] += 1
+        near[k + least] -= 1
+    near = np.cumsum(near)[:-1] > 0
+    kept = np.flatnonzero(near | np.concatenate([[False], near[:-1]]))  # and one word after each stretch, to part them
+    a, b = _Words(item), _Words([doc[k] for k in kept.tolist()])
+    used_a, used_b = np.zeros(len(item), bool), ~near[kept]
+    out: list[tuple[int, int, int]] = []
 
+    def shared(size: int) -> bool:
+        return bool(np.isin(a.runs(size)[_free_runs(used_a, size)], b.runs(size)[_free_runs(used_b, size)]).any())
 
-class Benchmark:
-    """Seeds of a bounded set of test items."""
-
-    def __init__(self, items: list[tuple[int, str | None]], least: int = SEED_WORDS):
-        self.least = least
-        self.items = [(item_id, words) for item_id, text in items if len(words := plain_words(text)) >= least]
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(self.items):
-            for place, h in enumerate(seed_hashes(words, least).tolist()):
-                self.at[h].append((k, place))
-        self.seeds = np.array(sorted(self.at), np.uint64)
-        self.quick = np.zeros(1 << 20, bool)
-        self.quick[self.seeds >> np.uint64(44)] = True
-
-    def _seeded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a document that start a seed, and the seed's hash; long texts go by overlapping parts."""
-        places, hashes = [], []
-        for at in range(0, max(1, len(words) - self.least + 1), _CHUNK_WORDS):
-            h = seed_hashes(words[at : at + _CHUNK_WORDS + self.least - 1], self.least)
-            hit = self._known(h)
-            places.append(hit + at)
-            hashes.append(h[hit])
-        return np.concatenate(places), np.concatenate(hashes)
-
-    def _known(self, hashes: np.ndarray) -> np.ndarray:
-        """Indices of the hashes that are seeds."""
-        hit = np.flatnonzero(self.quick[hashes >> np.uint64(44)])
-        return hit[np.isin(hashes[hit], self.seeds)]
-
-    def covered(self, texts: list[str | None]) -> list[dict[int, float]]:
-        """For each text the share of each seeded item's words that tiles cover, by item id
-        (the largest, if items share an id)."""
-        out: list[dict[int, float]] = [{} for _ in texts]
-        raw = [(t or "").encode() for t in texts]
-        for block in by_bytes([len(t) for t in raw], _BLOCK_BYTES):
-            if block.stop - block.start == 1 and len(raw[block.start]) > _BLOCK_BYTES:
-                words = plain_words(texts[block.start])
-                out[block.start] = self._tiled(words, *self._seeded(words))
+    size = min(len(item), len(b.words))
+    while size >= least and shared(least):
+        low, high = least, size
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if shared(middle) else (low, middle - 1)
+        size = low
+        free_a, free_b = _free_runs(used_a, size), _free_runs(used_b, size)
+        hash_a, hash_b = a.runs(size)[free_a], b.runs(size)[free_b]
+        places: dict[int, list[int]] = {}
+        common = np.isin(hash_b, hash_a)
+        for h, j in zip(hash_b[common][::-1].tolist(), free_b[common][::-1].tolist()):
+            places.setdefault(h, []).append(j)
+        common = np.isin(hash_a, hash_b)
+        for h, i in zip(hash_a[common].tolist(), free_a[common].tolist()):
+            if used_a[i : i + size].any():
                 continue
-            buffer = WordBuffer(raw[block], _PLAIN)
-            word, text = buffer.runs(self.least)
-            hashes = buffer.hashes(word, self.least)
-            hit = self._known(hashes)
-            word, text, hashes = word[hit] - buffer.bounds[text[hit]], text[hit], hashes[hit]
-            for t in np.unique(text).tolist():
-                mine = text == t
-                out[block.start + t] = self._tiled(plain_words(texts[block.start + t]), word[mine], hashes[mine])
-        return out
-
-    def _tiled(self, words: list[bytes], places: np.ndarray, hashes: np.ndarray) -> dict[int, float]:
-        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for j, h in zip(places.tolist(), hashes.tolist()):
-            for k, i in self.at[h]:
-                pairs[k].append((i, j))
-        out: dict[int, float] = {}
-        for k, found in pairs.items():
-            item_id, item = self.items[k]
-            share = sum(n for *_, n in tiles(item, words, np.array(found), self.least)) / len(item)
-            out[item_id] = max(share, out.get(item_id, 0.0))
-        return out
-
-
-def benchmark_rounds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = ROUND_WORDS) -> Iterator[Benchmark]:
-    """The test items in as many parts as keep each to about `limit` words (bytes / 4 is more than its words)."""
-    rows = modest_batches(benchmark).select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / 4 / limit))
-    for k in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else rows
-        yield Benchmark([(r["item_id"], r["text"]) for r in part.collect()], SEED_WORDS)
-
-
-def _leaks(bench: Benchmark, coverage: float):
-    @F.pandas_udf("string")
-    def leaks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            found = bench.covered(texts.tolist())
-            yield pd.Series([json.dumps({str(k): round(v, 6) for k, v in f.items() if v >= coverage}) for f in found], dtype=object)
-
-    return leaks
-
-
-def leaked_items(benchmark: DataFrame, text: Column, coverage: float = COVERAGE) -> Column:
-    """map<string, double>: the test items of which a text covers at least that share, and the shares."""
-    found = [F.from_json(_leaks(b, coverage)(text), "map<string,double>") for b in benchmark_rounds(benchmark)]
-    return found[0] if len(found) == 1 else F.map_concat(*found)
+            found = places[h]
+            while found:
+                j = found[-1]
+                if used_b[j : j + size].any() or item[i : i + size] != b.words[j : j + size]:
+                    found.pop()
+                    continue
+                used_a[i : i + size] = used_b[j : j + size] = True
+                out.append((i, int(kept[j]), size))
+                break
+        size -= 1
+    return out
+
+
+def covered_share(item: list[bytes], doc: list[bytes], least: int = SEED_WORDS) -> float:
+    """Share of an item's words that tiles cover."""
+    return sum(n for *_, n in tiles(item, doc, least)) / len(item)
+
+
+def _item_rows(batches):
+    for batch in batches:
+        plain = [b" ".join(words) if len(words := plain_words(t.as_py())) >= SEED_WORDS else None for t in batch.column(1)]
+        keep = pa.array([p is not None for p in plain], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.binary())], ["item_id", "plain"]).filter(keep)
+
+
+def _item_seeds(batches):
+    for batch in batches:
+        for item, plain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seeds = np.unique(seed_hashes(plain.split())).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([item] * len(seeds), pa.int64()), pa.array(seeds)], ["item", "seed"])
+
+
+def _seeds_of(texts: list[str | None], keep):
+    """(index of text, seed) once for each text and each of its seeds that keep() lets pass; long texts go by overlapping parts."""
+    raw = [(t or "").encode() for t in texts]
+    for block in by_bytes([len(t) for t in raw], _BLOCK_BYTES):
+        if block.stop - block.start == 1 and len(raw[block.start]) > _BLOCK_BYTES:
+            words = plain_words(texts[block.start])
+            found = [np.zeros(0, np.uint64)]
+            for at in range(0, max(1, len(words) - SEED_WORDS + 1), _CHUNK_WORDS):
+                h = seed_hashes(words[at : at + _CHUNK_WORDS + SEED_WORDS - 1])
+                found.append(np.unique(h[keep(h)]))
+            seeds = np.unique(np.concatenate(found))
+            yield np.full(len(seeds), block.start), seeds
+            continue
+        buffer = WordBuffer(raw[block], _PLAIN)
+        word, text = buffer.runs(SEED_WORDS)
+        hashes = buffer.hashes(word, SEED_WORDS)
+        hit = np.flatnonzero(keep(hashes))
+        hit = hit[np.lexsort([hashes[hit], text[hit]])]
+        if len(hit):
+            first = np.concatenate([[True], (hashes[hit][1:] != hashes[hit][:-1]) | (text[hit][1:] != text[hit][:-1])])
+            yield text[hit][first] + block.start, hashes[hit][first]
+
+
+def _hit_rows(bits):
+    """(k1, k2, seed) for the seeds of each text that may be seeds of the benchmark."""
+
+    def run(batches):
+        known = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
+        keep = lambda h: known[h >> np.uint64(64 - MAP_BITS)]
+        for batch in small(batches):
+            k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
+            for text, seeds in _seeds_of([t.as_py() for t in batch.column(2)], keep):
+                yield pa.RecordBatch.from_arrays([pa.array(k1[text]), pa.array(k2[text]), pa.array(seeds.view(np.int64))], ["k1", "k2", "seed"])
+
+    return run
+
+
+def key_seeds(words: list[bytes], weight: dict[int, int], coverage: float = COVERAGE) -> list[int]:
+    """The rarest seeds of an item such that all others together lie in less than `coverage` of its words.
+
+    A text that covers the item must hold one of them.
+    """
+    seeds = seed_hashes(words).view(np.int64).tolist()
+    at: dict[int, list[int]] = {}
+    for place, seed in enumerate(seeds):
+        at.setdefault(seed, []).append(place)
+    covered, most = np.zeros(len(words), bool), coverage * len(words)
+    order = sorted(at, key=lambda s: (weight.get(s, 0), s))
+    for k in range(len(order) - 1, -1, -1):
+        for place in at[order[k]]:
+            covered[place : place + SEED_WORDS] = True
+        if covered.sum() >= most - 1e-9:
+            return order[: k + 1]
+    return []
+
+
+def _key_rows(coverage: float):
+    def run(batches):
+        for batch in batches:
+            for item, plain, listed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                keys = key_seeds(plain.split(), {s["seed"]: s["weight"] for s in listed}, coverage)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(keys), pa.int64()), pa.array(keys, pa.int64())], ["item", "seed"])
+
+    return run
+
+
+def _share_rows(batches):
+    """(k1, k2, item, share) for the items that a row brings to a text."""
+    for batch in small(batches, 64):
+        for k1, k2, text, items in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            words = plain_words(text)
+            shares = [covered_share(i["plain"].split(), words) for i in items]
+            n = len(items)
+            columns = [pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array([i["item"] for i in items], pa.int64()), pa.array(shares, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "item", "share"])
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with the columns __k1 and __k2, 128 bits of hash that stand for the text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(F.lit(1), text))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """(k1, k2, item_id, share): the test items of which a text covers at least that share; k1 and k2 as of `_keyed`.
+
+    Items of equal words are one. A map of bits, of a fixed size, lets pass the document
+    seeds that may be in the benchmark; those are joined with the key seeds of the items, the
+    rarest ones without which an item cannot be covered, so that a phrase of many items or
+    documents brings no candidates; the candidates are tiled. Nothing else than the map
+    reaches the driver.
+    """
+    spark = docs.sparkSession
+    named = modest_batches(benchmark).select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    rows = materialize(named.mapInArrow(_item_rows, "item_id bigint, plain binary"), "rows")
+    items = materialize(rows.select("plain").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = materialize(items.select("item", "plain").mapInArrow(_item_seeds, "item bigint, seed bigint"), "seeds")
+    place = F.shiftrightunsigned("seed", 64 - MAP_BITS)
+    words = seeds.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.cast("int").bitwiseAND(63))).alias("bits"))
+    table = words.toArrow()  # at most 2^MAP_BITS / 64 rows
+    bits = np.zeros((1 << MAP_BITS) // 64, np.int64)
+    bits[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(bits.tobytes())
+    texts = _keyed(modest_batches(docs).select(F.col(text_col).cast("string").alias("text")), "text").select("__k1", "__k2", "text")
+    hits = materialize(texts.mapInArrow(_hit_rows(shared), "k1 bigint, k2 bigint, seed bigint"), "hits")
+    in_docs = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n_docs"))
+    in_items = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n_items"))
+    weights = in_items.join(in_docs, "seed", "left").select("seed", (F.col("n_items") * F.coalesce("n_docs", F.lit(0))).alias("weight"))
+    listed = seeds.join(weights, "seed").groupBy("item").agg(F.collect_list(F.struct("seed", "weight")).alias("listed"))  # seeds of one item
+    keys = materialize(
+        items.join(listed, "item").select("item", "plain", "listed").mapInArrow(_key_rows(coverage), "item bigint, seed bigint"), "keys"
+    )
+    pairs = materialize(hits.join(keys, "seed").select("k1", "k2", "item").distinct(), "pairs")
+    release(hits, keys, seeds)
+    many = pairs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    brought = (
+        pairs.join(many, ["k1", "k2"])
+        .join(items, "item")
+        .groupBy("k1", "k2", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / ITEMS_AT_ONCE)).alias("part"))
+        .agg(F.collect_list(F.struct("item", "plain")).alias("items"))
+    )
+    brought = materialize(brought, "brought")
+    candidates = texts.join(brought, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).select("k1", "k2", "text", "items")
+    shares = candidates.mapInArrow(_share_rows, "k1 bigint, k2 bigint, item bigint, share double").where(F.col("share") >= coverage - 1e-9).distinct()
+    named = rows.join(items, "plain").select("item", "item_id").distinct()
+    found = materialize(shares.join(named, "item").groupBy("k1", "k2", "item_id").agg(F.max("share").alias("share")), "leaks")
+    release(rows, items, pairs, brought)
+    return found
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, n_items, items, coverage, contaminated) for every row of docs.
 
     items lists the leaked item ids, comma-joined in numeric order; coverage is the
-    largest share. Passages in another order count, since tiles are free to cross.
-    A document is compared in its own task with the seeds of the whole benchmark,
-    which is sent in parts of bounded size, so no pairs are shuffled.
+    largest share that a listed item has, 0 without one. Passages in another order count,
+    since tiles are free to cross.
 
     Defined results: a null or empty text covers nothing; items under five words are
-    not matched; null item ids count under the name None; repeated rows give repeated
+    not matched; items that share an id count once, with the larger share; items without
+    an id count as one, named None and listed last; repeated rows give repeated
     results; empty tables give no rows, or no leaks; other columns are not read.
     """
-    found = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), leaked_items(benchmark, F.col(text_col).cast("string"), coverage).alias("found")
+    found = leaks(docs, benchmark, text_col, coverage=coverage).groupBy("k1", "k2").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct(F.col("item_id").isNull().alias("none"), "item_id"))), lambda x: F.coalesce(x["item_id"].cast("string"), F.lit("None"))), ","
+        ).alias("items"),
+        F.max("share").alias("coverage"),
     )
-    ids = F.array_sort(F.map_keys("found"), lambda a, b: F.coalesce(F.try_subtract(a.cast("bigint"), b.cast("bigint")).cast("int"), F.lit(0)))
-    return found.select(
+    rows = _keyed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text")
+    joined = rows.select("doc_id", "__k1", "__k2").join(found, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
+    return joined.select(
         "doc_id",
-        F.size("found").cast("bigint").alias("n_items"),
-        F.array_join(ids, ",").alias("items"),
-        F.coalesce(F.array_max(F.map_values("found")), F.lit(0.0)).alias("coverage"),
-        (F.size("found") > 0).alias("contaminated"),
+        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce("items", F.lit("")).alias("items"),
+        F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"),
+        F.col("n_items").isNotNull().alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """The rows of docs, all columns, that cover no test item; defined results as of `decontamination`."""
+    found = leaks(docs, benchmark, text_col, coverage=coverage).select("k1", "k2").distinct()
+    keyed = _keyed(docs, text_col)
+    kept = keyed.join(found, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti")
+    return kept.drop("__k1", "__k2")

@@ -272,10 +272,112 @@ def test_decontamination(spark):
     got = {r["doc_id"]: (r["items"], r["coverage"]) for r in decontaminate.decontamination(docs, bench).collect()}
     assert got[1] == ("1", 1.0) and got[2] == ("1", 1.0) and got[3] == ("", 0.0) and got[4] == ("", 0.0) and got[5] == ("1,4", 1.0)
     assert all(got[k][0] == "" for k in (900, 901, 902, 903, 904, 905))
-    parts = list(decontaminate.benchmark_rounds(bench, limit=5))
-    assert len(parts) > 1 and sorted(i for b in parts for i, _ in b.items) == [1, 4]
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.decontamination(docs, none).where("contaminated").count() == 0
+    assert decontaminate.decontamination(empty_docs(spark), bench).count() == 0
+    assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {r["doc_id"] for r in docs.collect()} - {1, 2, 5}
+
+
+def greedy_tiles(item, doc, least):
+    """All matching runs tried at every step: the longest, then the smallest places."""
+    used_item, used_doc, out = set(), set(), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and i + n not in used_item and j + n not in used_doc:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        out.append((i, j, n))
+        used_item.update(range(i, i + n))
+        used_doc.update(range(j, j + n))
+
+
+def test_tiles_are_those_of_greedy_tiling():
+    rng = random.Random(15)
+    for _ in range(400):
+        letters = rng.choice([[b"a"], [b"a", b"b"], [b"a", b"b", b"c", b"d"]])
+        item, doc = ([rng.choice(letters) for _ in range(rng.randint(0, 22))] for _ in range(2))
+        assert decontaminate.tiles(item, doc, 3) == greedy_tiles(item, doc, 3)
+    long = [b"word"] * 60000
+    assert decontaminate.tiles([b"word"] * 1000, long) == [(0, 0, 1000)]
+
+
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    """Items with shared phrases, repeated and missing ids."""
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 2)
+    rng = random.Random(16)
+    phrase = "one phrase that stands in very many items of the benchmark".split()
+    word = lambda: rng.choice("abcdefghijklmnop") * rng.randint(1, 3)
+    items = [(rng.choice([None, 1, 2, *range(3, 60)]), " ".join([*phrase[: rng.randint(0, 11)], *(word() for _ in range(rng.randint(3, 12)))])) for _ in range(150)]
+    docs = []
+    for doc in range(120):
+        words = [word() for _ in range(rng.randint(0, 80))]
+        for _ in range(rng.randint(0, 3)):
+            part = rng.choice(items)[1].split()
+            cut = rng.randint(0, len(part))
+            words[(at := rng.randint(0, len(words))) : at] = rng.choice([part, part[cut:] + part[:cut], part[: cut + 1], phrase])
+        docs.append((doc, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r for r in decontaminate.decontamination(odd_docs(spark, docs), bench).collect()}
+    hits = 0
+    for doc, text in docs:
+        best = {}
+        for item, t in items:
+            words = decontaminate.plain_words(t)
+            if len(words) >= 5 and (share := sum(n for *_, n in greedy_tiles(words, decontaminate.plain_words(text), 5)) / len(words)) >= 0.8:
+                best[item] = max(share, best.get(item, 0))
+        named = [str(i) for i in sorted(best, key=lambda i: (i is None, i or 0))]
+        assert (got[doc]["items"], got[doc]["n_items"]) == (",".join(named), len(named)), doc
+        assert got[doc]["coverage"] == pytest.approx(max(best.values(), default=0), abs=1e-5)
+        hits += len(named)
+    assert hits > 50
+
+
+def test_texts_over_a_block(monkeypatch):
+    """Blocks so small that most texts go by parts give what whole texts give."""
+    texts = [t for _, t in passages(5)] + [None, "", "word " * 900]
+    every = lambda h: np.ones(len(h), bool)
+    seeds = lambda: sorted((int(k), int(h)) for index, hashes in decontaminate._seeds_of(texts, every) for k, h in zip(index, hashes))
+
+    def windows():
+        out = set()
+        for index, shift, buffer in substrings.blocks_of(texts, 12):
+            owner, first, count, h, _ = substrings.seeds_of(buffer, 12, 5)
+            out |= {(index[o], f + shift + k, int(x)) for o, f, n, x in zip(owner.tolist(), first.tolist(), count.tolist(), h.tolist()) for k in range(n)}
+        return out
+
+    def byte_windows():
+        out = set()
+        raw = [(t or "").encode() for t in texts]
+        for index, shift, data, bounds in byte_dups.parts_of(raw, 20):
+            owner, first, count, h, *_ = byte_dups.seeds_of(data, bounds, 20, 6)
+            out |= {(index[o], f + shift + k, int(x)) for o, f, n, x in zip(owner.tolist(), first.tolist(), count.tolist(), h.tolist()) for k in range(n)}
+        return out
+
+    whole = seeds(), windows(), byte_windows()
+    for module, name, value in ((decontaminate, "_BLOCK_BYTES", 300), (decontaminate, "_CHUNK_WORDS", 20), (substrings, "_BLOCK_BYTES", 300), (substrings, "_BLOCK_WORDS", 40), (byte_dups, "_BLOCK_BYTES", 200)):
+        monkeypatch.setattr(module, name, value)
+    assert (seeds(), windows(), byte_windows()) == whole
+
+
+def test_phrase_of_ten_thousand_items(spark):
+    """A phrase that half of every item's words are brings no candidates, and is no key of any item."""
+    rng = random.Random(17)
+    phrase = "this is the phrase that all of the many items share".split()
+    items = [(k, " ".join(phrase + [f"w{rng.randrange(10**9)}" for _ in range(11)])) for k in range(10_000)]
+    docs = [(k, " ".join(["pad"] * 30 + phrase + ["end"] * 30)) for k in range(300)] + [(400, items[77][1])]
+    got = decontaminate.decontamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert [(r["doc_id"], r["items"]) for r in got.where("contaminated").collect()] == [(400, "77")]
+    weight = {s: 10_000 for s in decontaminate.seed_hashes([w.encode() for w in phrase]).view(np.int64).tolist()}
+    keys = decontaminate.key_seeds([w.encode() for w in items[0][1].split()], weight)
+    assert keys and not set(keys) & set(weight)
 
 
 def test_added_spans_in_documents():
@@ -309,23 +411,6 @@ def test_added_spans_in_documents():
         assert right[kind] >= 0.8 * (right[kind] + missed[kind]), (kind, right, missed)
 
 
-def test_tiles_prefer_long_matches():
-    rng = random.Random(5)
-    for _ in range(300):
-        item = [rng.choice([b"a", b"b"]) for _ in range(rng.randint(3, 14))]
-        doc = [rng.choice([b"a", b"b"]) for _ in range(rng.randint(3, 30))]
-        pairs = [(i, j) for i in range(len(item) - 2) for j in range(len(doc) - 2) if item[i : i + 3] == doc[j : j + 3]]
-        if not pairs:
-            continue
-        found = decontaminate.tiles(item, doc, np.array(pairs), 3)
-        assert all(item[a : a + n] == doc[b : b + n] for a, b, n in found)
-        for side in (0, 1):
-            places = [t[side] + k for t in found for k in range(t[2])]
-            assert len(places) == len(set(places))
-        best = max(n for n in range(3, len(item) + 1) if any(item[i : i + n] == doc[j : j + n] for i in range(len(item) - n + 1) for j in range(len(doc) - n + 1)))
-        assert found[0][2] == best
-
-
 def test_edit_counts():
     count = edit_counts.counter(default_tokenizer())
     tokenizer = Tokenizer.from_file(default_tokenizer())
