@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize
-from docloom.llm.decontaminate import leaked_items
+from docloom.llm.decontaminate import drop_contaminated
 from docloom.llm.packing import pack_documents
 from docloom.llm.pii import redacted_text
 from docloom.llm.simhash import drop_near_duplicates
@@ -30,8 +30,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no test item."""
-    docs = docs.select(DOCUMENT_COLUMNS)
-    return docs.where(F.size(leaked_items(read_table(spark, sf_dir, "benchmark"), F.col("text"))) == 0)
+    return drop_contaminated(docs.select(DOCUMENT_COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
