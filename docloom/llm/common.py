@@ -133,4 +133,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         release(large, low)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out._docloom_path = now._docloom_path
+    return out

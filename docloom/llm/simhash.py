@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, materialize, modest_batches, stars
+from docloom.llm.common import components, materialize, modest_batches, release, stars
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
-#: Groups of one masked pattern with more fingerprints than this are split by further masked bits.
-SPLIT_ABOVE = 4096
+#: Words of one range of the index, and ranges at most: what the driver and every task hold of the index is
+#: one (mask, pattern) for each range, so at most MAX_RANGES of them; larger corpora have larger ranges.
+RANGE_WORDS = 4096
+MAX_RANGES = 1024
 LEAF = 32
 FAN = 8
 
@@ -44,15 +44,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        texts = batch.column(1)
+        texts = batch.column(2)
         values = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "key", "fp"])
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): each document's fingerprint as a signed bigint."""
-    narrow = modest_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    """(doc_id, key, fp): each document's id, a hash of its text, and its fingerprint as a signed bigint."""
+    narrow = modest_batches(docs).select(
+        F.col(id_col).cast("bigint").alias("doc_id"), _key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")
+    )
+    return narrow.mapInArrow(_fingerprints, "doc_id bigint, key bigint, fp bigint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -63,173 +69,179 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(mask, pattern) of each node, leaves first: the bits that all fingerprints below it share."""
-    levels, mask, pattern, step = [], np.full(len(fps), ~np.uint64(0)), fps, LEAF
-    while len(mask) > 1:
-        cuts = np.arange(0, len(mask), step)
-        high, low = np.bitwise_or.reduceat(pattern, cuts), np.bitwise_and.reduceat(pattern, cuts)
-        mask = np.bitwise_and.reduceat(mask, cuts) & ~(high ^ low)
-        pattern = low & mask
-        levels.append((mask, pattern))
-        step = FAN
-    return levels
-
-
-def _children(node: np.ndarray, fan: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index into node and child number for all children of each node."""
-    first = node * fan
-    count = np.minimum(first + fan, size) - first
-    parent = np.repeat(np.arange(len(node)), count)
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return parent, first[parent] + inner
-
-
-def gray_pairs(fps: np.ndarray, max_bits: int = MAX_BITS, block: int = 2048):
-    """Yield index pairs (i < j) of Gray-sorted distinct fingerprints within max_bits.
-
-    The index is a tree over the sorted words: a node keeps the bits shared by all
-    words below it, and a query leaves a whole subtree when it differs from those
-    bits in more than max_bits places.
+def gray_rank_column(fp: Column) -> Column:
+    """The same for a bigint column, with the sign bit turned so that signed order is the order of ranks."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+class GrayTree:
+    """Tree over (mask, pattern) nodes in Gray order, each upper node holding the bits that all below it share."""
+
+    def __init__(self, mask: np.ndarray, pattern: np.ndarray, leaf: int = LEAF):
+        self.levels, self.fans = [(mask, pattern & mask)], []
+        fan = leaf
+        while len(mask) > 1:
+            cuts = np.arange(0, len(mask), fan)
+            high, low = np.bitwise_or.reduceat(pattern, cuts), np.bitwise_and.reduceat(pattern, cuts)
+            mask = np.bitwise_and.reduceat(mask, cuts) & ~(high ^ low)
+            pattern = low & mask
+            self.levels.append((mask, pattern))
+            self.fans.append(fan)
+            fan = FAN
+        #: Nodes looked at and nodes left with all that is below them, over all searches.
+        self.seen = self.pruned = 0
+
+    def search(self, words: np.ndarray, max_bits: int, block: int = 2048):
+        """Yield (index of word, leaf) for all leaves whose shared bits differ from a word's in at most max_bits places.
+
+        A word goes down with the differences met so far; each node adds those in the bits that
+        it fixes and its parent does not, and a sum over max_bits ends the way for all below.
+        """
+        top_mask, top_pattern = self.levels[-1]
+        for at in range(0, len(words) if len(top_mask) else 0, block):
+            query = np.arange(at, min(len(words), at + block))
+            node, gone = np.zeros(len(query), np.int64), np.bitwise_count((words[query] ^ top_pattern[0]) & top_mask[0])
+            for depth in range(len(self.levels) - 1, -1, -1):
+                near = gone <= max_bits
+                self.seen, self.pruned = self.seen + len(near), self.pruned + int((~near).sum())
+                query, node, gone = query[near], node[near], gone[near]
+                if not depth:
+                    break
+                (mask, _), (below, pattern), fan = self.levels[depth], self.levels[depth - 1], self.fans[depth - 1]
+                first = node * fan
+                count = np.minimum(first + fan, len(below)) - first
+                parent = np.repeat(np.arange(len(node)), count)
+                child = first[parent] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                more = np.bitwise_count((words[query[parent]] ^ pattern[child]) & below[child] & ~mask[node[parent]])
+                query, gone, node = query[parent], gone[parent] + more, child
+            yield query, node
+
+
+def gray_pairs(fps: np.ndarray, max_bits: int = MAX_BITS):
+    """Yield index pairs (i < j) of Gray-sorted distinct fingerprints within max_bits."""
+    tree = GrayTree(np.full(len(fps), ~np.uint64(0)), fps)
+    for i, j in tree.search(fps, max_bits):
+        yield i[i < j], j[i < j]
+
+
+def _visit_rows(ranges: list[tuple[int, int, int]], max_bits: int):
+    """(range, own, fp) for each word: its own range, and those after it that may hold words within max_bits.
+
+    ranges has (number, mask, pattern) of at most MAX_RANGES ranges in Gray order.
     """
-    levels = _levels(fps)
-    n = len(fps)
-    for at in range(0, n, block):
-        query = np.arange(at, min(n, at + block))
-        node = np.zeros(len(query), np.int64)
-        for depth in range(len(levels) - 1, -1, -1):
-            mask, pattern = levels[depth]
-            near = np.bitwise_count((fps[query] ^ pattern[node]) & mask[node]) <= max_bits
-            query, node = query[near], node[near]
-            fan, size = (FAN, len(levels[depth - 1][0])) if depth else (LEAF, n)
-            parent, node = _children(node, fan, size)
-            query = query[parent]
-        close = (query < node) & (np.bitwise_count(fps[query] ^ fps[node]) <= max_bits)
-        if close.any():
-            yield query[close], node[close]
-
-
-def _group_edges(fps: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges over one group's links."""
-    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(gray_rank(fps), kind="stable")
-    fps, ids = fps[order], ids[order]
-    for i, j in gray_pairs(fps, max_bits):
-        a, b = stars(np.concatenate([a, ids[i]]), np.concatenate([b, ids[j]]))
-    return a, b
-
-
-def _small_groups(group: np.ndarray, fps: np.ndarray, ids: np.ndarray, max_bits: int):
-    """Links within short runs of equal group number, by comparing rows 1, 2, ... places apart."""
-    step, found_a, found_b = 1, [], []
-    at = np.arange(len(group))
-    while True:
-        at = at[at + step < len(group)]
-        at = at[group[at] == group[at + step]]
-        if not len(at):
-            break
-        near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= max_bits]
-        found_a.append(ids[near])
-        found_b.append(ids[near + step])
-        step += 1
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return stars(join(found_a), join(found_b))
-
-
-def _matcher(max_bits: int):
-    def flush(key, fps, ids):
-        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        size = np.diff(np.concatenate([cut, [len(key)]]))
-        group = np.repeat(np.arange(len(cut)), size)
-        small = np.repeat(size <= 64, size)
-        out = [_small_groups(group[small], fps[small], ids[small], max_bits)]
-        for k in np.flatnonzero(size > 64):
-            part = slice(cut[k], cut[k] + size[k])
-            out.append(_group_edges(fps[part], ids[part], max_bits))
-        a, b = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    numbers, mask, pattern = (np.array(c, np.int64) for c in zip(*ranges))
 
-    def match(batches):
-        """Rows come sorted by (mask, masked); the last group of a batch waits for the next."""
-        held = None
+    def run(batches):
+        tree = GrayTree(mask.view(np.uint64), pattern.view(np.uint64), FAN)
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
-            held = rows if held is None else np.concatenate([held, rows])
-            open_ = (held[:, :2] == held[-1, :2]).all(axis=1)
-            done = held[~open_]
-            if len(done):
-                yield flush(done[:, :2], done[:, 2].view(np.uint64), np.ascontiguousarray(done[:, 3]))
-            held = held[open_]
-        if held is not None and len(held):
-            yield flush(held[:, :2], np.ascontiguousarray(held[:, 2]).view(np.uint64), np.ascontiguousarray(held[:, 3]))
-
-    return match
-
+            fps, own = (batch.column(i).to_numpy() for i in (0, 1))
+            for word, leaf in tree.search(fps.view(np.uint64), max_bits):
+                to, mine = numbers[leaf], own[word]
+                go = to >= mine
+                columns = [to[go], (to[go] != mine[go]).astype(np.int32), fps[word[go]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["range", "guest", "fp"])
 
-def _signed(word: int) -> int:
-    return word - (1 << 64) if word >> 63 else word
+    return run
 
 
-def _masks(blocks: list[int], taken: int = 0) -> list[int]:
-    """Words that keep the taken bits and two of the four given bit blocks, as signed numbers."""
-    return [_signed(taken | a | b) for a, b in combinations(blocks, 2)]
-
-
-def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
-    """Each fingerprint under each mask: (mask, masked, fp, rep)."""
-    mask = F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")
-    return fps.select("fp", "rep", mask).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("masked"), "fp", "rep")
-
-
-def _linked(keyed: DataFrame, max_bits: int) -> DataFrame:
-    dealt = keyed.repartition("mask", "masked").sortWithinPartitions("mask", "masked")
-    return dealt.mapInArrow(_matcher(max_bits), "a bigint, b bigint")
+def _match_rows(max_bits: int):
+    """Star edges of each range: its words among themselves and with the guests sent to it.
 
+    Rows come sorted by (range, guest, rank), so that a range's words are there before its guests.
+    """
 
-def simhash_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) of rep numbers that join all distinct fingerprints within max_bits (at most 2).
+    def links(tree, members, words, own):
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i, j in tree.search(words, max_bits):
+            keep = words[i] < members[j] if own else slice(None)  # a pair of one range is met twice
+            a, b = stars(np.concatenate([a, words[i][keep].view(np.int64)]), np.concatenate([b, members[j][keep].view(np.int64)]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    fps has one row (fp, rep) per distinct fingerprint. Words within two bits agree
-    on two of four 16-bit blocks, so each word is dealt to six groups, one for each
-    masked pattern, and searched inside its group by the Gray-ordered tree. A group
-    of more than SPLIT_ABOVE words is dealt again by two of the four 8-bit blocks
-    in the rest of its bits: no group then holds more than 65,536 distinct words.
+    def run(batches):
+        number, held, tree, members = None, [], None, None
+        for batch in batches:
+            where, guest, fps = (batch.column(i).to_numpy() for i in range(3))
+            cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]) | (guest[1:] != guest[:-1])) + 1).tolist(), len(fps)]
+            for start, stop in zip(cuts, cuts[1:]):
+                if start == stop:
+                    continue
+                part = fps[start:stop].view(np.uint64)
+                if where[start] != number:
+                    if held:
+                        members = np.concatenate(held)
+                        tree = GrayTree(np.full(len(members), ~np.uint64(0)), members)
+                        yield links(tree, members, members, True)
+                    number, held, tree = where[start], [], None
+                if not guest[start]:
+                    held.append(part)
+                    continue
+                if tree is None:
+                    members = np.concatenate(held)
+                    tree = GrayTree(np.full(len(members), ~np.uint64(0)), members)
+                    yield links(tree, members, members, True)
+                    held = []
+                yield links(tree, members, part, False)
+        if held:
+            members = np.concatenate(held)
+            yield links(GrayTree(np.full(len(members), ~np.uint64(0)), members), members, members, True)
+
+    return run
+
+
+def simhash_links(fps: DataFrame, max_bits: int = MAX_BITS, range_words: int = RANGE_WORDS) -> DataFrame:
+    """Edges (a, b) between fingerprints that join all those within max_bits; fps has one row (fp) for each distinct one.
+
+    The words are sorted by Gray rank into ranges of equal size. The bits that a range's words
+    share are its summary; the summaries are the leaves of the index's upper tree, down
+    which every word is sent. It goes to the ranges that are left, and in each of them down
+    the lower tree over the range's words. Both trees leave whole groups by the differences met.
     """
-    if max_bits > 2:
-        raise ValueError("the masks find pairs of at most 2 differing bits")
-    blocks = [0xFFFF << s for s in (48, 32, 16, 0)]
-    keyed = _keyed(fps, _masks(blocks))
-    sizes = materialize(keyed.groupBy("mask", "masked").count().where(F.col("count") > SPLIT_ABOVE), "large_groups")
-    if sizes.limit(1).count() == 0:
-        return _linked(keyed, max_bits)
-    flagged = keyed.join(sizes, ["mask", "masked"], "left")
-    plain = flagged.where("count is null").select("mask", "masked", "fp", "rep")
-    finer = None
-    for upper in combinations(blocks, 2):
-        taken = upper[0] | upper[1]
-        rest = [0xFF << s for s in range(0, 64, 8) if not taken >> s & 1]
-        part = flagged.where(F.col("count").isNotNull() & (F.col("mask") == _signed(taken))).select("fp", "rep")
-        rows = _keyed(part, _masks(rest, taken))
-        finer = rows if finer is None else finer.union(rows)
-    return _linked(plain, max_bits).union(_linked(finer, max_bits))
+    rows = fps.select("fp", gray_rank_column(F.col("fp")).alias("rank"))
+    ranges = max(1, min(MAX_RANGES, -(-fps.count() // range_words)))
+    sorted_ = materialize(rows.repartitionByRange(ranges, "rank").withColumn("range", F.spark_partition_id().cast("bigint")), "ranges")
+    shared = sorted_.groupBy("range").agg(
+        F.min("rank").alias("rank"), F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")
+    )
+    summaries = shared.select("range", "rank", F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))).alias("mask"), "low").orderBy("rank").collect()  # one for each range
+    if not summaries:
+        return materialize(sorted_.select(F.col("fp").alias("a"), F.col("fp").alias("b")), "links")
+    listed = [(r["range"], r["mask"], r["low"]) for r in summaries]
+    visits = sorted_.select("fp", "range").mapInArrow(_visit_rows(listed, max_bits), "range bigint, guest int, fp bigint")
+    dealt = visits.repartition(len(listed), "range").sortWithinPartitions("range", "guest", gray_rank_column(F.col("fp")))
+    links = materialize(dealt.mapInArrow(_match_rows(max_bits), "a bigint, b bigint"), "links")
+    release(sorted_)
+    return links
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Tables (doc_id, key, fp), key being a hash of the text, and (fp, group), group being the smallest word of it."""
+    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    words = materialize(prints.select("fp").distinct(), "distinct")
+    links = simhash_links(words, max_bits)
+    merged = components(links)
+    named = materialize(
+        words.join(merged, words["fp"] == merged["node"], "left").select("fp", F.coalesce("component", "fp").alias("group")), "groups"
+    )
+    release(words, links, merged)
+    return prints, named
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """Near-duplicate groups of documents: (doc_id, fingerprint, component_id), one row per row of docs.
 
     Defined results: a null or empty text, or one without words, has fingerprint 0 and
-    is linked like any other; repeated rows give repeated result rows; a null id keeps
-    its row, with component_id taken from the group's smallest id (null if the group has
+    is linked like any other; repeated rows give repeated result rows; rows that share an id
+    and differ in text are grouped each by its own; a null id keeps its row, with
+    component_id taken from the group's smallest id (null if the group has
     none); an empty table gives no rows; other columns of docs are not read.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    merged = components(simhash_links(nodes.where("rep is not null"), max_bits))
-    named = nodes.join(merged, nodes["rep"] == merged["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    named = materialize(named, "named")
-    return prints.join(named, "fp").select(
+    prints, named = _grouped(docs, id_col, text_col, max_bits)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp").groupBy("group").agg(F.min("least").alias("component_id"))
+    by_word = materialize(named.join(least, "group").select("fp", "component_id"), "named")
+    release(named)
+    return prints.join(by_word, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -237,10 +249,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs, all columns, without all but one document of each SimHash group.
 
-    The document of smallest id stays, once if its row is repeated; rows without an id,
-    which no group can name, stay.
+    The document of smallest id stays, of several rows with that id the one whose text has the
+    smallest hash, once if it is repeated; rows without an id, which no group can name, stay.
+    Only the ids and text hashes of the kept documents meet the table again; rows that are
+    repeated, if any, are the only ones that are shuffled whole to be told apart.
     """
-    groups = simhash_groups(docs, id_col, text_col, max_bits)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    prints, named = _grouped(docs, id_col, text_col, max_bits)
+    own = F.struct("doc_id", "key")
+    by_word = prints.where("doc_id is not null").groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    kept = by_word.join(named, "fp").groupBy("group").agg(F.min_by(F.struct("doc_id", "key", "n"), own).alias("kept"))
+    kept = materialize(kept.select(F.col("kept.doc_id").alias("__id"), F.col("kept.key").alias("__key"), F.col("kept.n").alias("__n")), "kept")
+    release(prints, named)
+    here = (docs[id_col].cast("bigint") == F.col("__id")) & (_key(docs[text_col]) == F.col("__key"))
+    named_rows = docs.join(kept.where("__n = 1"), here, "left_semi")
+    if kept.where("__n > 1").limit(1).count():
+        named_rows = named_rows.unionByName(docs.join(kept.where("__n > 1"), here, "left_semi").dropDuplicates([id_col]))
+    return named_rows.unionByName(docs.where(F.col(id_col).cast("bigint").isNull()))

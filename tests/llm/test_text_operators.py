@@ -58,22 +58,46 @@ def test_simhash(spark):
     assert len(got) == docs.count()
 
 
-@pytest.mark.parametrize("split", [4096, 8])
-def test_gray_index_finds_all_pairs(spark, monkeypatch, split):
-    monkeypatch.setattr(simhash, "SPLIT_ABOVE", split)
-    rng = random.Random(split)
+@pytest.mark.parametrize("range_words", [4096, 100, 16])
+def test_gray_index_finds_all_pairs(spark, range_words):
+    rng = random.Random(range_words)
     seeds = [rng.getrandbits(64) for _ in range(8)]
-    words = sorted({s ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(20)) for s in seeds for _ in range(90)})
-    table = spark.createDataFrame([(w - (1 << 64) if w >> 63 else w, k) for k, w in enumerate(words)], "fp bigint, rep bigint")
-    found = {r["node"]: r["component"] for r in components(simhash.simhash_links(table)).collect()}
-    label = list(range(len(words)))
+    words = {s ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(20)) for s in seeds for _ in range(90)}
+    words = sorted(words | {rng.getrandbits(64) for _ in range(300)} | {0, (1 << 64) - 1, 1 << 63})
+    signed = [w - (1 << 64) if w >> 63 else w for w in words]
+    table = spark.createDataFrame([(w,) for w in signed], "fp bigint").repartition(3)
+    found = {r["node"]: r["component"] for r in components(simhash.simhash_links(table, range_words=range_words)).collect()}
+    label = list(signed)
     array = np.array(words, np.uint64)
     for _ in range(len(words)):
         new = [min(label[j] for j in np.flatnonzero(np.bitwise_count(array ^ array[k]) <= 2)) for k in range(len(words))]
         if new == label:
             break
         label = new
-    assert [found.get(k, k) for k in range(len(words))] == label
+    assert [found.get(k, k) for k in signed] == label
+
+
+def test_gray_tree_prunes_groups():
+    """Upper nodes turn most of the index away: of 20,000 words a search meets a few hundred and finds all links."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) << np.uint64(1)
+    words = np.unique(np.concatenate([words, words[:50] ^ np.uint64(1 << 40), words[50:90] ^ np.uint64(5 << 60)]))
+    words = words[np.argsort(simhash.gray_rank(words))]
+    tree = simhash.GrayTree(np.full(len(words), ~np.uint64(0)), words)
+    found = {(i, j) for a, b in tree.search(words, 2) for i, j in zip(a.tolist(), b.tolist()) if i < j}
+    assert len(found) == 90 and all(bin(int(words[i] ^ words[j])).count("1") <= 2 for i, j in found)
+    assert tree.pruned > 0.8 * tree.seen and tree.seen < 0.3 * len(words) ** 2
+    assert found == {(i, j) for a, b in simhash.gray_pairs(words) for i, j in zip(a.tolist(), b.tolist())}
+
+
+def test_near_duplicates_with_clashing_ids(spark):
+    """Rows that share an id and are no near duplicates stay; repeated rows stay once."""
+    words = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    table = [(1, words(1)), (1, words(2)), (2, words(1)), (3, words(3)), (3, words(3)), (None, words(1)), (4, None), (5, "")]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    kept = rows(simhash.drop_near_duplicates(docs))
+    assert kept == sorted([(1, words(1)), (1, words(2)), (3, words(3)), (None, words(1)), (4, None)], key=str)
+    assert simhash.drop_near_duplicates(docs.where("false")).count() == 0
 
 
 def test_components(spark):
