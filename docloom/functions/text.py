@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space as the reference's runtime sees it, beyond what Java's \s covers.
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_CONTROLS = "".join(map(chr, (*range(9), 11, 12, *range(14, 32), 127)))
+_SPACES = " \t\n\v\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Edges of ASCII words.
 WORD_START, WORD_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -49,7 +51,7 @@ def normalize_lexical(c: Column) -> Column:
 
 def js_trim(c: Column) -> Column:
     """Trim all Unicode white space."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def normalize_key(c: Column) -> Column:
@@ -59,18 +61,15 @@ def normalize_key(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Extraction clean-up in a fixed order of rewrites (line ends, hyphens, spaces, blank lines, page numbers, controls)."""
-    steps = [
-        (r"\r\n?", "\n"),
-        (r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2"),
-        (r" {2,}", " "),
-        (r"(?m) +$", ""),
-        (r"\n{3,}", "\n\n"),
-        (r"(?m)^\s*\d{1,3}\s*$", ""),
-        (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""),
-    ]
-    for pattern, new in steps:
-        c = F.regexp_replace(c, pattern, new)
-    return js_trim(c)
+    c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    c = F.regexp_replace(c, r"(?<=[A-Za-z0-9_])-\n(?=[A-Za-z0-9_])", "")
+    c = F.regexp_replace(c, " {2,}", " ")
+    for end in "\n\u2028\u2029":  # no more than one space is left before a line's end
+        c = F.replace(c, F.lit(" " + end), F.lit(end))
+    c = F.rtrim(c)
+    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
+    c = F.regexp_replace(c, r"(?m)^\s*\d{1,3}\s*$", "")
+    return js_trim(F.translate(c, _CONTROLS, ""))
 
 
 def chunk_normalize(c: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Folders of the chunk index, whatever its number of documents.
+INDEX_BUCKETS = 64
+
+
 def insert(table: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
     """The table with new rows; missing columns take their default, or null."""
     for name, value in (defaults or {}).items():
@@ -37,15 +42,44 @@ def append_to_array(table: DataFrame, column: str, item: Column, where: Column)
     return table.withColumn(column, F.when(where, F.concat(F.coalesce(F.col(column), F.array()), F.array(item))).otherwise(F.col(column)))
 
 
-def replace_index(chunks: DataFrame, fresh: DataFrame, path: str) -> None:
-    """Write fresh chunks in place of all chunks of their documents, whole partitions at a time."""
-    merged = chunks.join(fresh.select("document_id").distinct(), "document_id", "left_anti").unionByName(fresh)
-    merged.write.mode("overwrite").partitionBy("document_id").parquet(path)
+def _bucketed(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(INDEX_BUCKETS)).cast("int"))
 
 
 def overwrite_documents(fresh: DataFrame, path: str) -> None:
-    """Write fresh chunks over their documents' partitions only; other documents' files stay."""
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+    """Write fresh chunks in place of all chunks of their documents in an index of INDEX_BUCKETS folders.
+
+    Only the buckets of these documents are read and written anew; what is kept of them goes through
+    a folder beside the index, so that nothing is read while it is overwritten.
+    """
+    spark, fresh = fresh.sparkSession, _bucketed(fresh)
+    staged = f"{path.rstrip('/')}_staged"
+    try:
+        index = spark.read.parquet(path)
+    except AnalysisException:  # there is no index yet
+        index = None
+    if index is not None:
+        buckets = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most INDEX_BUCKETS
+        kept = index.where(F.col("bucket").isin(*buckets)).join(fresh.select("document_id").distinct(), "document_id", "left_anti")
+        fresh = kept.unionByName(fresh)
+    fresh.write.mode("overwrite").parquet(staged)
+    out = spark.read.schema(fresh.schema).parquet(staged)
+    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def remove_documents(gone: DataFrame, path: str) -> None:
+    """Take all chunks of documents out of the index, bucket by bucket as above."""
+    spark = gone.sparkSession
+    index = spark.read.parquet(path)
+    buckets = [r[0] for r in _bucketed(gone.select("document_id")).select("bucket").distinct().collect()]  # at most INDEX_BUCKETS
+    touched = index.where(F.col("bucket").isin(*buckets))
+    kept, staged = touched.join(gone.select("document_id").distinct(), "document_id", "left_anti"), f"{path.rstrip('/')}_staged"
+    kept.write.mode("overwrite").parquet(staged)
+    out = spark.read.schema(kept.schema).parquet(staged)
+    left = {r[0] for r in out.select("bucket").distinct().collect()}
+    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for bucket in set(buckets) - left:  # buckets with nothing left
+        spark.createDataFrame([], index.drop("bucket").schema).write.mode("overwrite").parquet(f"{path.rstrip('/')}/bucket={bucket}")
 
 
 def append(rows: DataFrame, path: str) -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from docloom.functions.text import normalize_key
 from docloom.functions.values import first_filled, is_numeric_text, priority_of, to_date_string, to_number
 from docloom.operators.changes import validated
@@ -66,6 +68,55 @@ def pipe_rows(lines: DataFrame, group: str, order: str, line: str) -> DataFrame:
     return grouped.select(group, F.col("row_no").cast("bigint").alias("row_no"), "cells", F.array_join(F.col("rest.t"), "\n").alias("continuation")).where(F.size("cells") >= 2)
 
 
+_PRICE = r"(?i)^\d[\d\s.,]*\s*(?:(?:tnd|dt|dinar|€|\$|usd|eur)(?![A-Za-z0-9_])|$)"
+
+
+def pipe_tables(lines: DataFrame, group: str, order: str, line: str) -> DataFrame:
+    """Pipe tables with their header: (group, row_no, headers, cells).
+
+    The first line with a pipe names the columns, two at least. A numbered line with pipes
+    begins a row; another one continues the row before it: what looks like a price goes to the
+    price column, if there is one, and all else to the column of descriptions, or the last one.
+    """
+    parts = lambda c: F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    named = lambda *words: reduce(lambda a, b: a | b, [F.contains(F.col("__h"), F.lit(w)) for w in words])
+    rows = lines.select(group, F.col(order).alias("__o"), F.trim(F.col(line)).alias("__t")).where("__t <> ''")
+    piped = F.contains("__t", F.lit("|"))
+    heads = rows.where(piped).groupBy(group).agg(F.min_by("__t", "__o").alias("__head"), F.min("__o").alias("__first"))
+    heads = heads.select(group, "__first", parts(F.col("__head")).alias("headers")).where(F.size("headers") >= 2)
+    at = heads.select(group, F.posexplode("headers").alias("__i", "__name")).withColumn("__h", F.lower("__name"))
+    found = at.groupBy(group).agg(
+        F.coalesce(F.min(F.when(named("desc"), F.col("__i"))), F.max("__i")).alias("__desc"),
+        F.min(F.when(named("price", "prix", "cost", "coût"), F.col("__i"))).alias("__price"),
+    )
+    body = rows.join(heads, group).where("__o > __first").join(found, group).withColumn("__p", parts(F.col("__t")))
+    head = F.trim(F.element_at(F.split("__t", r"\|"), 1))
+    starts = piped & (head.rlike(r"^\d+") | head.rlike(r"(?i)^n[°º]?\s*\d+"))
+    by = Window.partitionBy(group).orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
+    body = body.withColumn("__starts", starts).where(~F.col("__starts") | (F.size("__p") >= 2))
+    body = body.withColumn("row_no", F.sum(F.col("__starts").cast("int")).over(by)).where("row_no > 0")
+    last, rest = F.element_at("__p", -1), F.array_join(F.slice("__p", 1, F.size("__p") - 1), " | ")
+    several = piped & (F.size("__p") >= 2)
+    to = lambda i, t: F.struct(i.alias("i"), t.alias("t"))
+    price = F.col("__price").isNotNull()
+    more = (
+        F.when(F.col("__starts"), F.array().cast("array<struct<i:int,t:string>>"))
+        .when(several & price & last.rlike(_PRICE), F.array(to(F.col("__desc"), rest), to(F.col("__price"), last)))
+        .when(several, F.array(to(F.col("__desc"), F.array_join("__p", " | "))))
+        .when(price & F.col("__t").rlike(_PRICE), F.array(to(F.col("__price"), F.col("__t"))))
+        .otherwise(F.array(to(F.col("__desc"), F.col("__t"))))
+    )
+    grouped = body.withColumn("__more", more).groupBy(group, "row_no").agg(
+        F.first("headers").alias("headers"), F.min_by("__p", "__o").alias("__cells"), F.flatten(F.array_sort(F.collect_list(F.struct("__o", "__more")))["__more"]).alias("__all")
+    )
+    width = F.greatest(F.size("__cells"), F.coalesce(F.array_max(F.transform("__all", lambda x: x["i"])), F.lit(0)) + 1)
+    cell = lambda i: F.array_join(
+        F.concat(F.filter(F.array(F.get("__cells", i)), lambda x: x != ""), F.transform(F.filter("__all", lambda x: x["i"] == i), lambda x: x["t"])), "\n"
+    )
+    cells = F.transform(F.sequence(F.lit(0), width - 1), cell)
+    return grouped.select(group, F.col("row_no").cast("bigint").alias("row_no"), "headers", cells.alias("cells"))
+
+
 def normalized_columns(df: DataFrame) -> DataFrame:
     """The table with its column names in key form."""
     spark = df.sparkSession

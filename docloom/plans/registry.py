@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.plans import library, planner, rag, retrieval, tables, textjobs  # noqa: F401  they register on import
+from docloom.plans import ask, library, planner, rag, retrieval, tables, textjobs  # noqa: F401  they register on import
 from docloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

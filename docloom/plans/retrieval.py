@@ -46,9 +46,14 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """
     grouped = queries.select("query_id", lexical_groups(F.col("query")).alias("groups")).where(F.size("groups") > 0)
     text = normalize_lexical(F.concat_ws("\n", F.coalesce("name", F.lit("")), F.coalesce("text", F.lit(""))))
-    rows = chunks.select("chunk_id", text.alias("t")).crossJoin(grouped)
+    # words stand between two spaces each, so that whole-word hits are counted by length; done once a text
+    words = F.concat(F.lit(" "), F.regexp_replace("t", "[^A-Za-z0-9_]+", "  "), F.lit(" "))
+    rows = chunks.select("chunk_id", text.alias("t")).withColumn("words", words).crossJoin(grouped)
     found = F.filter("groups", lambda g: F.exists(g, lambda a: F.contains(F.col("t"), a)))
-    hits = lambda g: F.aggregate(g, F.lit(0), lambda n, a: n + F.regexp_count(F.col("t"), F.concat(F.lit(WORD_START), regex_escape(a), F.lit(WORD_END))))
+    spaced = lambda a: F.concat(F.lit(" "), a, F.lit(" "))
+    counted = lambda a: ((F.length("words") - F.length(F.replace(F.col("words"), spaced(a), F.lit("")))) / F.length(spaced(a))).cast("int")
+    matched = lambda a: F.regexp_count(F.col("t"), F.concat(F.lit(WORD_START), regex_escape(a), F.lit(WORD_END)))
+    hits = lambda g: F.aggregate(g, F.lit(0), lambda n, a: n + F.when(a.rlike("^[A-Za-z0-9_]+$"), counted(a)).otherwise(matched(a)))
     bonus = F.aggregate("found", F.lit(0.0), lambda s, g: s + F.least(hits(g), F.lit(3)) * 0.03)
     rows = rows.withColumn("found", found).where(F.size("found") > 0)
     score = F.least(F.lit(0.72), 0.14 + 0.42 * F.size("found") / F.size("groups") + F.least(F.lit(0.18), bonus))
@@ -140,10 +145,11 @@ def semantic_topk_scoped(spark, sf_dir):
     SELECT query_id, rank, chunk_id, score FROM (
       SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {_COSINE} AS score,
              CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS INTEGER) AS rank
-      FROM embeddings e, embeddings q WHERE q.vec_id IN (1, 2, 3, 4, 5)) WHERE rank <= 5""")
+      FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
 def knn_multi_query(spark, sf_dir):
-    """Five nearest chunks of each of five query vectors."""
-    scored = score_all(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir, [1, 2, 3, 4, 5])).withColumn("score", F.round("score", 6))
+    """Five nearest chunks of each vector whose id 50 divides."""
+    queries = read_table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = score_all(_chunks(spark, sf_dir), queries).withColumn("score", F.round("score", 6))
     return top_k(scored, 5, per="query_id").select("query_id", "rank", "chunk_id", "score")
 
 

@@ -65,6 +65,48 @@ def pipe_table(spark, sf_dir):
     return rows.select("o_custkey", "row_no", F.array_join("cells", "/").alias("cells"), "continuation")
 
 
+@query("""
+    WITH l AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 AS k, o_orderpriority AS p, strftime(o_orderdate, '%Y-%m-%d') AS d, cast(o_orderkey AS VARCHAR) AS n FROM orders),
+    r AS (SELECT *, sum((k = 1)::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no FROM l)
+    SELECT o_custkey, row_no::BIGINT AS row_no, 'No/Description/Price' AS headers,
+      first(n ORDER BY o_orderkey) || '/' || first(p ORDER BY o_orderkey) || coalesce(string_agg(CASE k WHEN 2 THEN chr(10) || 'sent ' || d WHEN 3 THEN chr(10) || 'size ' || p || ' | from ' || d END, '' ORDER BY o_orderkey), '')
+      || coalesce('/' || string_agg(CASE k WHEN 0 THEN n || '.50 TND' WHEN 2 THEN n || ' EUR' END, chr(10) ORDER BY o_orderkey), '') AS cells
+    FROM r WHERE row_no > 0 GROUP BY 1, 2""")
+def pipe_table_columns(spark, sf_dir):
+    """Pipe tables with a header, whose continuation lines go to the price or the description, one table for each customer."""
+    k, number = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    line = (
+        F.when(k == 1, F.concat(number, F.lit(" | "), "o_orderpriority"))
+        .when(k == 2, F.concat(F.lit("sent "), day, F.lit(" | "), number, F.lit(" EUR")))
+        .when(k == 3, F.concat(F.lit("size "), "o_orderpriority", F.lit(" | from "), day))
+        .otherwise(F.concat(number, F.lit(".50 TND")))
+    )
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", line.alias("line"))
+    heads = orders.select("o_custkey").distinct().select("o_custkey", F.lit(-1).cast("bigint").alias("o_orderkey"), F.lit("No | Description | Price").alias("line"))
+    rows = tabular.pipe_tables(orders.unionByName(heads), "o_custkey", "o_orderkey", "line")
+    return rows.select("o_custkey", "row_no", F.array_join("headers", "/").alias("headers"), F.array_join("cells", "/").alias("cells"))
+
+
+@query("""
+    SELECT sha256(source || '|' || 'uploads/doc_' || doc_id || '.bin') AS document_id, 'doc_' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' ELSE '.bin' END AS filename,
+      CASE doc_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' ELSE 'text/plain' END AS mime, (8 + strlen(text))::BIGINT AS size,
+      CASE WHEN doc_id % 3 = 1 THEN 'doc_' || doc_id || '.preview.pdf' END AS preview, 'pending' AS status, 0 AS attempt, 'DOCUMENT_UPLOAD' AS action
+    FROM documents""")
+def upload_scan(spark, sf_dir):
+    """Uploaded files by their first bytes, with the job and the log entry of each."""
+    from docloom.sources.files import register_uploads
+
+    docs = read_table(spark, sf_dir, "documents").where("text is not null")
+    k = F.col("doc_id") % 3
+    head = F.when(k == 0, F.unhex(F.lit("255044462D312E37"))).when(k == 1, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.unhex(F.lit("2020202020202020")))
+    path = F.concat(F.lit("uploads/doc_"), F.col("doc_id").cast("string"), F.lit(".bin"))
+    files = docs.select("source", path.alias("path"), F.lit("text/plain").alias("mime"), F.concat(head, F.encode("text", "UTF-8")).alias("content"))
+    made = register_uploads(files, F.col("source"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    jobs = made["documents"].join(made["jobs"], "document_id").join(made["audit"].select(F.col("resource_id").alias("document_id"), "action"), "document_id")
+    return jobs.select("document_id", "filename", "mime", "size", "preview", "status", "attempt", "action")
+
+
 def _prices(spark, sf_dir):
     return read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SEGMENT, EXTRACT = 12000, 32000
 
 
-def map_reduce(docs: DataFrame, id_col: str, text_col: str, map_prompt: str, reduce_prompt: str, glue: str = "\n\n---\n\n") -> DataFrame:
+def map_reduce(docs: DataFrame, id_col: str, text_col: str, map_prompt: str, reduce_prompt: str, glue: str = "\n\n---\n\n", around: tuple[str, str] = ("", "")) -> DataFrame:
     """(id, answer): a text of one segment is answered at once; a longer one by segment, then over the joined answers.
 
     Segments are answered where they are; only the answers of long texts are gathered, in order.
@@ -25,7 +25,7 @@ def map_reduce(docs: DataFrame, id_col: str, text_col: str, map_prompt: str, red
     parts = cut.withColumn("part", generated(F.concat(F.lit(map_prompt + "\n\n"), "segment")))
     short = parts.where("not long").select("id", F.col("part").alias("answer"))
     joined = parts.where("long").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("p"))
-    prompt = F.concat(F.lit(reduce_prompt + "\n\n"), F.array_join(F.col("p.part"), glue))
+    prompt = F.concat(F.lit(reduce_prompt + "\n\n"), F.lit(around[0]), F.array_join(F.col("p.part"), glue), F.lit(around[1]))
     return short.unionByName(joined.select("id", generated(prompt).alias("answer")))
 
 
@@ -63,7 +63,7 @@ def extract_fields(docs: DataFrame, id_col: str, text_col: str, fields: list[str
 def mind_maps(docs: DataFrame, id_col: str, title_col: str, text_col: str) -> DataFrame:
     """Trees of documents with text; empty ones are refused by being left out."""
     filled = docs.where(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").withColumn("__t", F.trim(text_col))
-    outlines = map_reduce(filled, id_col, "__t", "Outline as JSON.", "Merge the outlines.", ",")
+    outlines = map_reduce(filled, id_col, "__t", "Outline as JSON.", "Merge the outlines.", ",", ("[", "]"))
     named = filled.select(F.col(id_col).alias("id"), F.col(title_col).alias("title"))
     return outlines.join(named, "id").select("id", mind_map(F.col("answer"), F.col("title")).alias("tree"))
 
@@ -145,7 +145,13 @@ def paragraph_packs(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(pack_paragraphs(F.regexp_replace("text", r"\.\s", ".\n\n"), 500)).alias("part", "text"))
 
 
-@query()
+_FIRST = "CASE WHEN len(text) > 12000 THEN substring(text, (len(text) - 1) // 12000 * 12000 + 1, 200) ELSE substring(text, 1, 200) END"
+
+
+@query(rf"""
+    WITH p AS (SELECT doc_id, substring(text, 1, 200) AS short, {_FIRST} AS detailed,
+      list_filter(list_transform(string_split(trim(substring(text, 1, 200), chr(9) || chr(10) || chr(32)), chr(10)), lambda x: trim(regexp_replace(x, '^\s*[-*•\d.]+\s*', ''))), lambda x: len(x) > 10) AS lines FROM documents)
+    SELECT doc_id AS id, short, detailed, CASE WHEN len(lines) > 0 THEN len(lines) ELSE 1 END::INTEGER AS n_points, coalesce(detailed, short) AS summary FROM p""")
 def summary_jobs(spark, sf_dir):
     """Summaries of every document with the offline text model."""
     return summaries(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("id", "short", "detailed", F.size("points").alias("n_points"), "summary")
@@ -175,6 +181,14 @@ def model_json(spark, sf_dir):
     return docs.select("doc_id", tolerant_json(answer).alias("json"))
 
 
+@query("SELECT doc_id AS id, source AS title, n_chars::VARCHAR AS n, NULL::VARCHAR AS missing FROM documents")
+def extracted_fields(spark, sf_dir):
+    """Named fields out of a model's answer on every document, here one that repeats the JSON it is given."""
+    docs = read_table(spark, sf_dir, "documents")
+    body = F.concat(F.lit('{"title": "'), "source", F.lit('", "n": '), F.col("n_chars").cast("string"), F.lit("}"))
+    return extract_fields(docs.select("doc_id", body.alias("body")), "doc_id", "body", ["title", "n", "missing"])
+
+
 @query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source || '|' || lang WHEN 1 THEN 'first long line|second long line' ELSE '7' END AS points FROM documents""")
 def key_point_lists(spark, sf_dir):
     """Key points out of a JSON list, of bulleted lines and of other JSON."""

@@ -8,8 +8,8 @@ from pyspark.sql import SparkSession
 def build_session(app: str = "docloom", master: str = "local[8]", **conf: str) -> SparkSession:
     """A session with adaptive execution, Arrow transfer and UTC timestamps.
 
-    Shuffle partitions start high and are coalesced by adaptive execution, so the
-    same setting serves a laptop and a cluster.
+    The number of shuffle partitions is left to the cluster; adaptive execution coalesces
+    small ones. The bench and the tests set a low one for a single machine.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
@@ -17,7 +17,6 @@ def build_session(app: str = "docloom", master: str = "local[8]", **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": "16",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -65,6 +66,18 @@ def file_type(content: Column) -> Column:
     )
 
 
+def document_kind(mime: Column, name: Column) -> Column:
+    """pdf, image, sheet, word or other, by type or, where that tells nothing, by extension."""
+    mime, name = F.lower(F.coalesce(mime, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+    sheet = F.contains(mime, F.lit("spreadsheet")) | F.contains(mime, F.lit("excel")) | F.contains(mime, F.lit("csv")) | name.rlike(r"\.(xlsx|xls|csv)$")
+    word = F.contains(mime, F.lit("wordprocessing")) | F.contains(mime, F.lit("msword")) | name.rlike(r"\.docx?$")
+    return (
+        F.when((mime == "application/pdf") | name.rlike(r"\.pdf$"), "pdf")
+        .when(F.startswith(mime, F.lit("image/")) | name.rlike(r"\.(jpe?g|png|gif|webp|bmp)$"), "image")
+        .when(sheet, "sheet").when(word, "word").otherwise("other")
+    )
+
+
 def with_type(files: DataFrame) -> DataFrame:
     """Files with their real type and the path that fits it; clash tells whether that path is taken by another file."""
     typed = files.withColumn("type", file_type(F.col("content")))
@@ -154,15 +167,38 @@ def workbook_rows(files: DataFrame) -> DataFrame:
     return files.select("path", F.inline(rows(F.col("content"))))
 
 
+def csv_rows(files: DataFrame, delimiter: str = ",") -> DataFrame:
+    """(path, sheet_no, sheet, row_no, cells) of all CSV files of a file table, as sheets of one name."""
+
+    @F.pandas_udf("array<struct<sheet_no:int,sheet:string,row_no:int,cells:array<string>>>")
+    def rows(contents: pd.Series) -> pd.Series:
+        def read(content: bytes | None) -> list[dict]:
+            lines = csv.reader(io.StringIO((content or b"").decode("utf-8-sig", "replace"), newline=""), delimiter=delimiter)
+            return [{"sheet_no": 0, "sheet": "Sheet1", "row_no": r, "cells": [c.strip() for c in cells]} for r, cells in enumerate(lines)]
+
+        return pd.Series([read(c) for c in contents], dtype=object)
+
+    return files.select("path", F.inline(rows(F.col("content"))))
+
+
+def unlike_names(names: Column) -> Column:
+    """The names with a repeated one numbered: A, A_1, A_2, and so on past names that are there already."""
+    numbered = lambda taken, n: F.transform(
+        F.sequence(F.lit(0), F.size(taken)), lambda i: F.when(i == 0, n).otherwise(F.concat(n, F.lit("_"), i.cast("string")))
+    )
+    free = lambda taken, n: F.get(F.filter(numbered(taken, n), lambda x: ~F.array_contains(taken, x)), F.lit(0))
+    return F.aggregate(names, F.array().cast("array<string>"), lambda taken, n: F.concat(taken, F.array(free(taken, n))))
+
+
 def records(rows: DataFrame) -> DataFrame:
     """(path, sheet_no, row_no, record): rows under their sheet's first row as a map by its cells, a nameless
-    column named by its number, blank rows left out."""
+    column named by its number, a repeated name numbered, blank rows left out."""
     header = rows.where("row_no = 0").select("path", "sheet_no", F.col("cells").alias("header"))
     filled = rows.where((F.col("row_no") > 0) & F.exists("cells", lambda c: F.trim(c) != ""))
     joined = filled.join(header, ["path", "sheet_no"])
     names = F.transform("header", lambda h, i: F.when(F.trim(h) == "", F.concat(F.lit("Col "), (i + 1).cast("string"))).otherwise(F.trim(h)))
     values = F.transform("header", lambda h, i: F.coalesce(F.get("cells", i), F.lit("")))
-    return joined.select("path", "sheet_no", "row_no", F.map_from_arrays(F.array_distinct(names), F.slice(values, 1, F.size(F.array_distinct(names)))).alias("record"))
+    return joined.select("path", "sheet_no", "row_no", F.map_from_arrays(unlike_names(names), values).alias("record"))
 
 
 def _office_text(content: bytes, kind: str | None) -> str:
@@ -219,3 +255,30 @@ def best_scan(candidates: DataFrame) -> DataFrame:
     score = F.col("confidence") + 0.4 * F.least(word_count(F.col("text")), F.lit(250)) + 0.01 * F.least(F.length("text"), F.lit(2000))
     best = F.max_by(F.struct("variant", "text", "confidence"), F.struct(score, -F.col("variant")))
     return candidates.groupBy("path").agg(best.alias("b")).select("path", "b.*")
+
+
+def register_uploads(files: DataFrame, owner: Column, now: Column, folder: Column | None = None) -> dict[str, DataFrame]:
+    """What an upload of (path, mime, content) writes: documents, jobs and audit.
+
+    A file's type is told by its first bytes, the given one standing where they tell nothing; its
+    name takes the extension that fits. An image gets the name of a one-page preview. Every document
+    starts as pending, is queued for extraction and logged.
+    """
+    found = file_type(F.col("content"))
+    typed = files.withColumn("__type", found).withColumn("__name", F.element_at(F.split("path", "/"), -1))
+    mime = F.coalesce("__type.mime", "mime")
+    bare = F.regexp_replace("__name", r"\.[^.]*$", "")
+    name = F.when(F.col("__type").isNotNull(), F.concat(bare, "__type.extension")).otherwise(F.col("__name"))
+    image = F.startswith(F.coalesce(mime, F.lit("")), F.lit("image/"))
+    documents = typed.select(
+        F.sha2(F.concat_ws("|", owner.cast("string"), "path"), 256).alias("document_id"), owner.alias("owner_id"),
+        (F.lit(None).cast("string") if folder is None else folder).alias("folder_id"), name.alias("filename"), F.col("__name").alias("original_name"),
+        mime.alias("mime"), F.octet_length("content").cast("bigint").alias("size"), F.when(image, F.concat(bare, F.lit(".preview.pdf"))).alias("preview"),
+        F.when(image, 1).alias("page_count"), F.lit("pending").alias("status"), now.alias("created_at"),
+    )
+    jobs = documents.select("document_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("seq"), F.lit(0).alias("attempt"))
+    audit = documents.select(
+        F.col("owner_id").alias("user_id"), F.lit("DOCUMENT_UPLOAD").alias("action"), F.lit("Document").alias("resource_type"),
+        F.col("document_id").alias("resource_id"), F.to_json(F.struct(F.col("original_name").alias("filename"), "size")).alias("metadata"),
+    )
+    return {"documents": documents, "jobs": jobs, "audit": audit}

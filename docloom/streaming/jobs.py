@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,10 +10,11 @@ from docloom.operators.changes import latest_per_key
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Calls allowed in a window, by kind, and the tries of a job.
+#: Calls allowed in a window, by kind, and the tries of a job with the wait between them.
 LIMITS = {"general": 100, "auth": 10, "ai": 20}
 WINDOW = "15 minutes"
 TRIES = 3
+RETRY_SECONDS = 5.0
 
 
 def rate_limited(calls: DataFrame, key: str, time: str, limit: int) -> DataFrame:
@@ -65,6 +67,23 @@ def run_queue(stream: DataFrame, work: Callable[[DataFrame], DataFrame], done_pa
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def drain_queue(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], done_path: str, checkpoint: str, wait: float = RETRY_SECONDS) -> int:
+    """Work a folder of jobs until none is pending: returned jobs re-enter the folder and are worked after the wait.
+
+    Each round is a stream over the same folder and checkpoint that takes what is new; there
+    are no more rounds than TRIES, as every return counts an attempt. Returns the rounds.
+    """
+    rounds = 0
+    while True:
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
+        before = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(source).count()
+        run_queue(stream, work, done_path, f"{source}/returned", checkpoint).awaitTermination()
+        rounds += 1
+        if spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(source).count() == before:
+            return rounds
+        time.sleep(wait)
+
+
 #: The statuses that may follow a status.
 NEXT_STATUS = {
     None: ("pending",),
@@ -83,12 +102,11 @@ def follow_status(events: DataFrame) -> DataFrame:
 
     def step(key, frames, state: GroupState):
         status, refused = state.get if state.exists else (None, 0)
-        for frame in frames:
-            for new in frame.sort_values("ts")["status"]:
-                if new in NEXT_STATUS.get(status, ()):
-                    status = new
-                else:
-                    refused += 1
+        for new in pd.concat(list(frames)).sort_values("ts", kind="stable")["status"]:
+            if new in NEXT_STATUS.get(status, ()):
+                status = new
+            else:
+                refused += 1
         state.update((status, refused))
         yield pd.DataFrame({"document_id": [key[0]], "status": [status], "refused": [refused]})
 

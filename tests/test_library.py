@@ -127,6 +127,31 @@ def test_replace_index(spark, tmp_path):
     assert sorted((r["document_id"], r["text"]) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "kept")]
 
 
+def test_remove_from_index(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "document_id bigint, chunk_index int, text string")
+    path = str(tmp_path / "index")
+    changes.overwrite_documents(rows(*[(k, 0, f"t{k}") for k in range(200)]), path)
+    changes.remove_documents(spark.range(150).select(F.col("id").alias("document_id")), path)
+    assert {r["document_id"] for r in spark.read.parquet(path).select("document_id").collect()} == set(range(150, 200))
+    assert len([p for p in (tmp_path / "index").iterdir() if p.name.startswith("bucket=")]) <= changes.INDEX_BUCKETS
+
+
+def test_repeated_headers_and_csv(spark):
+    content = "A,A,B,,A_1\r\na1,a2,b1,x,z\r\n ,,,,\r\n\"q, r\",2\r\n".encode()
+    table = spark.createDataFrame([("a.csv", bytearray(content)), ("b.csv", bytearray(b"")), ("c.csv", None)], "path string, content binary")
+    got = files.records(files.csv_rows(table)).orderBy("row_no").collect()
+    assert [r["record"] for r in got] == [
+        {"A": "a1", "A_1": "a2", "B": "b1", "Col 4": "x", "A_1_1": "z"}, {"A": "q, r", "A_1": "2", "B": "", "Col 4": "", "A_1_1": ""},
+    ]
+
+
+def test_document_kinds(spark):
+    table = [("application/pdf", "x"), (None, "a.PDF"), ("image/png", None), ("text/csv", "t"), (None, "b.docx"), ("application/vnd.ms-excel", "c"), (None, None)]
+    df = spark.createDataFrame(table, "mime string, name string")
+    kinds = [r[0] for r in df.select(files.document_kind(F.col("mime"), F.col("name"))).collect()]
+    assert kinds == ["pdf", "pdf", "image", "sheet", "word", "sheet", "other"]
+
+
 def test_import(spark):
     sheet = spark.createDataFrame([(0, "a", "2024-01-02", "03/01/2024", ""), (1, "b", "2024-02-02", "2024-01-01", "x"), (2, "", "2024-01-01", "2024-01-01", "")], "i bigint, `Tâche` string, `Date début` string, fin string, `Catégorie` string")
     good, bad = tabular.import_tasks(tabular.normalized_columns(sheet), "i")
