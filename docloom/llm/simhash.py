@@ -13,10 +13,9 @@ from docloom.llm.common import components, materialize, modest_batches, release,
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
-#: Words of one range of the index, and ranges at most: what the driver and every task hold of the index is
-#: one (mask, pattern) for each range, so at most MAX_RANGES of them; larger corpora have larger ranges.
-RANGE_WORDS = 4096
-MAX_RANGES = 1024
+#: Ranges of the index, whatever the number of words: what the driver and every task hold of it is one
+#: (mask, pattern) for each range, and a word goes to the same share of them at every size.
+RANGES = 256
 LEAF = 32
 FAN = 8
 
@@ -126,10 +125,21 @@ def gray_pairs(fps: np.ndarray, max_bits: int = MAX_BITS):
         yield i[i < j], j[i < j]
 
 
+def _range_rows(bounds: list[int]):
+    """(fp, rank, range) by the places of the bounds, of which there are fewer than RANGES."""
+
+    def run(batches):
+        for batch in batches:
+            rank = batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.searchsorted(bounds, rank).astype(np.int64))], ["fp", "rank", "range"])
+
+    return run
+
+
 def _visit_rows(ranges: list[tuple[int, int, int]], max_bits: int):
     """(range, own, fp) for each word: its own range, and those after it that may hold words within max_bits.
 
-    ranges has (number, mask, pattern) of at most MAX_RANGES ranges in Gray order.
+    ranges has (number, mask, pattern) of at most RANGES ranges in Gray order.
     """
     numbers, mask, pattern = (np.array(c, np.int64) for c in zip(*ranges))
 
@@ -190,28 +200,27 @@ def _match_rows(max_bits: int):
     return run
 
 
-def simhash_links(fps: DataFrame, max_bits: int = MAX_BITS, range_words: int = RANGE_WORDS) -> DataFrame:
+def simhash_links(fps: DataFrame, max_bits: int = MAX_BITS, ranges: int = RANGES) -> DataFrame:
     """Edges (a, b) between fingerprints that join all those within max_bits; fps has one row (fp) for each distinct one.
 
-    The words are sorted by Gray rank into ranges of equal size. The bits that a range's words
+    The words are parted by Gray rank into ranges of about equal size. The bits that a range's words
     share are its summary; the summaries are the leaves of the index's upper tree, down
     which every word is sent. It goes to the ranges that are left, and in each of them down
     the lower tree over the range's words. Both trees leave whole groups by the differences met.
     """
     rows = fps.select("fp", gray_rank_column(F.col("fp")).alias("rank"))
-    ranges = max(1, min(MAX_RANGES, -(-fps.count() // range_words)))
-    sorted_ = materialize(rows.repartitionByRange(ranges, "rank").withColumn("range", F.spark_partition_id().cast("bigint")), "ranges")
-    shared = sorted_.groupBy("range").agg(
-        F.min("rank").alias("rank"), F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")
-    )
-    summaries = shared.select("range", "rank", F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))).alias("mask"), "low").orderBy("rank").collect()  # one for each range
+    fractions = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    bounds = rows.agg(F.percentile_approx("rank", fractions, F.lit(40 * ranges))).first()[0] or []  # fewer than `ranges`
+    parted = materialize(rows.mapInArrow(_range_rows(sorted(set(bounds))), "fp bigint, rank bigint, range bigint"), "ranges")
+    shared = parted.groupBy("range").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"))
+    summaries = shared.select("range", F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))).alias("mask"), "low").orderBy("range").collect()  # one for each range
     if not summaries:
-        return materialize(sorted_.select(F.col("fp").alias("a"), F.col("fp").alias("b")), "links")
+        return materialize(parted.select(F.col("fp").alias("a"), F.col("fp").alias("b")), "links")
     listed = [(r["range"], r["mask"], r["low"]) for r in summaries]
-    visits = sorted_.select("fp", "range").mapInArrow(_visit_rows(listed, max_bits), "range bigint, guest int, fp bigint")
-    dealt = visits.repartition(len(listed), "range").sortWithinPartitions("range", "guest", gray_rank_column(F.col("fp")))
+    visits = parted.select("fp", "range").mapInArrow(_visit_rows(listed, max_bits), "range bigint, guest int, fp bigint")
+    dealt = visits.repartition("range").sortWithinPartitions("range", "guest", gray_rank_column(F.col("fp")))
     links = materialize(dealt.mapInArrow(_match_rows(max_bits), "a bigint, b bigint"), "links")
-    release(sorted_)
+    release(parted)
     return links
 
 
