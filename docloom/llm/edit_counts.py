@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -18,8 +19,10 @@ from docloom.llm.tokens import default_tokenizer
 LEAF_PIECES = 32
 MEMO_ENTRIES = 400_000
 KEY_CHARS = 48
-#: The pre-tokenizer of the byte-level vocabulary, as published with it.
+#: The pre-tokenizer of the byte-level vocabulary, as published with it: the file names no pattern but the
+#: byte-level kind, whose pattern this is, so it is fixed with the file's kind and not a choice of ours.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_EDITS = "array<struct<start:bigint,end:bigint,text:string>>"
 _counters: dict[str, PieceCounter] = {}
 
 
@@ -127,9 +130,14 @@ def tree_of(text: str, count: PieceCounter) -> PieceTree:
 
 def usable_edits(text: str, edits: list[dict] | None) -> list[tuple[int, int, str]]:
     """Edits (start, end, new text) in order, cut to the text; one that starts inside an earlier one is left out."""
+    return cut_edits(len(text), edits)
+
+
+def cut_edits(size: int, edits: list[dict] | None) -> list[tuple[int, int, str]]:
+    """The same for a text of so many characters."""
     out: list[tuple[int, int, str]] = []
     for e in sorted(edits or [], key=lambda e: (e["start"], e["end"])):
-        start, end = max(0, min(e["start"], len(text))), max(0, min(e["end"], len(text)))
+        start, end = max(0, min(e["start"], size)), max(0, min(e["end"], size))
         if end >= start and (not out or start >= out[-1][1]):
             out.append((start, end, e["text"] or ""))
     return out
@@ -211,6 +219,116 @@ def _count_rows(path: str):
     return run
 
 
+def leaf_texts(pieces: list[str]) -> list[str]:
+    """The texts of the leaves of a tree over pieces."""
+    return ["".join(pieces[k : k + LEAF_PIECES]) for k in range(0, len(pieces), LEAF_PIECES)]
+
+
+def recount_leaves(leaves, chars: list[int], tokens: list[int], edits: list[tuple[int, int, str]], count: PieceCounter):
+    """Leaves of an edited text from those of the text before: (texts, chars, tokens, pieces encoded anew).
+
+    leaves gives the text of a leaf by its number; only leaves that an edit touches and some beside them are
+    asked for, others come back as their number. Edits are in order and do not overlap. A piece depends on
+    three characters after it, or on a whole run of white space and the next character; so a stretch
+    of leaves begins where as much stands before its first edit, and ends where a new piece meets
+    the end of an old leaf with as much, unedited, behind it.
+    """
+    ends = np.cumsum(chars) if chars else np.zeros(0, np.int64)
+    n = len(chars)
+    leaf_of = lambda place: max(0, min(int(np.searchsorted(ends, place, side="right")), n - 1))
+    start_of = lambda leaf: int(ends[leaf - 1]) if leaf else 0
+    enough = lambda text: len(text) >= 3 and not text.isspace()
+    out_text, out_chars, out_tokens, redone, at, k = [], [], [], 0, 0, 0
+    while k < len(edits):
+        low = leaf_of(edits[k][0])
+        while low > at and not enough("".join(leaves(b) for b in range(low, min(n, leaf_of(edits[k][0]) + 1)))[: edits[k][0] - start_of(low)]):
+            low -= 1
+        start, last, high = start_of(low), k, low
+        while True:
+            seen = high
+            while seen < n and not enough("".join(leaves(b) for b in range(high, seen))):
+                seen += 1
+            if last < len(edits) and (last == k or edits[last][0] <= start_of(seen)):
+                high = max(high, min(n, leaf_of(edits[last][1]) + 1))
+                last += 1
+                continue
+            old, done, parts = "".join(leaves(b) for b in range(low, high)), 0, []
+            for a, b, new in edits[k:last]:
+                parts += [old[done : a - start], new]
+                done = b - start
+            fresh = "".join([*parts, old[done:]])
+            view = fresh + "".join(leaves(b) for b in range(high, seen))
+            pieces, size = [], 0
+            while size < len(fresh):
+                pieces.append(PIECES.match(view, size)[0])
+                size += len(pieces[-1])
+            if size == len(fresh):
+                break
+            high += 1
+        out_text += [*range(at, low), *leaf_texts(pieces)]
+        groups = [pieces[q : q + LEAF_PIECES] for q in range(0, len(pieces), LEAF_PIECES)]
+        out_chars += chars[at:low] + [sum(map(len, g)) for g in groups]
+        out_tokens += tokens[at:low] + [sum(map(count.count, g)) for g in groups]
+        redone, at, k = redone + len(pieces), high, last
+    return out_text + list(range(at, n)), out_chars + chars[at:], out_tokens + tokens[at:], redone
+
+
+_LEAVES = "leaf_text array<string>, leaf_chars array<int>, leaf_tokens array<int>"
+
+
+def _tree_rows(path: str):
+    def run(batches):
+        count = counter(path)
+        for batch in small(batches, 128):
+            cut = [PIECES.findall(t or "") for t in batch.column(1).to_pylist()]
+            count.learn(set().union(*cut))
+            texts = [leaf_texts(pieces) for pieces in cut]
+            tokens = [[sum(map(count.count, p[k : k + LEAF_PIECES])) for k in range(0, len(p), LEAF_PIECES)] for p in cut]
+            columns = [batch.column(0), pa.array(texts, pa.list_(pa.string())), pa.array([list(map(len, t)) for t in texts], pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sum(t) for t in tokens], pa.int64())], ["doc_id", "leaf_text", "leaf_chars", "leaf_tokens", "n_tokens"])
+
+    return run
+
+
+def count_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """The token counts of documents to be kept: (doc_id, leaf_text, leaf_chars, leaf_tokens, n_tokens).
+
+    A document is kept as the leaves of its tree, LEAF_PIECES pre-tokens each, with the characters
+    and tokens of each; `recount` follows edits on them. A null text has no leaves; null ids and
+    repeated rows stay.
+    """
+    narrow = modest_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(_tree_rows(tokenizer_path or default_tokenizer()), f"doc_id bigint, {_LEAVES}, n_tokens bigint")
+
+
+def _recount_rows(path: str):
+    def run(batches):
+        count = counter(path)
+        for batch in small(batches, 128):
+            rows = []
+            for r in range(batch.num_rows):
+                texts, chars, tokens = batch.column(1)[r], batch.column(2)[r].as_py() or [], batch.column(3)[r].as_py() or []
+                usable = cut_edits(sum(chars), batch.column(4)[r].as_py())
+                new, new_chars, new_tokens, redone = recount_leaves(lambda b: texts[b].as_py(), chars, tokens, usable, count)
+                new = [texts[t].as_py() if isinstance(t, int) else t for t in new]
+                rows.append((batch.column(0)[r].as_py(), new, new_chars, new_tokens, sum(new_tokens), len(usable), redone))
+            types = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
+            names = ["doc_id", "leaf_text", "leaf_chars", "leaf_tokens", "n_tokens", "n_edits", "n_reencoded"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names) if rows else batch.slice(0, 0)
+
+    return run
+
+
+def recount(trees: DataFrame, edits: Column, tokenizer_path: str | None = None) -> DataFrame:
+    """Kept trees after edits: the columns of `count_trees`, n_edits and n_reencoded.
+
+    edits is an array column of (start, end, text) over trees, as for `edit_token_counts`. Leaves that no
+    edit touches keep their text and counts unread; the sums follow. A tree can be edited again and again.
+    """
+    narrow = modest_batches(trees).select("doc_id", "leaf_text", "leaf_chars", "leaf_tokens", edits.cast(_EDITS).alias("edits"))
+    return narrow.mapInArrow(_recount_rows(tokenizer_path or default_tokenizer()), f"doc_id bigint, {_LEAVES}, n_tokens bigint, n_edits bigint, n_reencoded bigint")
+
+
 def edit_token_counts(
     docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None
 ) -> DataFrame:
@@ -226,7 +344,6 @@ def edit_token_counts(
     earlier one is left out; a null id keeps its row; repeated rows give repeated results;
     an empty table gives no rows; other columns are not read.
     """
-    kind = "array<struct<start:bigint,end:bigint,text:string>>"
-    narrow = modest_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.cast(kind).alias("edits"))
+    narrow = modest_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.cast(_EDITS).alias("edits"))
     names = ["doc_id", "n_pieces", "n_tokens", "n_edits", "n_reencoded", "n_tokens_after"]
     return narrow.mapInArrow(_count_rows(tokenizer_path or default_tokenizer()), ", ".join(f"{n} bigint" for n in names))

@@ -455,6 +455,49 @@ def test_edit_counts():
         assert final == want and tree.total == whole(want)
 
 
+@pytest.mark.parametrize("leaf", [1, 8, 32])
+def test_recounted_leaves(monkeypatch, leaf):
+    """Edits on kept leaves, again and again, give the counts of the edited text and read little."""
+    monkeypatch.setattr(edit_counts, "LEAF_PIECES", leaf)
+    count, rng = edit_counts.counter(default_tokenizer()), random.Random(leaf)
+    units = ["a", "b", " ", "\n", "'s", "'r", "e", "1", "é", ".", "  ", "ab", "x y", "hello world ", "don't ", "\n\n\n"]
+    for _ in range(500):
+        text = "".join(rng.choice(units) for _ in range(rng.choice([0, 1, 5, 30, 200])))
+        pieces = edit_counts.PIECES.findall(text)
+        leaves = edit_counts.leaf_texts(pieces)
+        chars, tokens = list(map(len, leaves)), [sum(map(count.count, pieces[k : k + leaf])) for k in range(0, len(pieces), leaf)]
+        for _ in range(2):
+            given = [{"start": (a := rng.randint(0, len(text) + 2)), "end": a + rng.randint(0, 6), "text": rng.choice([None, "", " ", "zz", "\n\n", "'s", "e"])} for _ in range(rng.randint(0, 4))]
+            edits = edit_counts.cut_edits(len(text), given)
+            new, chars, tokens, _ = edit_counts.recount_leaves(leaves.__getitem__, chars, tokens, edits, count)
+            leaves = [leaves[t] if isinstance(t, int) else t for t in new]
+            for a, b, x in reversed(edits):
+                text = text[:a] + x + text[b:]
+            assert "".join(leaves) == text and chars == list(map(len, leaves))
+            assert sum(tokens) == sum(map(count.count, edit_counts.PIECES.findall(text)))
+    asked = set()
+    edit_counts.recount_leaves(lambda b: asked.add(b) or " word" * 32, [160] * 1000, [32] * 1000, [(80_000, 80_001, "x")], count)
+    assert len(asked) <= 4
+
+
+def test_kept_trees(spark):
+    from pyspark.sql import functions as F
+
+    docs = odd_docs(spark, plain(documents(spark))[:60])
+    at = F.greatest(F.length("text") / 2, F.lit(0)).cast("bigint")
+    edits = F.array(*[F.struct(p.alias("start"), (p + 3).alias("end"), F.lit("new").alias("text")) for p in (F.lit(1).cast("bigint"), at)])
+    once = edit_counts.edit_token_counts(docs, edits).select("doc_id", "n_tokens_after", "n_edits")
+    trees = edit_counts.count_trees(docs)
+    size = F.aggregate("leaf_chars", F.lit(0).cast("bigint"), lambda t, n: t + n)
+    half = (size / 2).cast("bigint")
+    kept = F.array(*[F.struct(p.alias("start"), (p + 3).alias("end"), F.lit("new").alias("text")) for p in (F.lit(1).cast("bigint"), half)])
+    after = edit_counts.recount(trees, kept)
+    assert rows(after.select("doc_id", "n_tokens", "n_edits")) == rows(once)
+    assert after.where("doc_id = 903").first()["n_reencoded"] < 300
+    assert rows(edit_counts.recount(after, F.lit(None)).select("doc_id", "n_tokens")) == rows(once.select("doc_id", "n_tokens_after"))
+    assert edit_counts.recount(trees.where("false"), kept).count() == 0
+
+
 def test_edit_counts_rows(spark):
     from pyspark.sql import functions as F
 
