@@ -33,23 +33,40 @@ def modest_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and return a reader of it: lineage ends here."""
-    path = f"{work_dir(df.sparkSession)}/{name}"
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder, or under a given path, and return a reader of it: lineage ends here."""
+    path = path or f"{work_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return at_path(df.sparkSession, path, df.schema)
+
+
+def at_path(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A reader of a table written before, which `release` can delete."""
+    out = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     out._docloom_path = path
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def listed_tables(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables in a folder, in order; none if it does not exist."""
+    fs, target = _file_system(spark, path)
+    if not fs.exists(target):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(target))
+    return [n for n in names if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
 def release(*frames: DataFrame) -> None:
-    """Delete tables made by materialize that nothing will read any more."""
+    """Delete tables made by materialize that nothing will read any more, and the folder made for one of them."""
     for df in frames:
-        path = df._docloom_path
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(target.getParent(), True)
+        fs, target = _file_system(df.sparkSession, df._docloom_path)
+        own = target.getParent().getName().startswith("docloom-")
+        fs.delete(target.getParent() if own else target, True)
 
 
 def unite(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

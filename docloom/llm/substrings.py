@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, modest_batches, release
+from docloom.llm.common import at_path, listed_tables, materialize, modest_batches, release
 from docloom.llm.rolling import WordBuffer, by_bytes, small
 
 WINDOW = 35
 SEED = 8
 #: Runs that the index holds before it merges them into one, and loads that a whole table is split into.
 FANOUT = 4
-LOADS = 2
+LOADS = 5
 _BLOCK_BYTES = 1 << 20
 _BLOCK_WORDS = 250_000
 
@@ -97,24 +99,51 @@ def _occurrence_rows(window: int, seed: int):
     return run
 
 
+def _posting_rows(window: int, seed: int):
+    def run(batches):
+        for batch in small(batches):
+            key, check = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for index, _, buffer in blocks_of([t.as_py() for t in batch.column(2)], window):
+                owner, _, _, h, _ = seeds_of(buffer, window, seed)
+                row = np.array(index)[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[row]), pa.array(check[row])], ["seed", "key", "check"])
+
+    return run
+
+
 class SubstringIndex:
     """Window seeds of everything loaded so far, as immutable runs sorted by seed.
 
-    A load writes one run and merge-joins it with the runs before it; the seeds met
-    twice are kept as further small tables. When FANOUT runs have gathered they are
-    compacted into one.
+    A load writes one run and merge-joins it with the runs before it; the seeds that the load
+    meets twice are kept as a further small table. When FANOUT runs have gathered they are
+    compacted into one. With a path the index outlives the session: its runs also tell
+    which texts hold a seed, and the texts are kept beside them, so that later batches
+    are judged against all that was ever loaded (`open_index`).
     """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, seed: int = SEED):
+    def __init__(self, spark: SparkSession, window: int = WINDOW, seed: int = SEED, path: str | None = None):
         self.spark, self.window, self.seed = spark, window, seed
+        self.path = path and f"{path.rstrip('/')}/windows-{window}-{seed}"
         self.runs: list[DataFrame] = []
         self.met_twice: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
+        for name in listed_tables(spark, self.path) if self.path else []:
+            table = at_path(spark, f"{self.path}/{name}")
+            (self.runs if name.startswith("run-") else self.texts).append(table)
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, self.path and f"{self.path}/{name}-{uuid.uuid4().hex}")
 
     def load(self, texts: DataFrame) -> None:
-        """Enter the texts of a one-column table."""
-        seeds = texts.mapInArrow(_seed_rows(self.window, self.seed), "seed bigint")
-        run = materialize(seeds.groupBy("seed").count().sortWithinPartitions("seed"), "run")
-        hits = run.where("count > 1").select("seed")
+        """Enter the rows of a table (key, check, text)."""
+        if self.path:
+            self.texts.append(self._write(texts.select("key", "check", "text"), "texts"))
+            seeds = texts.select("key", "check", "text").mapInArrow(_posting_rows(self.window, self.seed), "seed bigint, key bigint, check int")
+            by = ["seed", "key", "check"]
+        else:
+            seeds, by = texts.select("text").mapInArrow(_seed_rows(self.window, self.seed), "seed bigint"), ["seed"]
+        run = self._write(seeds.groupBy(*by).count().repartition("seed").sortWithinPartitions("seed"), "run")
+        hits = run.groupBy("seed").agg(F.sum("count").alias("n")).where("n > 1").select("seed")
         for older in self.runs:
             hits = hits.union(run.join(older, "seed", "left_semi").select("seed"))
         self.met_twice.append(materialize(hits.distinct(), "met_twice"))
@@ -124,19 +153,28 @@ class SubstringIndex:
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        merged = self.runs[0]
-        for run in self.runs[1:]:
-            merged = merged.union(run)
-        whole = materialize(merged.groupBy("seed").agg(F.sum("count").alias("count")).sortWithinPartitions("seed"), "run")
+        by = [c for c in self.runs[0].columns if c != "count"]
+        merged = reduce(DataFrame.unionByName, self.runs).groupBy(*by).agg(F.sum("count").alias("count"))
+        whole = self._write(merged.repartition("seed").sortWithinPartitions("seed"), "run")
         release(*self.runs)
         self.runs = [whole]
 
     def repeated_seeds(self) -> DataFrame:
         """Seeds that stand for windows at two places at least."""
-        found = self.met_twice[0]
-        for part in self.met_twice[1:]:
-            found = found.union(part)
-        return found.distinct()
+        return reduce(DataFrame.union, self.met_twice).distinct()
+
+    def texts_with(self, seeds: DataFrame, but_last: bool = True) -> DataFrame:
+        """(key, check, text) of the loaded texts that hold any of the seeds, but for those of the last load."""
+        held = reduce(DataFrame.unionByName, self.runs).join(seeds, "seed", "left_semi").select("key", "check").distinct()
+        tables = self.texts[:-1] if but_last else self.texts
+        if not tables:
+            return self.texts[-1].where("false")
+        return reduce(DataFrame.unionByName, tables).join(held, ["key", "check"], "left_semi")
+
+
+def open_index(spark: SparkSession, path: str, window: int = WINDOW, seed: int = SEED) -> SubstringIndex:
+    """The index kept in a folder, or a new one there."""
+    return SubstringIndex(spark, window, seed, path)
 
 
 def _window_rows(window: int):
@@ -196,8 +234,9 @@ def _result_rows(window: int):
 
 
 def remove_repeated_windows(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, loads: int = LOADS
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, loads: int = LOADS,
+    index: SubstringIndex | None = None,
+) -> DataFrame:
     """Words that stay when every word of a window that starts at two places is removed.
 
     Returns (doc_id, n_words, n_removed, kept_sha256), one row per row of docs.
@@ -209,6 +248,9 @@ def remove_repeated_windows(
     which goes back to its members and so to the documents. Groups are only counted,
     after a combine, or joined from their large side, so copies by the thousand do not meet in one task.
 
+    With a kept index (`open_index`) docs are a new batch: they are loaded into it and judged against
+    all that it holds, of which only the texts that share a seed with the batch are read.
+
     Defined results: a null or empty text has no words; rows that repeat id and text
     count as places of their own; a null id keeps its row; an empty table gives no rows;
     other columns are not read. A seed of more words than the window is refused.
@@ -219,13 +261,18 @@ def remove_repeated_windows(
     keyed = modest_batches(docs).select(
         identity.alias("doc_id"), text.alias("text"), F.xxhash64(identity, text).alias("key"), F.hash(identity, text).alias("check")
     )
-    index = SubstringIndex(docs.sparkSession, window, seed)
-    for k in range(loads):
-        index.load(keyed.where(F.pmod("key", F.lit(loads)) == k).select("text"))
-    seeds = materialize(index.repeated_seeds(), "seeds")
-    release(*index.runs, *index.met_twice)
-
-    found = keyed.select("key", "check", "text").mapInArrow(_occurrence_rows(window, seed), _OCCURRENCE)
+    if index is None:
+        index = SubstringIndex(docs.sparkSession, window, seed)
+        for k in range(loads):
+            index.load(keyed.where(F.pmod("key", F.lit(loads)) == k))
+        seeds = materialize(index.repeated_seeds(), "seeds")
+        release(*index.runs, *index.met_twice)
+        corpus = keyed.select("key", "check", "text")
+    else:
+        index.load(keyed)
+        window, seeds = index.window, index.met_twice[-1]
+        corpus = keyed.select("key", "check", "text").unionByName(index.texts_with(seeds))
+    found = corpus.mapInArrow(_occurrence_rows(window, index.seed), _OCCURRENCE)
     found = materialize(found.join(seeds, "seed", "left_semi"), "occurrences")
     classes = materialize(
         found.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "check", "first", "windows")).alias("at")),
@@ -239,7 +286,7 @@ def remove_repeated_windows(
         .agg(F.collect_list("o").alias("listed"))
     )
     listed = materialize(listed, "listed")
-    one = keyed.select("key", "check", "text").join(listed, ["key", "check"]).dropDuplicates(["key", "check"])
+    one = corpus.join(listed, ["key", "check"]).dropDuplicates(["key", "check"])
     windows = materialize(
         one.select("text", "listed").mapInArrow(_window_rows(window), "seed bigint, context bigint, place int, w1 bigint, w2 bigint"), "windows"
     )
@@ -253,6 +300,7 @@ def remove_repeated_windows(
     masks = materialize(masks.where("mask <> 0"), "masks")
     spans = found.join(masks, ["seed", "context"]).groupBy("key", "check").agg(F.collect_list(F.struct("first", "mask")).alias("spans"))
     spans = materialize(spans, "spans")
+    release(found, classes, contested, listed, windows, twice, masks)
     return (
         keyed.join(spans, ["key", "check"], "left")
         .select("doc_id", "text", "spans")

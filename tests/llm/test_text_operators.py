@@ -154,11 +154,31 @@ def test_repeated_windows(spark, window, seed):
 
 
 def test_index_compacts(spark):
-    index = substrings.SubstringIndex(spark, 12, 5)
+    """Five loads need a compaction and find the seeds that one load finds."""
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([r for k in range(5) for r in passages(k)[:5] + passages(99)[:2]], "doc_id bigint, text string")
+    keyed = table.select(F.xxhash64("doc_id", "text").alias("key"), F.hash("doc_id").alias("check"), "text")
+    several, one = substrings.SubstringIndex(spark, 12, 5), substrings.SubstringIndex(spark, 12, 5)
     for k in range(5):
-        index.load(spark.createDataFrame(passages(k)[:5] + passages(99)[:2], "doc_id bigint, text string").select("text"))
-    assert len(index.runs) < substrings.FANOUT
-    assert index.repeated_seeds().count() > 0
+        several.load(keyed.where(F.pmod("key", F.lit(5)) == k))
+    one.load(keyed)
+    assert len(several.runs) == 2 < substrings.FANOUT
+    assert rows(several.repeated_seeds()) == rows(one.repeated_seeds()) != []
+
+
+def test_kept_index(spark, tmp_path):
+    """Batches judged one after the other against a kept index, opened anew for each, as if their predecessors were there."""
+    table = [*passages(12), (77, passages(12)[3][1]), (78, None), (79, "short")]
+    batches = [table[:15], table[15:16], table[16:30], table[16:18], table[30:40], table[40:]]
+    path = str(tmp_path / "index")
+    for k, batch in enumerate(batches):
+        index = substrings.open_index(spark, path, 12, 5)
+        got = rows(substrings.remove_repeated_windows(spark.createDataFrame(batch, "doc_id bigint, text string"), index=index))
+        seen = [r for b in batches[: k + 1] for r in b]
+        want = windows_brute(seen, 12)
+        assert got == [w for w in want if w[0] in {d for d, _ in batch}] or set(got) == {w for w in want if w[0] in {d for d, _ in batch}}, k
+    assert len(substrings.open_index(spark, path, 12, 5).runs) < substrings.FANOUT
 
 
 def bytes_brute(table, size):
