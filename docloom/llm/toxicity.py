@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, modest_batches
+from docloom.llm.common import materialize, modest_batches, release
 from docloom.llm.rolling import by_bytes
 
 #: Labelled rows that the model is fitted on at most (those of smallest hash), and its landmarks.
@@ -336,7 +336,10 @@ def fit_toxicity(
     )
     chosen = materialize(chosen, "training_ids")
     rows = modest_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = materialize(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "training")  # train_rows ids
+    found = rows.join(F.broadcast(chosen), "doc_id")  # train_rows ids, of rows that share one the text of smallest hash
+    one = found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
+    sample = materialize(one.select("text", "toxic"), "training")
+    release(chosen)
     per_class = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = per_class.get(1, 0), per_class.get(0, 0)
     if not n1 or not n0:
@@ -353,6 +356,7 @@ def fit_toxicity(
         return ToxicityModel(["^none"], np.eye(1), np.zeros(1), 0.0, 1.0, 0.0, n1 / (n1 + n0))
     got = sample.mapInArrow(_feature_rows(words), "x array<float>, toxic int").collect()  # at most train_rows rows
     x, y = np.array([r["x"] for r in got], np.float64), np.array([r["toxic"] for r in got], np.float64)
+    release(sample)
     order = np.lexsort(np.concatenate([x.T, y[None]]))
     x, y = x[order], y[order]
     gram = Landmarks(words).similar(words).astype(np.float64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, materialize
+from docloom.llm.common import components, materialize, release
 
 COSINE = 0.9
 #: Rows of a cell, all of which meet one another.
@@ -241,13 +241,15 @@ def vector_groups(
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = classes.select(F.col("rep").alias("b"), "n")
     degree = both.join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
-    merged = components(links).select(F.col("node").alias("rep"), "component")
+    linked = components(links)
+    merged = linked.select(F.col("node").alias("rep"), "component")
     named = materialize(
         classes.select("k1", "k2", "rep", "n").join(degree, "rep", "left").join(merged, "rep", "left").select(
             "k1", "k2", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
         ),
         "named",
     )
+    release(classes, links, linked)
     grouped = valid.select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not valid").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -44,3 +44,39 @@ def test_stages(spark):
         before = spark.createDataFrame(after.collect(), after.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, before, DATA)
     assert packed.select("doc_id").distinct().count() == before.count()
+
+
+def test_oracles(spark):
+    """The queries that have SQL give its rows."""
+    import duckdb
+
+    from docloom.llm.registry import ORACLES
+
+    duck = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        duck.execute(f"CREATE VIEW {name} AS FROM '{DATA}/{name}.parquet'")
+    for name, sql in ORACLES.items():
+        got = QUERIES[name](spark, DATA)
+        want = duck.execute(sql)
+        columns = [d[0] for d in want.description]
+        assert sorted(map(str, got.select(columns).collect())) == sorted(str(spark_row(columns, r)) for r in want.fetchall()), name
+
+
+def spark_row(columns, values):
+    from pyspark.sql import Row
+
+    return Row(**dict(zip(columns, values)))
+
+
+def test_empty_documents(spark):
+    """Empty tables go through operators and stages that fit or join."""
+    from docloom.llm import decontaminate, edit_counts, toxicity
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("false")
+    labels, bench = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).count() == 0
+    assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels.where("false"))).count() == 0
+    assert decontaminate.decontamination(docs, bench).count() == 0
+    assert edit_counts.edit_token_counts(docs, edit_counts.redaction_edits(F.col("text"))).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DATA).count() == 0
