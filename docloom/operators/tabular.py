@@ -117,6 +117,19 @@ def pipe_tables(lines: DataFrame, group: str, order: str, line: str) -> DataFram
     return grouped.select(group, F.col("row_no").cast("bigint").alias("row_no"), "headers", cells.alias("cells"))
 
 
+#: What a pixel of paper has at least of brightness and less of colour, and when it counts as green or blue.
+PAPER_LUMA, PAPER_COLOUR, GREEN, BLUE = 125, 50, (1.1, 1.1, 80), (1.08, 1.05, 75)
+
+
+def is_paper(red: Column, green: Column, blue: Column) -> Column:
+    """Whether a pixel looks like paper."""
+    luma = 0.299 * red + 0.587 * green + 0.114 * blue
+    colour = F.greatest(red, green, blue) - F.least(red, green, blue)
+    is_green = (green > red * GREEN[0]) & (green > blue * GREEN[1]) & (green > GREEN[2])
+    is_blue = (blue > red * BLUE[0]) & (blue > green * BLUE[1]) & (blue > BLUE[2])
+    return (luma > PAPER_LUMA) & (colour < PAPER_COLOUR) & ~is_green & ~is_blue
+
+
 def normalized_columns(df: DataFrame) -> DataFrame:
     """The table with its column names in key form."""
     spark = df.sparkSession

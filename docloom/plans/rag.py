@@ -7,7 +7,7 @@ from functools import reduce
 from docloom.functions.text import WORD_END, WORD_START, js_trim, matched_terms, regex_escape
 from docloom.plans.base import query
 from docloom.session import read_table
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: Patterns of small talk, of questions about a document as a whole, of lines that look like
@@ -152,9 +152,11 @@ def post_processed_answers(spark, sf_dir):
 
 
 @query("""
-    SELECT conv_id, '[1] ' || role || ':' || chr(10) || text AS first_context FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1""")
+    SELECT conv_id, string_agg('[' || n || '] ' || role || CASE WHEN turn % 2 = 1 THEN ' (p.' || turn || ')' ELSE '' END || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 6 GROUP BY 1""")
 def prompt_context(spark, sf_dir):
-    """The first numbered passage of a prompt over each conversation."""
-    first = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by(F.struct("role", "text"), "turn").alias("m"))
-    source = F.struct(F.col("m.role").alias("name"), F.lit(None).cast("int").alias("page"), F.col("m.text").alias("text"))
-    return first.select("conv_id", context(F.array(source)).alias("first_context"))
+    """The numbered passages of a prompt over each conversation, six as an answer has, every second one with a page."""
+    turns = read_table(spark, sf_dir, "conversations")
+    first = turns.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("n <= 6")
+    source = F.struct("n", F.col("role").alias("name"), F.when(F.col("turn") % 2 == 1, F.col("turn")).alias("page"), "text")
+    return first.groupBy("conv_id").agg(context(F.array_sort(F.collect_list(source))).alias("context"))

@@ -10,16 +10,22 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
-@query("SELECT * FROM (VALUES (0, 'p_partkey', true), (1, 'p_name', false), (2, 'p_brand', false), (3, 'p_type', false), (4, 'p_size', true), (5, 'p_retailprice', true)) t(position, \"column\", is_numeric)")
+_SHEET = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+_KINDS = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", coalesce(bool_or(try_cast(replace(replace({c}::VARCHAR, ' ', ''), ',', '.') AS DOUBLE) IS NOT NULL), false) AS is_numeric FROM part" for i, c in enumerate(_SHEET)
+)
+
+
+@query(_KINDS)
 def numeric_columns(spark, sf_dir):
     """Which columns of a sheet are numeric."""
-    return tabular.numeric_columns(read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"))
+    return tabular.numeric_columns(read_table(spark, sf_dir, "part").select(*_SHEET))
 
 
-@query("SELECT 'p_name' AS x, 'p_partkey' AS y")
+@query(f"WITH k AS ({_KINDS}) SELECT arg_min(\"column\", position) FILTER (WHERE NOT is_numeric) AS x, arg_min(\"column\", position) FILTER (WHERE is_numeric) AS y FROM k")
 def default_axes(spark, sf_dir):
     """Axes that a chart of a sheet begins with."""
-    return tabular.default_axes(tabular.numeric_columns(read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")))
+    return tabular.default_axes(tabular.numeric_columns(read_table(spark, sf_dir, "part").select(*_SHEET)))
 
 
 _PRICE = "CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'n/a' WHEN 3 THEN replace(p_retailprice::VARCHAR, '.', ',') ELSE '1 ' || p_size::VARCHAR END"
@@ -204,6 +210,35 @@ def component_bounds(spark, sf_dir):
     )
 
 
+@query("""
+    SELECT l_suppkey AS image, first(l_partkey ORDER BY l_partkey + l_linenumber, l_partkey) AS nw_x, first(l_partkey ORDER BY l_partkey - l_linenumber DESC, l_partkey) AS ne_x,
+      first(l_partkey ORDER BY l_partkey + l_linenumber DESC, l_partkey) AS se_x, first(l_partkey ORDER BY l_partkey - l_linenumber, l_partkey) AS sw_x,
+      first(l_linenumber ORDER BY l_partkey + l_linenumber, l_partkey) AS nw_y, first(l_linenumber ORDER BY l_partkey - l_linenumber DESC, l_partkey) AS ne_y,
+      first(l_linenumber ORDER BY l_partkey + l_linenumber DESC, l_partkey) AS se_y, first(l_linenumber ORDER BY l_partkey - l_linenumber, l_partkey) AS sw_y
+    FROM lineitem WHERE l_quantity > 25 GROUP BY 1""")
+def component_corners(spark, sf_dir):
+    """The four corners of the bright cells of an image: least and greatest sums and differences of their places."""
+    p = read_table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_suppkey").alias("image"), F.col("l_partkey").alias("x"), F.col("l_linenumber").alias("y"))
+    total, apart = F.col("x") + F.col("y"), F.col("x") - F.col("y")
+    at = lambda key: F.min_by(F.struct("x", "y"), F.struct(key, F.col("x")))
+    corners = p.groupBy("image").agg(at(total).alias("nw"), at(-apart).alias("ne"), at(-total).alias("se"), at(apart).alias("sw"))
+    return corners.select("image", *[F.col(f"{c}.{d}").alias(f"{c}_{d}") for c in ("nw", "ne", "se", "sw") for d in ("x", "y")])
+
+
+@query("""
+    WITH p AS (SELECT l_suppkey AS image, (l_orderkey * 7) % 256 AS r, (l_partkey * 5) % 256 AS g, (l_orderkey + l_partkey) % 256 AS b FROM lineitem)
+    SELECT image, count_if(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b > 125 AND greatest(r, g, b) - least(r, g, b) < 50
+      AND NOT (g > r * 1.1::DOUBLE AND g > b * 1.1::DOUBLE AND g > 80) AND NOT (b > r * 1.08::DOUBLE AND b > g * 1.05::DOUBLE AND b > 75))::BIGINT AS paper, count(*) AS n
+    FROM p GROUP BY 1""")
+def paper_pixels(spark, sf_dir):
+    """Pixels of each image that look like paper: bright, hardly coloured, neither green nor blue."""
+    p = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("image"), (F.col("l_orderkey") * 7 % 256).alias("r"), (F.col("l_partkey") * 5 % 256).alias("g"), ((F.col("l_orderkey") + F.col("l_partkey")) % 256).alias("b")
+    )
+    paper = tabular.is_paper(F.col("r"), F.col("g"), F.col("b"))
+    return p.groupBy("image").agg(F.count_if(paper).alias("paper"), F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT l_linenumber AS row_y, round(avg((l_quantity > 25)::INT), 6) AS ratio, count(*) AS n FROM lineitem GROUP BY 1")
 def pixel_ratio(spark, sf_dir):
     """Share of bright cells by row."""

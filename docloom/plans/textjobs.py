@@ -95,11 +95,11 @@ def normalise_key(spark, sf_dir):
 @query("""
     WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND NOT list_contains(
       ['a','about','an','and','are','dans','de','des','du','est','for','is','la','le','les','me','of','on','pour','que','qui','the','this','un','une','what'], x)) AS ws FROM documents)
-    SELECT doc_id, len(list_distinct(ws))::BIGINT AS n_tokens, ws[1] AS first_token FROM w""")
+    SELECT doc_id, len(list_distinct(ws))::BIGINT AS n_tokens, array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i), ' ') AS tokens FROM w""")
 def lexical_tokens(spark, sf_dir):
-    """Distinct lexical tokens of every text: their number and the first."""
+    """Distinct lexical tokens of every text, in first-seen order, and their number."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", T.lexical_tokens(F.col("text")).alias("t"))
-    return docs.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.get("t", F.lit(0)).alias("first_token"))
+    return docs.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words, ceil(len(text) / 4)::BIGINT AS tokens FROM documents")
