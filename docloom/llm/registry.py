@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import oracles
+from docloom.llm.alignment import align_tokens
 from docloom.llm.byte_dups import remove_repeated_bytes
 from docloom.llm.decontaminate import decontamination
 from docloom.llm.edit_counts import edit_token_counts, redaction_edits
@@ -72,6 +73,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the byte-level and the piece tokens of every document stand to each other."""
+    return align_tokens(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_embeddings": op2_embeddings,
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
 }
 #: The others cannot be put in SQL; tests hold them against brute force, exact round trips or held-out labels.
 ORACLES: dict[str, str] = {
