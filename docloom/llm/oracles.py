@@ -39,3 +39,17 @@ REPEATED_BYTES = """
     gone AS (SELECT doc_id, sum(b - a + 1) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
     SELECT doc_id, (len(hx) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
     FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
+
+HARD_NEGATIVES = """
+    WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS al, b.r AS br, b.vec_id, b.label,
+                 list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+          FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.q) = len(b.q)),
+    pos AS (SELECT ar, anchor_id, br, vec_id AS positive_id, score AS p FROM s WHERE label = al
+            QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5)
+    SELECT pos.anchor_id, positive_id, row_number() OVER (PARTITION BY pos.ar, pos.br ORDER BY score DESC, vec_id)::INTEGER AS rank,
+           vec_id AS negative_id, p AS positive_score, score AS negative_score
+    FROM pos JOIN s ON s.ar = pos.ar AND s.label <> s.al AND 80 * p <= 100 * score AND 100 * score <= 100 * p
+    QUALIFY rank <= 5"""

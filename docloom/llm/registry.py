@@ -11,6 +11,7 @@ from docloom.llm.byte_dups import remove_repeated_bytes
 from docloom.llm.decontaminate import decontamination
 from docloom.llm.edit_counts import edit_token_counts, redaction_edits
 from docloom.llm.html_text import extract_pages
+from docloom.llm.negatives import hard_negatives
 from docloom.llm.packing import pack_documents
 from docloom.llm.pii import find_pii
 from docloom.llm.simhash import simhash_groups
@@ -78,6 +79,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id 100 divides; every seventh id has its label moved on by one."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", label.alias("label"), "embedding", (F.col("vec_id") % 100 == 0).alias("is_anchor")))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_embeddings": op2_embeddings,
@@ -90,10 +98,12 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
+    "op12_negatives": op12_negatives,
 }
 #: The others cannot be put in SQL; tests hold them against brute force, exact round trips or held-out labels.
 ORACLES: dict[str, str] = {
     "op2_embeddings": oracles.VECTOR_GROUPS,
     "op5_substrings": oracles.REPEATED_WINDOWS,
     "op8_suffixes": oracles.REPEATED_BYTES,
+    "op12_negatives": oracles.HARD_NEGATIVES,
 }
