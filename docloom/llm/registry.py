@@ -11,6 +11,7 @@ from docloom.llm.byte_dups import remove_repeated_bytes
 from docloom.llm.decontaminate import decontamination
 from docloom.llm.edit_counts import edit_token_counts, redaction_edits
 from docloom.llm.html_text import extract_pages
+from docloom.llm.lm_scores import score_texts
 from docloom.llm.negatives import hard_negatives
 from docloom.llm.packing import pack_documents
 from docloom.llm.pii import find_pii
@@ -86,6 +87,12 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows.select("vec_id", label.alias("label"), "embedding", (F.col("vec_id") % 100 == 0).alias("is_anchor")))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document; a fifth of them, by the remainder of their id's checksum, is held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    return score_texts(docs.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("held_out")))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_embeddings": op2_embeddings,
@@ -99,6 +106,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
     "op12_negatives": op12_negatives,
+    "op13_lm_scores": op13_lm_scores,
 }
 #: The others cannot be put in SQL; tests hold them against brute force, exact round trips or held-out labels.
 ORACLES: dict[str, str] = {
