@@ -5,22 +5,18 @@ from __future__ import annotations
 from docloom.functions.text import matched_terms
 from docloom.functions.values import round_half_up
 from docloom.genai.models import generated
+from docloom.operators.nearest import nearest
 from docloom.plans.base import query
 from docloom.plans.rag import CANNED, canned_answer, context, has_answer, is_overview, is_small_talk, post_process, sanitise_chunk
-from docloom.plans.retrieval import _FUSED, QUESTIONS, confidence, fuse, gate, lexical_scores, relevant, score_all, top_k
+from docloom.plans.retrieval import _FUSED, QUESTIONS, confidence, fuse, gate, lexical_scores, relevant, top_k
 from docloom.session import read_table
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Passages asked for, and those of questions about a whole document and within a folder.
 TOP_K, OVERVIEW_K, SCOPED_K = 6, 8, 10
 
 
-def _best(scored: DataFrame, wanted: Column) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
-
-
 def _anchor(overview: Column, language: Column, primary: Column) -> Column:
     kind = F.when(language == "en", "**Document Type:**").otherwise("**Type de document :**")
     start = F.when(language == "en", F.concat(F.lit("Based on **"), primary, F.lit("**,"))).otherwise(F.concat(F.lit("Selon **"), primary, F.lit("**,")))
@@ -40,10 +36,10 @@ def ask(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, scoped: bool =
     real = told.where("not talk")
     numbers = real.select("query_id", "wanted", "fetched")
     rounded = lambda d: d.withColumn("score", F.round("score", 6))
-    semantic = rounded(score_all(chunks.select("chunk_id", "embedding"), real.select("query_id", "q"))).join(numbers, "query_id")
     lexical = rounded(lexical_scores(chunks.select("chunk_id", "name", "text").where("text is not null"), real.select("query_id", "query")))
     most = max(2 * OVERVIEW_K, 2 * SCOPED_K, 2 * k)
-    fused = fuse(_best(semantic, F.col("fetched")), top_k(lexical, max(6, k), per="query_id"), most)
+    semantic = nearest(chunks.select("chunk_id", "embedding"), real.select("query_id", "q"), most).join(numbers, "query_id").where("rank <= fetched")
+    fused = fuse(semantic, top_k(lexical, max(6, k), per="query_id"), most)
     fused = fused.join(numbers.select("query_id", "wanted"), "query_id").where("rank <= wanted").drop("wanted")
     named = relevant(fused).join(chunks.select("chunk_id", "name", "text"), "chunk_id", "left")
     source = F.struct(

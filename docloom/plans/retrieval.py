@@ -4,26 +4,17 @@ from __future__ import annotations
 
 from docloom.functions.text import WORD_END, WORD_START, lexical_groups, normalize_lexical, regex_escape
 from docloom.functions.values import round_half_up
-from docloom.functions.vectors import cosine
 from docloom.operators.catalog import with_names
+from docloom.operators.nearest import nearest
+from docloom.operators.vector_index import build_index, search_index
 from docloom.plans.base import catalog, query
-from docloom.session import read_table
+from docloom.session import read_table, shared_folder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Score gates and confidence levels.
 RELEVANCE, HARD_MIN, CONFIDENT = 0.18, 0.12, 0.16
 HIGH, MEDIUM = 0.55, 0.28
-#: Rows that the centres of the approximate index are fitted on at most, its cells, and those a query looks into.
-INDEX_SAMPLE, CELLS, PROBES = 4096, 16, 12
-
-
-def score_all(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of every chunk with every query vector (query_id, q).
-
-    A stated query set against all chunks; it is broadcast when Spark finds it small enough.
-    """
-    return chunks.crossJoin(queries).withColumn("score", cosine("embedding", "q")).drop("embedding", "q")
 
 
 def top_k(scored: DataFrame, k: int, per: str | None = None) -> DataFrame:
@@ -95,30 +86,6 @@ def confidence_percent(score: Column, level: Column) -> Column:
     return F.when(level == "high", F.least(F.lit(99), shown(75))).when(level == "medium", shown(55)).otherwise(shown(30)).cast("bigint")
 
 
-def ann_top_k(chunks: DataFrame, queries: DataFrame, k: int, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
-    """Approximate nearest chunks of each query (query_id, q): (query_id, rank, chunk_id, score).
-
-    Centres are fitted on at most INDEX_SAMPLE chunks; every chunk is in the cell of its nearest centre,
-    a query looks into the cells of its `probes` nearest ones, and exact cosine ranks what is there.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    zero = F.forall("embedding", lambda x: x == 0)
-    usable = chunks.where(F.col("embedding").isNotNull() & ~F.coalesce(zero, F.lit(True)))
-    unit = Normalizer(inputCol="v", outputCol="features").transform(usable.withColumn("v", array_to_vector(F.col("embedding").cast("array<double>"))))
-    sample = unit.select("features", F.xxhash64("chunk_id").alias("h")).orderBy("h").limit(INDEX_SAMPLE)
-    model = KMeans(k=cells, seed=7, featuresCol="features", predictionCol="cell", maxIter=15).fit(sample)
-    listed = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]  # `cells` of them
-    centres = chunks.sparkSession.createDataFrame(listed, "cell int, centre array<double>")
-    near = queries.crossJoin(F.broadcast(centres)).withColumn("near", cosine("q", "centre"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "cell")
-    looked = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= probes).select("query_id", "q", "cell")
-    found = model.transform(unit).select("chunk_id", "embedding", "cell").join(looked, "cell")
-    return top_k(found.select("query_id", "chunk_id", cosine("embedding", "q").alias("score")), k, per="query_id").select("query_id", "rank", "chunk_id", "score")
-
-
 def _chunks(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), F.col("label").cast("bigint").alias("document_id"), "embedding"
@@ -138,8 +105,7 @@ _COSINE = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUB
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, chunk_id LIMIT 10""")
 def semantic_topk(spark, sf_dir):
     """Ten nearest chunks of vector 0."""
-    scored = score_all(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir, [0])).withColumn("score", F.round("score", 6))
-    return top_k(scored.drop("query_id"), 10)
+    return nearest(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir, [0]), 10).select("chunk_id", "document_id", "score")
 
 
 @query(f"""
@@ -150,8 +116,8 @@ def semantic_topk_scoped(spark, sf_dir):
     """The same within the documents of a folder, here those of the first ten chunks."""
     chunks = _chunks(spark, sf_dir)
     documents = chunks.where("chunk_id < 10").select("document_id").distinct()
-    scored = score_all(chunks.join(documents, "document_id", "left_semi"), _query_vectors(spark, sf_dir, [0])).withColumn("score", F.round("score", 6))
-    return top_k(scored.drop("query_id"), 10).select("chunk_id", "document_id", "score")
+    scoped = chunks.join(documents, "document_id", "left_semi")
+    return nearest(scoped, _query_vectors(spark, sf_dir, [0]), 10).select("chunk_id", "document_id", "score")
 
 
 @query(f"""
@@ -162,15 +128,16 @@ def semantic_topk_scoped(spark, sf_dir):
 def knn_multi_query(spark, sf_dir):
     """Five nearest chunks of each vector whose id 50 divides."""
     queries = read_table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = score_all(_chunks(spark, sf_dir), queries).withColumn("score", F.round("score", 6))
-    return top_k(scored, 5, per="query_id").select("query_id", "rank", "chunk_id", "score")
+    return nearest(_chunks(spark, sf_dir), queries, 5).select("query_id", "rank", "chunk_id", "score")
 
 
 @query()
 def semantic_ann(spark, sf_dir):
-    """Ten approximate nearest chunks of each vector whose id 50 divides; a test holds the recall against the exact search."""
+    """Ten approximate nearest chunks of each vector whose id 50 divides, by an index that is built and searched; tests hold its recall."""
     queries = read_table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return ann_top_k(_chunks(spark, sf_dir), queries, 10)
+    path = f"{shared_folder(spark)}/index"
+    build_index(_chunks(spark, sf_dir), path)
+    return search_index(spark, path, queries, 10).select("query_id", "rank", "chunk_id", "score")
 
 
 QUESTIONS = [(1, "What is the name of the student?"), (2, "Le texte de la personne"), (3, "the reer thion"), (4, "hello idiot clown"), (5, "que nom est ce?")]
@@ -212,8 +179,8 @@ def lexical_search(spark, sf_dir):
 def _fused(spark, sf_dir):
     """Questions paired with query vectors; chunk ids are shared by documents and embeddings."""
     lexical = lexical_scores(_named_texts(spark, sf_dir), F.broadcast(_questions(spark))).withColumn("score", F.round("score", 6))
-    semantic = score_all(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir, [1, 2, 3, 4, 5])).withColumn("score", F.round("score", 6))
-    return fuse(top_k(semantic, 8, per="query_id"), top_k(lexical, 6, per="query_id"), 6)
+    semantic = nearest(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir, [1, 2, 3, 4, 5]), 8)
+    return fuse(semantic, top_k(lexical, 6, per="query_id"), 6)
 
 
 _FUSED = f"""{_LEXICAL},

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
+#: Where tables are kept on a single machine whose session names no folder.
+LOCAL_FOLDER = "/tmp/checkpoints/docloom"
+
 
 def build_session(app: str = "docloom", master: str = "local[8]", **conf: str) -> SparkSession:
     """A session with adaptive execution, Arrow transfer and UTC timestamps.
@@ -30,3 +35,14 @@ def build_session(app: str = "docloom", master: str = "local[8]", **conf: str) -
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One table of the test data, by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the one that the cluster shares, spark.checkpoint.dir; a local one only for a local master without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        base = LOCAL_FOLDER
+    return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
