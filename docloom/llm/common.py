@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import shared_folder
+
 #: Rows and bytes of an Arrow batch: texts are long, and both ends of the transfer hold a batch whole.
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
-LOCAL_WORK_DIR = "/tmp/checkpoints/docloom"
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = LOCAL_WORK_DIR
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
 
 def modest_batches(df: DataFrame) -> DataFrame:
@@ -33,10 +23,14 @@ def modest_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder, or under a given path, and return a reader of it: lineage ends here."""
-    path = path or f"{work_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+def materialize(df: DataFrame, name: str, path: str | None = None, by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder, or under a given path, and return a reader of it: lineage ends here.
+
+    With `by` the rows of each value of that column are kept apart, and readers of one value skip the others.
+    """
+    path = path or f"{shared_folder(df.sparkSession)}/{name}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return at_path(df.sparkSession, path, df.schema)
 
 

@@ -1,7 +1,13 @@
-"""Hashes of any substring of a byte buffer from one prefix pass, vectorised."""
+"""Hashes of any substring of a byte buffer from one prefix pass, vectorised, and digests that stand for the bytes themselves.
+
+The hashes are polynomials modulo 2^64. They find candidates; texts can be made whose hashes are
+equal though their bytes differ, so whoever removes text compares it, or its `digests`.
+"""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 #: Fixed odd multipliers of two independent polynomial hashes modulo 2^64.
@@ -77,13 +83,49 @@ class WordBuffer:
 
     def hashes(self, word: np.ndarray, size: int, which: int = 0) -> np.ndarray:
         """Hash of the run of `size` words from each given word on."""
-        return self.hashes_between(word, word + size, which)
-
-    def hashes_between(self, first: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hash of the words first to stop - 1, for arrays of word numbers."""
         if which not in self._prefix:
             self._prefix[which] = Prefix(self.data, which)
-        return self._prefix[which].of(self.starts[first], self.ends[stop - 1])
+        return self._prefix[which].of(self.starts[word], self.ends[word + size - 1])
+
+    def digests(self, first: np.ndarray, stop: np.ndarray) -> list[bytes]:
+        """Digest of the words first to stop - 1, for arrays of word numbers."""
+        return digests(self.data.tobytes(), self.starts[first], self.ends[stop - 1])
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """Cryptographic digests of data[start:end] for arrays of places: 16 bytes that are equal for equal bytes only."""
+    view = memoryview(data)
+    return [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]
+
+
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first smallest value in each run of `width` values."""
+    best, span = np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        left, right = best[: len(best) - step], best[step:]
+        best = np.where(values[left] <= values[right], left, right)
+        span += step
+    return best
+
+
+def sliding_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of each run of `width` hashes, the first of equal ones.
+
+    The low bits of a hash give way to its place, so fewer than 2^21 hashes are taken.
+    """
+    n = len(hashes)
+    if n >= 1 << 21:
+        raise ValueError("too many hashes at once")
+    low = np.uint64((1 << 21) - 1)
+    keyed = (hashes & ~low) | np.arange(n, dtype=np.uint64)
+    padded = np.full(-(-n // width) * width + width, ~np.uint64(0))
+    padded[:n] = keyed
+    rows = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    best = np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    return (best & low).astype(np.int64)
 
 
 def by_bytes(sizes: list[int], limit: int):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import at_path, listed_tables, materialize, modest_batches, release
-from docloom.llm.rolling import WordBuffer, by_bytes, small
+from docloom.llm.rolling import WordBuffer, by_bytes, sliding_argmin, small
 
 WINDOW = 35
 SEED = 8
@@ -26,34 +26,23 @@ _BLOCK_WORDS = 250_000
 _SPLIT = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the first smallest value in each run of `width` values."""
-    best, span = np.arange(len(values)), 1
-    while span < width:
-        step = min(span, width - span)
-        left, right = best[: len(best) - step], best[step:]
-        best = np.where(values[left] <= values[right], left, right)
-        span += step
-    return best
-
-
-def seeds_of(buffer: WordBuffer, window: int, seed: int):
+def seeds_of(buffer: WordBuffer, window: int, seed: int, digested: bool = False):
     """The seed that stands for each window: the smallest hash among its runs of `seed` words.
 
     Equal windows have equal seeds at equal places. Neighbouring windows with the same
-    seed are one occurrence: (text, first window, windows, seed hash, context hash), the
-    context being all words of those windows.
+    seed are one occurrence: (text, first window, windows, seed hash, digest of its context),
+    the context being all words of those windows. The digests are left out if not asked for.
     """
     word, text = buffer.runs(window)
     if not len(word):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), [])
     last = len(buffer.starts) - seed + 1
     hashes = buffer.hashes(np.arange(last), seed)
     anchor = sliding_argmin(hashes, window - seed + 1)[word]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (word[1:] != word[:-1] + 1) | (text[1:] != text[:-1])]))
     first, owner = word[new], text[new]
     count = np.diff(np.append(new, len(word)))
-    context = buffer.hashes_between(first, first + count - 1 + window, which=1)
+    context = buffer.digests(first, first + count - 1 + window) if digested else []
     return owner, first - buffer.bounds[owner], count, hashes[anchor[new]], context
 
 
@@ -73,16 +62,25 @@ def blocks_of(texts: list[str | None], window: int):
 
 
 def _seed_rows(window: int, seed: int):
+    """(load, seed) of the texts of each load."""
+
     def run(batches):
         for batch in small(batches):
-            for _, _, buffer in blocks_of([t.as_py() for t in batch.column(0)], window):
-                h = seeds_of(buffer, window, seed)[3]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["seed"])
+            load = batch.column(0).to_numpy(zero_copy_only=False)
+            for index, _, buffer in blocks_of([t.as_py() for t in batch.column(1)], window):
+                owner, _, _, h, _ = seeds_of(buffer, window, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(load[np.array(index)[owner]]), pa.array(h.view(np.int64))], ["load", "seed"])
 
     return run
 
 
-_OCCURRENCE = "key bigint, check int, first bigint, windows int, seed bigint, context bigint"
+def numbered_seeds(texts: DataFrame, window: int, seed: int, loads: int) -> DataFrame:
+    """How often each seed stands in the texts (key, text) of each load, from one pass over them, kept apart by load."""
+    rows = texts.select(F.pmod("key", F.lit(loads)).cast("int").alias("load"), "text").mapInArrow(_seed_rows(window, seed), "load int, seed bigint")
+    return materialize(rows.groupBy("load", "seed").count(), "loads", by="load")
+
+
+_OCCURRENCE = "key bigint, check int, first bigint, windows int, seed bigint, context binary"
 
 
 def _occurrence_rows(window: int, seed: int):
@@ -90,11 +88,11 @@ def _occurrence_rows(window: int, seed: int):
         for batch in small(batches):
             key, check = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for index, shift, buffer in blocks_of([t.as_py() for t in batch.column(2)], window):
-                owner, first, count, h, context = seeds_of(buffer, window, seed)
+                owner, first, count, h, context = seeds_of(buffer, window, seed, digested=True)
                 row = np.array(index)[owner]
-                columns = [key[row], check[row], first + shift, count.astype(np.int32), h.view(np.int64), context.view(np.int64)]
+                columns = [key[row], check[row], first + shift, count.astype(np.int32), h.view(np.int64)]
                 names = ["key", "check", "first", "windows", "seed", "context"]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(context, pa.binary())], names)
 
     return run
 
@@ -139,10 +137,15 @@ class SubstringIndex:
         if self.path:
             self.texts.append(self._write(texts.select("key", "check", "text"), "texts"))
             seeds = texts.select("key", "check", "text").mapInArrow(_posting_rows(self.window, self.seed), "seed bigint, key bigint, check int")
-            by = ["seed", "key", "check"]
+            self.enter(seeds.groupBy("seed", "key", "check").count())
         else:
-            seeds, by = texts.select("text").mapInArrow(_seed_rows(self.window, self.seed), "seed bigint"), ["seed"]
-        run = self._write(seeds.groupBy(*by).count().repartition("seed").sortWithinPartitions("seed"), "run")
+            seeds = numbered_seeds(texts, self.window, self.seed, 1)
+            self.enter(seeds.drop("load"))
+            release(seeds)
+
+    def enter(self, counted: DataFrame) -> None:
+        """Enter the counted seeds of one load as a run: merge-join it with the others, and compact when FANOUT are there."""
+        run = self._write(counted.repartition("seed").sortWithinPartitions("seed"), "run")
         hits = run.groupBy("seed").agg(F.sum("count").alias("n")).where("n > 1").select("seed")
         for older in self.runs:
             hits = hits.union(run.join(older, "seed", "left_semi").select("seed"))
@@ -178,7 +181,7 @@ def open_index(spark: SparkSession, path: str, window: int = WINDOW, seed: int =
 
 
 def _window_rows(window: int):
-    """(class columns, place, two window hashes) for the listed occurrences of each text."""
+    """(class columns, place, digest) of every window of the listed occurrences of each text."""
 
     def run(batches):
         for batch in small(batches):
@@ -196,9 +199,8 @@ def _window_rows(window: int):
                         contexts += [o["context"]] * len(span)
                 at = np.array(words, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seeds, pa.int64()), pa.array(contexts, pa.int64()), pa.array(places, pa.int32())]
-                    + [pa.array(buffer.hashes(at, window, which).view(np.int64)) for which in (0, 1)],
-                    ["seed", "context", "place", "w1", "w2"],
+                    [pa.array(seeds, pa.int64()), pa.array(contexts, pa.binary()), pa.array(places, pa.int32()), pa.array(buffer.digests(at, at + window), pa.binary())],
+                    ["seed", "context", "place", "words"],
                 )
 
     return run
@@ -244,7 +246,8 @@ def remove_repeated_windows(
     The index first tells the window seeds met twice. Only their occurrences go on: equal
     contexts (all windows of an occurrence) are one class, and a class of two members
     repeats as a whole. Where a seed has several classes, the windows of one member of
-    each are compared by two hashes. Each class then has a bit mask of repeated windows,
+    each are compared. Words are compared by digests that only equal words share (rolling.digests),
+    never by the seeds' hashes, which only find candidates. Each class then has a bit mask of repeated windows,
     which goes back to its members and so to the documents. Groups are only counted,
     after a combine, or joined from their large side, so copies by the thousand do not meet in one task.
 
@@ -253,7 +256,7 @@ def remove_repeated_windows(
 
     Defined results: a null or empty text has no words; rows that repeat id and text
     count as places of their own; a null id keeps its row; an empty table gives no rows;
-    other columns are not read. A seed of more words than the window is refused.
+    a very long text is taken whole, by parts that overlap; other columns are not read. A seed of more words than the window is refused.
     """
     if not 0 < seed <= window <= seed + 62:
         raise ValueError("a seed lies in its window and an occurrence has at most 63 windows")
@@ -263,8 +266,10 @@ def remove_repeated_windows(
     )
     if index is None:
         index = SubstringIndex(docs.sparkSession, window, seed)
+        counted = numbered_seeds(keyed, window, seed, loads)
         for k in range(loads):
-            index.load(keyed.where(F.pmod("key", F.lit(loads)) == k))
+            index.enter(counted.where(F.col("load") == k).drop("load"))
+        release(counted)
         seeds = materialize(index.repeated_seeds(), "seeds")
         release(*index.runs, *index.met_twice)
         corpus = keyed.select("key", "check", "text")
@@ -288,11 +293,11 @@ def remove_repeated_windows(
     listed = materialize(listed, "listed")
     one = corpus.join(listed, ["key", "check"]).dropDuplicates(["key", "check"])
     windows = materialize(
-        one.select("text", "listed").mapInArrow(_window_rows(window), "seed bigint, context bigint, place int, w1 bigint, w2 bigint"), "windows"
+        one.select("text", "listed").mapInArrow(_window_rows(window), "seed bigint, context binary, place int, words binary"), "windows"
     )
-    twice = materialize(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "twice")
+    twice = materialize(windows.groupBy("words").count().where("count > 1").select("words"), "twice")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))
-    partly = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("seed", "context").agg(F.bit_or(bit).alias("mask"))
+    partly = windows.join(twice, "words", "left_semi").groupBy("seed", "context").agg(F.bit_or(bit).alias("mask"))
     full = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at.windows")) - 1
     masks = classes.join(partly, ["seed", "context"], "left").select(
         "seed", "context", F.when(F.col("n") > 1, full).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")
