@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import materialize, modest_batches, release
 
 #: Bytes of text in one block, whose words are numbered together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: Tokens for each shard of the filter, words of blocks for each part of the word counts, and bytes of
 #: filter that are broadcast; beyond them probes travel to the shards.
 SHARD_TOKENS = 2_000_000
