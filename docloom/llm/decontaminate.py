@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, modest_batches, release
@@ -209,10 +209,16 @@ def _share_rows(batches):
             yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "item", "share"])
 
 
+def _text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits of hash that stand for a text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with the columns __k1 and __k2, 128 bits of hash that stand for the text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(F.lit(1), text))
+    """docs, without columns of these names, with __k1 and __k2, the keys of the text."""
+    k1, k2 = _text_keys(F.col(text_col))
+    return docs.withColumn("__k1", k1).withColumn("__k2", k2)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -293,8 +299,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs, all columns, that cover no test item; defined results as of `decontamination`."""
+    """The rows of docs, all columns whatever their names, that cover no test item; defined results as of `decontamination`."""
     found = leaks(docs, benchmark, text_col, coverage=coverage).select("k1", "k2").distinct()
-    keyed = _keyed(docs, text_col)
-    kept = keyed.join(found, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti")
-    return kept.drop("__k1", "__k2")
+    k1, k2 = _text_keys(docs[text_col])
+    return docs.join(found, (k1 == found["k1"]) & (k2 == found["k2"]), "left_anti")

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "pii", "packing"]
 
 
@@ -80,3 +80,26 @@ def test_empty_documents(spark):
     assert edit_counts.edit_token_counts(docs, edit_counts.redaction_edits(F.col("text"))).count() == 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_columns_that_clash(spark):
+    """Columns of the names that the decontamination joins by stay as they are."""
+    from docloom.llm.decontaminate import drop_contaminated
+
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    leaked = bench.orderBy("item_id").first()["text"]
+    docs = spark.createDataFrame([(1, leaked, "a"), (2, "clean words and nothing else in it", "b"), (3, None, "c")], "doc_id bigint, text string, k1 string")
+    for name in ("k2", "__k1", "__k2", "item", "item_id", "share", "plain", "seed"):
+        docs = docs.withColumn(name, F.lit("x"))
+    got = drop_contaminated(docs, bench)
+    assert got.columns == docs.columns and sorted((r["doc_id"], r["k1"], r["__k1"]) for r in got.collect()) == [(2, "b", "x"), (3, "c", "x")]
+
+
+def test_run_keeps_one_table_of_the_stages(spark, tmp_path, monkeypatch):
+    """Of the tables between the stages only the last is left when the result is returned."""
+    import os
+
+    monkeypatch.setattr("docloom.session.LOCAL_FOLDER", str(tmp_path))
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    left = [n for d in os.listdir(tmp_path) for n in os.listdir(tmp_path / d)]
+    assert {n for n, _ in corpus_pipeline.STAGES} & set(left) == {"pii"}
