@@ -1,11 +1,19 @@
-"""The corpus pipeline: five stages from raw documents to packed training sequences."""
+"""The corpus pipeline: five stages from raw documents to packed training sequences.
+
+Defined results, of `run` and of each stage: a null text counts as empty, is kept by every filter and
+packed as its end alone; a null id is an id like any other. Rows that repeat id and text are one
+document for the SimHash stage, which keeps one of them; rows that share an id and differ in text are
+documents of their own. Very long texts go whole through every stage, each in the task that holds it.
+Columns besides DOCUMENT_COLUMNS are left out by the first stage, whatever their names. An empty table
+gives no rows; without labels, or without benchmark items, nothing is filtered for them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import materialize, release
 from docloom.llm.decontaminate import drop_contaminated
 from docloom.llm.packing import pack_documents
 from docloom.llm.pii import redacted_text
@@ -57,8 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each kept as a table in the shared folder before the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents, each kept as a table in the shared folder until the next has been."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
