@@ -98,8 +98,9 @@ def test_columns_that_clash(spark):
 def test_run_keeps_one_table_of_the_stages(spark, tmp_path, monkeypatch):
     """Of the tables between the stages only the last is left when the result is returned."""
     import os
+    import uuid
 
-    monkeypatch.setattr("docloom.session.LOCAL_FOLDER", str(tmp_path))
+    monkeypatch.setattr("docloom.llm.common.shared_folder", lambda spark: f"{tmp_path}/docloom-{uuid.uuid4().hex}")
     assert corpus_pipeline.run(spark, DATA).count() > 0
     left = [n for d in os.listdir(tmp_path) for n in os.listdir(tmp_path / d)]
     assert {n for n, _ in corpus_pipeline.STAGES} & set(left) == {"pii"}
