@@ -140,7 +140,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, search: Callable = _c
     rows = chunks.where("chunk_id is not null")
     tag = F.col("document_id") if "document_id" in chunks.columns else F.lit(None)
     asked = blocks_of(queries.where("query_id is not null"), F.col("query_id"), F.lit(None), F.col("q"), QUERY_BLOCK)
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "vectors")], F.col("tags").alias("q_tags"))
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "vectors")], F.col("tags").alias("q_tags")).hint("rebalance")
     blocks = blocks_of(rows, F.col("chunk_id"), tag, F.col("embedding"), ROW_BLOCK)
     found = blocks.crossJoin(asked).mapInArrow(search(k), FOUND)
     return ranked(found, k).select("query_id", "rank", "chunk_id", "document_id", "score")

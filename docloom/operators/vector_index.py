@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 #: Cells are CELLS times the root of the rows, of LEAST_ROWS rows at least, and no more than CENTRE_BYTES of centres.
 CELLS, LEAST_ROWS, CENTRE_BYTES = 12, 3, 64 << 20
 #: Rows for each cell that the centres are fitted on, and rounds of the fit.
-SAMPLE_ROWS, ROUNDS = 8, 4
+SAMPLE_ROWS, ROUNDS = 8, 2
 #: Share of the rows (of the scope) that a query looks at; fixed values: 20 candidates for each answer, 100 at least.
 SHARE, CANDIDATES, LEAST_CANDIDATES = 0.19, 20, 100
+#: Rows of the index that one task reads, as small files as they may lie in.
+TASK_ROWS = 1 << 16
 #: The cell of vectors that have no direction.
 NO_CELL = -1
 
@@ -27,18 +29,45 @@ def cells_for(rows: int, dim: int) -> int:
     return max(1, min(ceil(CELLS * sqrt(rows)), rows // LEAST_ROWS, CENTRE_BYTES // (4 * max(dim, 1))))
 
 
-def _fit(vectors: DataFrame, rows: int, cells: int) -> np.ndarray:
-    """Unit centres, fitted by spherical k-means on a sample of SAMPLE_ROWS rows for each cell."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _nearest_cell(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *((unit[at : at + 1024] @ centres.T).argmax(axis=1) for at in range(0, len(unit), 1024))])
+
 
-    if cells == 1:
-        return unit_vectors(np.array(vectors.select("embedding").first()["embedding"], float)[None, :])
+def _cell_sums(centres: np.ndarray):
+    """Of each task, the sum of the unit vectors that are nearest to each centre."""
+
+    def run(batches):
+        sums = np.zeros_like(centres)
+        for batch in batches:
+            for _, _, values in by_dimension(batch.column(0)):
+                unit = unit_vectors(values)
+                np.add.at(sums, _nearest_cell(unit, centres), unit)
+        seen = np.flatnonzero(sums.any(axis=1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([x.tobytes() for x in sums[seen]], pa.binary())], ["cell", "total"])
+
+    return run
+
+
+def _add_up(batches):
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for cell, total in zip(*(c.to_pylist() for c in batch.columns)):
+            totals[cell] = totals.get(cell, 0) + np.frombuffer(total)
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["cell", "total"])
+
+
+def _fit(vectors: DataFrame, rows: int, cells: int) -> np.ndarray:
+    """Unit centres by ROUNDS of spherical k-means from rows of smallest hash, over SAMPLE_ROWS rows for each cell."""
     wanted = SAMPLE_ROWS * cells
-    sample = vectors if rows <= wanted else vectors.where(F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(rows)) < wanted)
-    features = sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=7, maxIter=ROUNDS, initMode="random", distanceMeasure="cosine").fit(features)
-    return unit_vectors(np.array(model.clusterCenters()))
+    hashed = vectors.select("embedding", F.xxhash64("chunk_id", F.lit(1)).alias("h"))
+    sample = hashed.select("embedding") if rows <= wanted else hashed.where(F.pmod("h", F.lit(rows)) < wanted).select("embedding")
+    first = hashed.orderBy(F.xxhash64("h"), "h").limit(cells).select("embedding").collect()  # CENTRE_BYTES at most
+    centres = unit_vectors(np.array([r["embedding"] for r in first], float))
+    for _ in range(ROUNDS):
+        sums = sample.mapInArrow(_cell_sums(centres), "cell int, total binary").repartition("cell").mapInArrow(_add_up, "cell int, total binary")
+        for r in sums.collect():
+            centres[r["cell"]] = unit_vectors(np.frombuffer(r["total"])[None, :])[0]
+    return centres
 
 
 def _assign(centres: np.ndarray, dim: int):
@@ -50,8 +79,7 @@ def _assign(centres: np.ndarray, dim: int):
             for size, places, values in by_dimension(batch.column(2)):
                 if size == dim:
                     unit = unit_vectors(values)
-                    near = np.concatenate([(unit[at : at + 1024] @ centres.T).argmax(axis=1) for at in range(0, len(unit), 1024)])
-                    cell[places] = np.where(unit.any(axis=1), near, NO_CELL)
+                    cell[places] = np.where(unit.any(axis=1), _nearest_cell(unit, centres), NO_CELL)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
     return run
@@ -76,8 +104,9 @@ def build_index(chunks: DataFrame, path: str) -> int:
     schema = f"chunk_id bigint, document_id bigint, embedding {dict(rows.dtypes)['embedding']}, cell int"
     assigned = rows.mapInArrow(_assign(centres, dim), schema)
     assigned.hint("rebalance", "cell").sortWithinPartitions("cell").write.partitionBy("cell").parquet(data)
-    table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centre array<double>")
-    table.coalesce(1).write.parquet(listed)
+    table = spark.createDataFrame([(i, c.tobytes()) for i, c in enumerate(centres)], "cell int, centre binary")
+    counts = spark.read.schema(schema).parquet(data).groupBy("cell").count()
+    table.join(counts, "cell", "left").select("cell", "centre", F.coalesce("count", F.lit(0)).alias("rows")).coalesce(1).write.parquet(listed)
     folders = ["/".join(f.rsplit("/", 2)[1:]) for f in (data, listed)]
     known = versions.versions(spark, path)
     return versions.commit(spark, path, {"folders": folders, "dim": dim, "schema": schema}, known[-1] if known else 0)
@@ -162,17 +191,18 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, chu
         if found is None:
             raise FileNotFoundError(path)
         rows = indexed_rows(spark, path, found["version"])
+        listed = sorted(spark.read.schema("cell int, centre binary, rows bigint").parquet(f"{path}/{found['folders'][1]}").collect())
+        counts = {r["cell"]: r["rows"] for r in listed}
         if scope is not None:
             rows = rows.join(scope.select("document_id").distinct(), "document_id", "left_semi").select("chunk_id", "document_id", "embedding", "cell")
-        counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # one row for each cell
-        listed = spark.read.schema("cell int, centre array<double>").parquet(f"{path}/{found['folders'][1]}").orderBy("cell").collect()
+            counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # one row for each cell
     except Exception:
         if chunks is None:
             raise
         rows = chunks if scope is None else chunks.join(scope.select("document_id").distinct(), "document_id", "left_semi")
         return exact.nearest(rows, queries, k)
     cells = np.array([r["cell"] for r in listed], np.int32)
-    centres = np.array([r["centre"] for r in listed]).reshape(len(cells), -1)
+    centres = np.array([np.frombuffer(r["centre"]) for r in listed]).reshape(len(cells), -1)
     sizes = np.array([counts.get(c, 0) for c in cells.tolist()], np.int64)
     wanted = max(CANDIDATES * k, LEAST_CANDIDATES, ceil(share * sizes.sum()))
     asked = exact.blocks_of(queries.where("query_id is not null"), F.col("query_id"), F.lit(None), F.col("q"), exact.QUERY_BLOCK)
@@ -183,8 +213,10 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, chu
     looked = [NO_CELL, *cells[union].tolist()]
     if len(looked) <= len(cells):
         rows = rows.where(F.col("cell").isin(looked))
-    blocks = rows.where("chunk_id is not null").select("chunk_id", "document_id", "embedding", "cell").mapInArrow(_pack_cells, exact.BLOCK + ", cells array<int>")
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
+    tasks = max(spark.sparkContext.defaultParallelism, int(sum(counts.get(c, 0) for c in looked)) // TASK_ROWS)  # many cells are small files
+    rows = rows.where("chunk_id is not null").select("chunk_id", "document_id", "embedding", "cell").coalesce(tasks)
+    blocks = rows.mapInArrow(_pack_cells, exact.BLOCK + ", cells array<int>")
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns]).hint("rebalance")
     met = blocks.crossJoin(asked).mapInArrow(_compare(k, cells), exact.FOUND)
     return exact.ranked(met, k).select("query_id", "rank", "chunk_id", "document_id", "score")
 

@@ -88,20 +88,20 @@ def clustered(n, dim, groups, seed):
 
 @pytest.mark.parametrize("kind", ["clustered", "spread"])
 def test_index_recall_and_rows_read(spark, tmp_path, kind):
-    matrix = clustered(6000, 24, 60, 4) if kind == "clustered" else np.random.default_rng(4).normal(size=(6000, 24))
+    matrix = clustered(2500, 24, 40, 4) if kind == "clustered" else np.random.default_rng(4).normal(size=(2500, 24))
     chunks, path = chunks_of(spark, matrix), str(tmp_path / "index")
     assert build_index(chunks, path) == 1
     asked = queries_of(chunks, 50)
-    assert indexed_rows(spark, path).count() == 6000
+    assert indexed_rows(spark, path).count() == 2500
     assert recall(search_index(spark, path, asked, 10), nearest(chunks, asked, 10)) >= 0.9
-    for one in (0, 3000):
+    for one in (0, 1200):
         found = search_index(spark, path, asked.where(F.col("query_id") == one), 10)
         assert found.collect()[0]["chunk_id"] == one
-        assert 0 < read_rows(found) < 6000 / 5
+        assert 0 < read_rows(found) < 2500 / 5
 
 
 def test_scope_is_applied_before(spark, tmp_path):
-    chunks, path = chunks_of(spark, clustered(1500, 8, 10, 2)), str(tmp_path / "index")
+    chunks, path = chunks_of(spark, clustered(700, 8, 10, 2)), str(tmp_path / "index")
     build_index(chunks, path)
     asked, scope = queries_of(chunks, 100), spark.createDataFrame([(3,), (5,)], "document_id bigint")
     found = search_index(spark, path, asked, 10, scope=scope)
