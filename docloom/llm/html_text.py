@@ -33,12 +33,12 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_BREAKS = frozenset(["br", "wbr", "img", "input"])
+_BREAKS = frozenset(["br", "input"])
 _RAW = frozenset("script style noscript template textarea title svg iframe select button canvas audio video".split())
 _TO_THE_END = frozenset("script style textarea title".split())
 _SELF_CLOSING = frozenset(["p", "li", "dt", "dd", "td", "th", "tr", "option"])
 _VOID = frozenset(["hr"])
-_FURNITURE = frozenset("nav aside footer form head dialog menu".split())
+_FURNITURE = frozenset("nav aside footer head dialog menu".split())
 #: Elements that hold a page's content, whatever their class says, and those that may hold its article.
 _WRAPPERS = frozenset("html body main article".split())
 _CONTAINERS = frozenset(["article", "main"])
@@ -53,7 +53,7 @@ _FURNITURE_WORDS = frozenset(
 _PLAIN_WORDS = frozenset(
     "site page main top bottom left right primary secondary global list item items area box block section bar link links button buttons "
     "icon icons post posts article articles story stories media text message form thread container panel holder unit slot row col inner outer "
-    "google facebook twitter more you may also like id the of and in a".split()
+    "google facebook twitter more you may also like id the of and in user visitor reader guest customer top below above".split()
 )
 _LASTING = frozenset("nav aside footer form comment comments commentlist reply replies disqus discussion hidden".split())
 #: Furniture whose class gives way when nothing else on the page is main text.
@@ -73,14 +73,15 @@ _UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
 
 @dataclass
 class Block:
-    """A run of text between block elements and where it stands: containers are the numbers of the
-    articles and mains around it, from the outside, and heading the level of a heading, or 0."""
+    """A run of text between block elements and where it stands: container and form are the numbers of the
+    innermost article or main and of the outermost form around it, or -1, and heading the level of a heading, or 0."""
 
     text: str
     words: int
     stops: float
     links: float
-    containers: tuple[int, ...]
+    container: int
+    form: int
     furniture: str | None
     by_class: bool
     heading: int
@@ -88,6 +89,18 @@ class Block:
     label: bool | None = None
 
 
+@dataclass
+class Page:
+    """The blocks of a page, and of each article or main, by number, the one around it and the last one inside it."""
+
+    blocks: list[Block]
+    parents: list[int]
+    lasts: list[int]
+
+    def inside(self, block: Block, container: int | None) -> bool:
+        return container is not None and container <= block.container <= self.lasts[container]
+
+
 def _role(name: str, attrs: str, in_article: bool) -> tuple[str | None, bool]:
     """The word that makes an element page furniture, if any, and whether its class, id or role says so."""
     if name in _FURNITURE or (name == "header" and not in_article):
@@ -99,10 +112,10 @@ def _role(name: str, attrs: str, in_article: bool) -> tuple[str | None, bool]:
         values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if "hidden" in values and values["hidden"].lower() != "false" or values.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(values.get("style", "")):
         return "hidden", False
-    if name in _WRAPPERS:
+    if name in _WRAPPERS and not (name == "article" and in_article):
         return None, False
     for named in (n for key in ("class", "id", "role") for n in values.get(key, "").split()):
-        words = _LETTERS.findall(_CAMEL.sub("-", named).lower())
+        words = [w for w in _LETTERS.findall(_CAMEL.sub("-", named).lower()) if len(w) > 1]
         own = [w for w in words if w in _FURNITURE_WORDS]
         if own and all(w in _FURNITURE_WORDS or w in _PLAIN_WORDS for w in words):
             return own[0], True
@@ -149,15 +162,17 @@ def tags_of(page: str):
     yield page[done:], "", False, ""
 
 
-def blocks_of(page: str) -> list[Block]:
+def blocks_of(page: str) -> Page:
     """The blocks of a page in order, with empty ones left out."""
     found: list[Block] = []
-    # element, furniture word, whether its class says so, containers
-    stack: list[tuple[str, str | None, bool, tuple[int, ...]]] = [("", None, False, ())]
+    # element, furniture word, whether its class says so, container, form
+    stack: list[tuple[str, str | None, bool, int, int]] = [("", None, False, -1, -1)]
+    parents: list[int] = []
+    lasts: list[int] = []
     is_open: Counter[str] = Counter()
     pieces: list[str] = []
     linked: list[str] = []
-    links = containers = 0
+    links = forms = 0
 
     def flush():
         text = " ".join(html.unescape("".join(pieces)).split())
@@ -165,11 +180,11 @@ def blocks_of(page: str) -> list[Block]:
             words = [w.strip(".,;:!?()[]\"'%*#&$").lower() for w in text.split()]
             unspaced = len(_UNSPACED.findall(text))
             inside = len("".join(html.unescape("".join(linked)).split()))
-            name, furniture, by_class, around = stack[-1]
+            name, furniture, by_class, container, form = stack[-1]
             found.append(
                 Block(
                     text, len(words) + unspaced // 2, sum(w in STOP_WORDS for w in words) / len(words), inside / max(1, len(text.replace(" ", ""))),
-                    around, furniture, by_class, int(name[1]) if len(name) == 2 and name[0] == "h" and name[1].isdigit() else 0, name in ("li", "dt", "dd"),
+                    container, form, furniture, by_class, int(name[1]) if len(name) == 2 and name[0] == "h" and name[1].isdigit() else 0, name in ("li", "dt", "dd"),
                 )
             )
         pieces.clear()
@@ -181,7 +196,10 @@ def blocks_of(page: str) -> list[Block]:
             linked.append(part)
 
     def close():
-        is_open[stack.pop()[0]] -= 1
+        name, _, _, container, _ = stack.pop()
+        is_open[name] -= 1
+        if container != stack[-1][3]:
+            lasts[container] = len(parents) - 1
 
     for before, name, closing, attrs in tags_of(page):
         if before:
@@ -201,89 +219,127 @@ def blocks_of(page: str) -> list[Block]:
             elif name not in _VOID:
                 if stack[-1][0] == "p" or stack[-1][0] == name and name in _SELF_CLOSING:
                     close()
-                inner, outer, by_class, around = stack[-1]
+                inner, outer, by_class, container, form = stack[-1]
                 if inner == "head":
                     outer = None
-                own, own_class = _role(name, attrs, bool(around))
+                own, own_class = _role(name, attrs, container >= 0)
+                if name == "form" and form < 0:
+                    form, forms = forms, forms + 1
                 if name in _CONTAINERS and own is None:
-                    around, containers = (*around[-3:], containers), containers + 1
+                    parents.append(container)
+                    lasts.append(-1)
+                    container = len(parents) - 1
                     outer = outer if outer in _LASTING else None
-                stack.append((name, own or outer, own_class if own else by_class, around))
+                stack.append((name, own or outer, own_class if own else by_class, container, form))
                 is_open[name] += 1
     flush()
-    return found
+    while len(stack) > 1:
+        close()
+    return Page(found, parents, lasts)
 
 
 def _is_prose(b: Block) -> bool:
     return b.words >= LONG_WORDS and b.stops >= STOP_SHARE and b.links <= LINK_SHARE
 
 
-def _article(blocks: list[Block]) -> tuple[int | None, bool]:
+def _judge_forms(page: Page) -> None:
+    """Forms are furniture, but for one around the article: it holds most of the page's prose, or its first heading where there is no prose."""
+    free = [b for b in page.blocks if not b.furniture]
+    prose = sum(len(b.text) for b in free if _is_prose(b))
+    held: Counter[int] = Counter()
+    for b in free:
+        held[b.form] += len(b.text) * _is_prose(b) if prose else b.heading == 1
+    for b in free:
+        if b.form >= 0 and (2 * held[b.form] < prose or not held[b.form]):
+            b.furniture = "form"
+
+
+def _article(page: Page) -> tuple[int | None, bool]:
     """The innermost article or main that holds most of the text of all of them, and no less than a third
     of the prose outside it; if there is none, whether articles are but teasers beside the page's prose."""
-    free = [b for b in blocks if not b.furniture]
-    held: Counter[int] = Counter()
+    free = [b for b in page.blocks if not b.furniture]
+    held, prose = [0] * len(page.parents), [0] * len(page.parents)
+    beside = 0
     for b in free:
-        for c in b.containers:
-            held[c] += len(b.text)
-    inside = sum(len(b.text) for b in free if b.containers)
-    prose = {c: sum(len(b.text) for b in free if _is_prose(b) and c not in b.containers) for c, n in held.items() if 2 * n > inside}
-    chosen = max((c for c, outside in prose.items() if 3 * held[c] >= outside), default=None)
-    beside = sum(len(b.text) for b in free if _is_prose(b) and not b.containers)
+        if b.container >= 0:
+            held[b.container] += len(b.text)
+            prose[b.container] += len(b.text) * _is_prose(b)
+        else:
+            beside += len(b.text) * _is_prose(b)
+    inside, of_articles = sum(held), sum(prose)
+    for c in range(len(held) - 1, -1, -1):  # what an inner one holds, those around it hold too
+        if page.parents[c] >= 0:
+            held[page.parents[c]] += held[c]
+            prose[page.parents[c]] += prose[c]
+    chosen = max((c for c, n in enumerate(held) if 2 * n > inside and 3 * n >= beside + of_articles - prose[c]), default=None)
     return chosen, beside > inside
 
 
-def label_blocks(blocks: list[Block]) -> None:
-    """Set each block's label: True for main text.
-
-    First pass: furniture, marks of adverts and link lists are not main text, nor is anything
-    outside the page's article, or inside articles that are but teasers; long blocks are decided by their share of stop words, by length
-    and links alone on pages in no language served. What is left are short blocks, and wordy ones
-    without stop words inside the article. Second pass: those take the label of the nearest decided block; headings take
-    that of the block that follows. At equal distance of unlike ones an article's blocks are main
-    text and others are not; with none decided, an article's blocks are main text.
-    """
-    article, teasers = _article(blocks)
+def _decide(page: Page, article: int | None, teasers: bool) -> list[bool]:
+    """The first pass of `label_blocks`; returns which blocks the measures have decided, so that they tell on others."""
+    blocks = page.blocks
     served = any(_is_prose(b) for b in blocks if not b.furniture)
-    inside = [article in b.containers if article is not None else False for b in blocks]
-    titled = any(b.heading == 1 for b, i in zip(blocks, inside) if i and not b.furniture)
+    inside = [page.inside(b, article) for b in blocks]
     first = inside.index(True) if True in inside else 0
+    titled = any(b.heading == 1 for b, i in zip(blocks, inside) if i and not b.furniture)
+    above = [k for k in range(first) if blocks[k].heading == 1 and not blocks[k].furniture]
+    title = above[-1] if above and not titled else None
+    tells = [False] * len(blocks)
     for k, b in enumerate(blocks):
         if b.furniture or b.text.strip(" :.-–—").lower() in _ADVERT_LABELS:
             b.label = False
-        elif article is not None and not inside[k]:
-            above = blocks[k + 1 : first] if k < first else [b]
-            b.label = b.heading == 1 and not titled and k < first and len(above) < 4 and not any(a.heading == 1 for a in above)
-        elif article is None and teasers and b.containers:
+            continue
+        if article is not None and not inside[k]:
+            b.label = k == title
+            continue
+        if article is None and teasers and b.container >= 0:
             b.label = False
         elif b.links > LINK_SHARE and (b.in_list or b.links > MOSTLY_LINKS or not inside[k]) and (b.words < LONG_WORDS or not inside[k]):
             b.label = False
-        elif _is_prose(b):
-            b.label = True
-        elif b.words >= LONG_WORDS and not served:
+        elif _is_prose(b) or b.words >= LONG_WORDS and not served:
             b.label = True
-        elif b.words >= LONG_WORDS and b.stops < FEW_STOPS and not inside[k]:
-            b.label = False
+        tells[k] = b.label is not None
+    return tells
+
+
+def label_blocks(page: Page) -> None:
+    """Set each block's label: True for main text.
+
+    First pass: furniture, forms, marks of adverts and link lists are not main text, nor is anything
+    outside the page's article but the last h1 before it, or inside articles that are but teasers; long
+    blocks are decided by their share of stop words, by length and links alone on pages in no language
+    served. What is left are short blocks, and wordy ones with few stop words. Second pass: those take
+    the label of the nearest block that the measures decided; what is furniture by its element or class
+    tells nothing about the blocks beside it. Headings take the label of the decided block that follows.
+    At equal distance of unlike ones an article's blocks are main text and others are not; with none
+    decided, or none found to be main text, what is left is main text.
+    """
+    blocks = page.blocks
+    _judge_forms(page)
+    article, teasers = _article(page)
+    tells = _decide(page, article, teasers)
+    some = any(t and b.label for t, b in zip(tells, blocks))
     near: list[list[tuple[int, bool] | None]] = []
     for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
         last, side = None, [None] * len(blocks)
         for k in order:
             side[k] = (abs(k - last), blocks[last].label) if last is not None else None
-            if blocks[k].label is not None and (article is None or inside[k] and not blocks[k].furniture):
+            if tells[k]:
                 last = k
         near.append(side)
-    decided = [b.label for b in blocks]
     for k, b in enumerate(blocks):
-        if decided[k] is not None:
+        if b.label is not None:
             continue
         sides = [s for s in (near[0][k], near[1][k]) if s]
         closest = {label for d, label in sides if d == min(d for d, _ in sides)}
-        if b.heading and near[1][k]:
-            b.label = near[1][k][1] or (inside[k] and b.heading == 1)
-        elif inside[k]:
+        if not some:
+            b.label = True
+        elif b.heading and near[1][k]:
+            b.label = near[1][k][1] or (b.heading == 1 and page.inside(b, article))
+        elif page.inside(b, article):
             b.label = closest != {False}
         else:
-            b.label = closest == {True} if closest else b.stops > 0 or b.words >= LONG_WORDS
+            b.label = closest == {True}
 
 
 def main_text(page: str | None) -> str:
@@ -291,14 +347,15 @@ def main_text(page: str | None) -> str:
 
     If class names leave nothing, those that are often set around whole pages are not believed.
     """
-    blocks = blocks_of(page or "")
-    label_blocks(blocks)
+    found = blocks_of(page or "")
+    blocks = found.blocks
+    label_blocks(found)
     if not any(b.label for b in blocks) and any(b.by_class and b.furniture in _SOFT and _is_prose(b) for b in blocks):
         for b in blocks:
             b.label = None
             if b.by_class and b.furniture in _SOFT:
                 b.furniture = None
-        label_blocks(blocks)
+        label_blocks(found)
     return "\n".join(b.text for b in blocks if b.label)
 
 
