@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, combinations
+from math import log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ TRAIN_ROWS = 6000
 LANDMARKS = 40
 #: Kernel value from which a landmark is too much like an earlier one.
 ALIKE = 0.5
-#: Standard errors between its shares among toxic and other texts that a landmark has at least.
-LEAST_GAP = 5.0
+#: Landmarks that chance alone may be expected to bring: the floor of the likelihood ratio follows from it and the number of candidates.
+BY_CHANCE = 0.5
 ORDER = 3
 DECAY = 0.7
 #: Powers of the kernel, each a kernel by itself, that the machine weighs: higher ones tell strong likeness apart.
@@ -276,15 +278,23 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def sketch(text: str) -> int:
+    """The smallest hash of five words in a row, which most copies of a text share whatever small edits they have had."""
+    words = text.split()
+    rows = [" ".join(words[at : at + 5]) for at in range(max(1, len(words) - 4))]
+    return min(map(xxhash.xxh3_64_intdigest, rows)) >> 1
+
+
 def _candidate_rows(batches):
-    """(word, toxic) once per text: the marked beginnings of its words, from LEAST letters on, and pieces from inside them."""
+    """(word, toxic, sketch) once per text: the marked beginnings of its words, from LEAST letters on, and pieces from inside them."""
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            mark = sketch(text.as_py() or "")
             words = {w for w in map(normal_word, tokens_of(text.as_py() or "")) if len(w) >= LEAST}
             heads = {"^" + w[:k] for w in words for k in range(LEAST, min(len(w), WINDOW) + 1)}
             heads = sorted(heads | {w[at : at + k] for w in words for k in (5, WINDOW) for at in range(1, len(w) - k + 1)})
             if heads:
-                yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([toxic] * len(heads), pa.int32())], ["word", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([toxic] * len(heads), pa.int32()), pa.array([mark] * len(heads))], ["word", "toxic", "sketch"])
 
 
 def _spread(words: list[str], wanted: int) -> list[str]:
@@ -301,6 +311,19 @@ def _spread(words: list[str], wanted: int) -> list[str]:
     return chosen
 
 
+def _likelihood_ratio(p: Column, q: Column, n1: int, n0: int) -> Column:
+    """Twice the log likelihood ratio of a word's counts among toxic and other texts against one common share; 0 where it is no sign of toxicity.
+
+    For a word that has nothing to do with the label it exceeds 2 log(m) with a chance of about 1 / m.
+    """
+    def part(k: Column, n: int) -> Column:
+        share = (p + q) / (n1 + n0)
+        seen = F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
+        return seen + F.when(k < n, (n - k) * F.log((1 - k / n) / (1 - share))).otherwise(0.0)
+
+    return F.when(p / n1 > q / n0, 2 * (part(p, n1) + part(q, n0))).otherwise(0.0)
+
+
 def _feature_rows(words: list[str]):
     def run(batches):
         scorer = WordScorer(Landmarks(words))
@@ -320,7 +343,7 @@ def fit_toxicity(
     """Fit on at most train_rows labelled documents that are not held out.
 
     Landmarks are beginnings and inner pieces of words whose share among toxic texts exceeds their share
-    among others most; the driver gets 40 for each landmark and train_rows short feature rows.
+    among others most, and so clearly that no more than BY_CHANCE of all candidates would by chance; the driver gets 40 for each landmark and train_rows short feature rows.
     With no labelled row, or one class only, the model is that class's constant score.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(
@@ -344,14 +367,15 @@ def fit_toxicity(
     n1, n0 = per_class.get(1, 0), per_class.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel(["^none"], np.eye(1), np.zeros(1), 0.0, 1.0, 0.0, 1.0 if n1 else 0.0)
-    counted = sample.mapInArrow(_candidate_rows, "word string, toxic int").groupBy("word").agg(
-        F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")
-    )
-    # signed distance of the two shares in standard errors, smoothed
-    share = (F.col("p") + F.col("q") + 1) / (n1 + n0 + 2)
-    gap = (F.col("p") / n1 - F.col("q") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    ranked = counted.where("p >= 2").orderBy(F.desc(gap), F.desc(F.length("word")), "word").limit(40 * landmarks)
+    # copies of one text count once, or what stands in a crowd of them would look like a sign
+    once = sample.mapInArrow(_candidate_rows, "word string, toxic int, sketch bigint").groupBy("word", "sketch").agg(F.max("toxic").alias("toxic"))
+    counted = once.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+    counted = materialize(counted, "counted")
+    floor = 2 * log(max(1, counted.count()) / BY_CHANCE)
+    ranked = counted.where("p >= 2").withColumn("ratio", _likelihood_ratio(F.col("p"), F.col("q"), n1, n0)).where(F.col("ratio") >= floor)
+    ranked = ranked.orderBy(F.desc("ratio"), F.desc(F.length("word")), "word").limit(40 * landmarks)
     words = _spread([r["word"] for r in ranked.collect()], landmarks)
+    release(counted)
     if not words:
         return ToxicityModel(["^none"], np.eye(1), np.zeros(1), 0.0, 1.0, 0.0, n1 / (n1 + n0))
     got = sample.mapInArrow(_feature_rows(words), "x array<float>, toxic int").collect()  # at most train_rows rows
