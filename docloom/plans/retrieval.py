@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.functions.text import WORD_END, WORD_START, lexical_groups, normalize_lexical, regex_escape
+from docloom.functions.text import WORD_END, WORD_START, lexical_groups, regex_escape
 from docloom.functions.values import round_half_up
 from docloom.operators.catalog import with_names
+from docloom.operators.lexical_index import build_lexical_index, candidates, searched_text
 from docloom.operators.nearest import nearest
 from docloom.operators.vector_index import build_index, search_index
 from docloom.plans.base import catalog, query
 from docloom.session import read_table, shared_folder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Score gates and confidence levels.
@@ -37,22 +38,42 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     A group of words that stand for each other counts as matched if any of them occurs;
     whole-word hits add a little. Queries without a word that counts give nothing.
     """
-    grouped = queries.select("query_id", lexical_groups(F.col("query")).alias("groups")).where(F.size("groups") > 0)
-    text = normalize_lexical(F.concat_ws("\n", F.coalesce("name", F.lit("")), F.coalesce("text", F.lit(""))))
-    # words stand between two spaces each, so that whole-word hits are counted by length; done once a text
-    words = F.concat(F.lit(" "), F.regexp_replace("t", "[^A-Za-z0-9_]+", "  "), F.lit(" "))
-    rows = chunks.select("chunk_id", text.alias("t")).withColumn("words", words).crossJoin(grouped)
+    rows = chunks.select("chunk_id", searched_text(F.col("name"), F.col("text")).alias("t"))
+    return _word_scores(_spaced_words(rows).crossJoin(_grouped(queries)))
+
+
+def _grouped(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", lexical_groups(F.col("query")).alias("groups")).where(F.size("groups") > 0)
+
+
+def _spaced_words(rows: DataFrame) -> DataFrame:
+    """Searched texts with their words between two spaces each, so that whole-word hits are counted by length."""
+    return rows.withColumn("words", F.concat(F.lit(" "), F.regexp_replace("t", "[^A-Za-z0-9_]+", "  "), F.lit(" ")))
+
+
+def _word_scores(rows: DataFrame) -> DataFrame:
+    """Scores of searched texts (query_id, chunk_id, t, words, groups) in which any group is found."""
     found = F.filter("groups", lambda g: F.exists(g, lambda a: F.contains(F.col("t"), a)))
     spaced = lambda a: F.concat(F.lit(" "), a, F.lit(" "))
     counted = lambda a: ((F.length("words") - F.length(F.replace(F.col("words"), spaced(a), F.lit("")))) / F.length(spaced(a))).cast("int")
     matched = lambda a: F.regexp_count(F.col("t"), F.concat(F.lit(WORD_START), regex_escape(a), F.lit(WORD_END)))
-    hits = lambda g: F.aggregate(g, F.lit(0), lambda n, a: n + F.when(a.rlike("^[A-Za-z0-9_]+$"), counted(a)).otherwise(matched(a)))
+    hits = lambda g: F.aggregate(g, F.lit(0), lambda n, a: n + F.when(~F.contains(F.col("t"), a), 0).when(a.rlike("^[A-Za-z0-9_]+$"), counted(a)).otherwise(matched(a)))
     bonus = F.aggregate("found", F.lit(0.0), lambda s, g: s + F.least(hits(g), F.lit(3)) * 0.03)
     rows = rows.withColumn("found", found).where(F.size("found") > 0)
     score = F.least(F.lit(0.72), 0.14 + 0.42 * F.size("found") / F.size("groups") + F.least(F.lit(0.18), bonus))
     return rows.select("query_id", "chunk_id", score.alias("score"))
 
 
+def indexed_scores(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """What `lexical_scores` gives, from a lexical index: only texts that can contain a word of the query are read and scored."""
+    grouped = _grouped(queries)
+    words = grouped.select("query_id", F.explode(F.flatten("groups")).alias("word")).distinct()
+    pairs, texts = candidates(spark, path, words)
+    shelves = [r["shelf"] for r in pairs.select("shelf").distinct().collect()]  # one for each SHELF_ROWS texts at most
+    texts = texts.where(F.col("shelf").isin(shelves))
+    return _word_scores(_spaced_words(pairs.join(texts, ["shelf", "chunk_id"])).join(grouped, "query_id"))
+
+
 def fuse(semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     """Both result lists by chunk, the better score kept (the semantic one at equal scores), best k of each query."""
     both = semantic.select("query_id", "chunk_id", "score", F.lit(0).alias("origin")).unionByName(
@@ -176,6 +197,14 @@ def lexical_search(spark, sf_dir):
     return scores.withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {_LEXICAL} SELECT query_id::BIGINT AS query_id, chunk_id, round(score, 6) AS score FROM lexical")
+def lexical_indexed(spark, sf_dir):
+    """The same scores by an index of three-letter pieces, which is built and searched."""
+    path = f"{shared_folder(spark)}/lexical"
+    build_lexical_index(_named_texts(spark, sf_dir), path)
+    return indexed_scores(spark, path, _questions(spark)).withColumn("score", F.round("score", 6))
+
+
 def _fused(spark, sf_dir):
     """Questions paired with query vectors; chunk ids are shared by documents and embeddings."""
     lexical = lexical_scores(_named_texts(spark, sf_dir), F.broadcast(_questions(spark))).withColumn("score", F.round("score", 6))
