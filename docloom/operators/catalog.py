@@ -40,6 +40,12 @@ def filter_documents(
     return docs.where(reduce(lambda a, b: a & b, wanted))
 
 
+def by_name(column: str, collation: str = "UTF8_BINARY") -> list[Column]:
+    """Sort keys for names under an explicit collation, whatever the session's or the column's; ties in the order of bytes."""
+    binary = F.collate(F.col(column), "UTF8_BINARY")
+    return [binary] if collation == "UTF8_BINARY" else [F.collate(F.col(column), collation), binary]
+
+
 def page(df: DataFrame, order: list[Column], number: int = 1, limit: int = 20) -> DataFrame:
     """One page in the given total order; a page has at most 100 rows."""
     limit = max(1, min(limit, 100))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from docloom.operators import catalog as ops
-from docloom.operators.changes import archive, cascade, insert, name_conflicts, restore, unset, update
+from docloom.operators.changes import archive, cascade, first_broken, insert, name_conflicts, restore, unset, update
 from docloom.plans.base import CATALOG_SQL, catalog, query
 from docloom.session import read_table
+from docloom.streaming.jobs import NEXT_STATUS
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -263,3 +264,55 @@ def previous_task(spark, sf_dir):
     by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = read_table(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("user_id"), "o_orderkey", F.lag("o_orderkey").over(by).alias("previous"))
+
+
+_REQUESTS = """
+    r AS (SELECT event_id AS request_id, 'src' || event_id % 20 AS actor_id, event_id % 1300 AS doc_id,
+                 CASE event_type WHEN 'click' THEN 'archived' WHEN 'view' THEN 'indexed' WHEN 'error' THEN 'deleted' END AS status,
+                 CASE user_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'it' WHEN 2 THEN ' ' END AS folder_id FROM events)"""
+
+
+def _requests(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "click", "archived").when(F.col("event_type") == "view", "indexed").when(F.col("event_type") == "error", "deleted")
+    folder = F.when(F.col("user_id") % 4 == 0, "en").when(F.col("user_id") % 4 == 1, "it").when(F.col("user_id") % 4 == 2, " ")
+    return e.select(
+        F.col("event_id").alias("request_id"), F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("actor_id"),
+        (F.col("event_id") % 1300).alias("doc_id"), status.alias("status"), folder.alias("folder_id"),
+    )
+
+
+@query(f"""WITH {_REQUESTS}, d AS ({CATALOG_SQL}), f AS (SELECT DISTINCT owner_id, folder_id FROM d WHERE folder_id IS NOT NULL),
+    s(old, new) AS (VALUES {", ".join(f"({'NULL' if old is None else repr(old)}, {new!r})" for old, news in NEXT_STATUS.items() for new in news)})
+    SELECT request_id, r.doc_id, CASE WHEN d.doc_id IS NULL THEN 'not_found: Document' WHEN d.owner_id <> actor_id THEN 'forbidden'
+      WHEN r.status IS NOT NULL AND r.status NOT IN (SELECT new FROM s) THEN 'invalid: status'
+      WHEN r.status IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.old = d.status AND s.new = r.status) THEN 'invalid: step'
+      WHEN trim(r.folder_id) <> '' AND NOT EXISTS (SELECT 1 FROM f WHERE f.owner_id = d.owner_id AND f.folder_id = r.folder_id) THEN 'not_found: Folder' END AS error
+    FROM r LEFT JOIN d ON d.doc_id = r.doc_id""")
+def change_requests(spark, sf_dir):
+    """The first rule on owner, status and folder that each of a table of requests breaks, if any."""
+    docs = catalog(spark, sf_dir)
+    steps = spark.createDataFrame([(old, new) for old, news in NEXT_STATUS.items() for new in news], "old string, new string")
+    folders = docs.where("folder_id is not null").select("owner_id", "folder_id").distinct()
+    return first_broken(_requests(spark, sf_dir), docs, folders, steps).select("request_id", "doc_id", "error")
+
+
+_NAMES = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN upper(substr(p_name, 1, 1)) || substr(p_name, 2) ELSE p_name END AS name FROM part"
+
+
+def _mixed_names(spark, sf_dir):
+    k, name = F.col("p_partkey") % 3, F.col("p_name")
+    mixed = F.when(k == 0, F.upper(name)).when(k == 1, F.concat(F.upper(F.substring(name, 1, 1)), F.expr("substring(p_name, 2)"))).otherwise(name)
+    return read_table(spark, sf_dir, "part").select("p_partkey", mixed.alias("name"))
+
+
+@query(f"SELECT p_partkey, name FROM ({_NAMES}) ORDER BY name, p_partkey LIMIT 100 OFFSET 100")
+def names_page(spark, sf_dir):
+    """A page of names of mixed case in the order of their bytes, as the system sorts them."""
+    return ops.page(_mixed_names(spark, sf_dir), [*ops.by_name("name"), F.col("p_partkey")], 2, 100)
+
+
+@query(f"SELECT p_partkey, name FROM ({_NAMES}) ORDER BY lower(name), name, p_partkey LIMIT 100 OFFSET 100")
+def names_page_any_case(spark, sf_dir):
+    """The same page in an order that does not look at case, and at bytes where that leaves names equal."""
+    return ops.page(_mixed_names(spark, sf_dir), [*ops.by_name("name", "UTF8_LCASE"), F.col("p_partkey")], 2, 100)

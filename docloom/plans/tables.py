@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docloom.functions.values import column_role, nearest_rank, to_date_string
-from docloom.operators import series, tabular
+from docloom.operators import masks, series, tabular
 from docloom.plans.base import query
 from docloom.session import read_table
 from pyspark.sql import Window
@@ -239,6 +239,34 @@ def paper_pixels(spark, sf_dir):
     return p.groupBy("image").agg(F.count_if(paper).alias("paper"), F.count(F.lit(1)).alias("n"))
 
 
+_MASK_RUNS = """
+    px AS (SELECT conv_id * 100000 + turn AS image, len(text) AS n, unnest(range(0, len(text))) AS i, text FROM conversations WHERE len(text) > 0),
+    lit AS (SELECT DISTINCT image, i % 16 AS x, i // 16 AS y FROM px WHERE NOT contains('aeiou ', lower(text[i + 1]))),
+    runs AS (SELECT row_number() OVER (ORDER BY image, y, min(x)) AS id, image, y, min(x) AS x0, max(x) AS x1
+             FROM (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS g FROM lit) GROUP BY image, y, g)"""
+
+
+@query(f"""
+    WITH RECURSIVE {_MASK_RUNS},
+    edges AS (SELECT a.id AS a, b.id AS b FROM runs a JOIN runs b ON a.image = b.image AND b.y = a.y + 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+    links AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+    cc(id, part) USING KEY (id) AS (SELECT id, id FROM runs UNION
+      SELECT links.b, min(cc.part) FROM cc JOIN links ON links.a = cc.id JOIN recurring.cc AS old ON old.id = links.b WHERE cc.part < old.part GROUP BY links.b),
+    parts AS (SELECT image, part, sum(x1 - x0 + 1)::BIGINT AS area, min(x0) AS left_x, max(x1) AS right_x, min(y) AS top_y, max(y) AS bottom_y FROM runs JOIN cc USING (id) GROUP BY image, part),
+    sizes AS (SELECT DISTINCT image, 16 AS width, (n + 15) // 16 AS height FROM px),
+    fit AS (SELECT p.* FROM parts p JOIN sizes USING (image) WHERE area > width * height * 0.08 AND right_x - left_x + 1 > width * 0.35 AND bottom_y - top_y + 1 > height * 0.35)
+    SELECT image, area, left_x, right_x, top_y, bottom_y FROM fit QUALIFY row_number() OVER (PARTITION BY image ORDER BY area DESC, part) = 1""")
+def mask_pages(spark, sf_dir):
+    """The page-like part of an image for each turn of a conversation: 16 signs in a row, consonants and marks set."""
+    turns = read_table(spark, sf_dir, "conversations").where(F.length("text") > 0)
+    image = (F.col("conv_id") * 100000 + F.col("turn")).alias("image")
+    signs = turns.select(image, F.posexplode(F.split("text", "")).alias("i", "sign"))
+    lit = signs.where(~F.contains(F.lit("aeiou "), F.lower("sign")))
+    pixels = lit.select("image", (F.col("i") % 16).alias("x"), F.floor(F.col("i") / 16).alias("y"))
+    sizes = turns.select(image, F.lit(16).alias("width"), F.ceil(F.length("text") / 16).alias("height")).distinct()
+    return masks.page_parts(masks.parts_of(pixels), sizes).select("image", "area", "left_x", "right_x", "top_y", "bottom_y")
+
+
 @query("SELECT l_linenumber AS row_y, round(avg((l_quantity > 25)::INT), 6) AS ratio, count(*) AS n FROM lineitem GROUP BY 1")
 def pixel_ratio(spark, sf_dir):
     """Share of bright cells by row."""

@@ -119,21 +119,72 @@ def test_changes(spark):
     assert changes.append(docs, "/proc/nowhere") is False
 
 
+def chunk_rows(spark, *rows):
+    return spark.createDataFrame(rows, "document_id bigint, chunk_index int, text string")
+
+
+def index_rows(spark, path, version=None):
+    return sorted((r["document_id"], r["text"]) for r in changes.read_index(spark, path, version).collect())
+
+
 def test_replace_index(spark, tmp_path):
-    rows = lambda *r: spark.createDataFrame(r, "document_id bigint, chunk_index int, text string")
     path = str(tmp_path / "index")
-    changes.overwrite_documents(rows((1, 0, "old"), (1, 1, "old"), (2, 0, "kept")), path)
-    changes.overwrite_documents(rows((1, 0, "new")), path)
-    assert sorted((r["document_id"], r["text"]) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "kept")]
+    assert changes.read_index(spark, path) is None
+    assert changes.overwrite_documents(chunk_rows(spark, (1, 0, "old"), (1, 1, "old"), (2, 0, "kept")), path) == 1
+    assert changes.overwrite_documents(chunk_rows(spark, (1, 0, "new")), path) == 2
+    assert index_rows(spark, path) == [(1, "new"), (2, "kept")] and index_rows(spark, path, 1) == [(1, "old"), (1, "old"), (2, "kept")]
+    assert changes.overwrite_documents(chunk_rows(spark), path) == 3 and index_rows(spark, path) == [(1, "new"), (2, "kept")]
+
 
+def test_index_grows_and_shrinks(spark, tmp_path, monkeypatch):
+    """Buckets number with the chunks; changes write the buckets they touch only."""
+    from docloom.operators import versions
 
-def test_remove_from_index(spark, tmp_path):
-    rows = lambda *r: spark.createDataFrame(r, "document_id bigint, chunk_index int, text string")
+    monkeypatch.setattr(changes, "BUCKET_ROWS", 10)
     path = str(tmp_path / "index")
-    changes.overwrite_documents(rows(*[(k, 0, f"t{k}") for k in range(200)]), path)
+    changes.overwrite_documents(chunk_rows(spark, *[(k, 0, f"t{k}") for k in range(30)]), path)
+    assert versions.manifest(spark, path)["buckets"] == 3
+    changes.overwrite_documents(chunk_rows(spark, *[(k, 0, f"t{k}") for k in range(20, 200)]), path)
+    before = versions.manifest(spark, path)
+    assert before["buckets"] == 21 and sum(before["rows"].values()) == 200
+    changes.overwrite_documents(chunk_rows(spark, (7, 0, "seven")), path)
+    after = versions.manifest(spark, path)
+    assert sum(after["held"][b] != f for b, f in before["held"].items()) == 1 and len(after["folders"]) == 2
     changes.remove_documents(spark.range(150).select(F.col("id").alias("document_id")), path)
-    assert {r["document_id"] for r in spark.read.parquet(path).select("document_id").collect()} == set(range(150, 200))
-    assert len([p for p in (tmp_path / "index").iterdir() if p.name.startswith("bucket=")]) <= changes.INDEX_BUCKETS
+    assert {d for d, _ in index_rows(spark, path)} == set(range(150, 200))
+    versions.vacuum(spark, path, keep=1)
+    assert {d for d, _ in index_rows(spark, path)} == set(range(150, 200))
+
+
+def test_stopped_write_leaves_the_index(spark, tmp_path, monkeypatch):
+    """A write that breaks before its commit, or that another writer overtakes, changes nothing."""
+    from docloom.operators import versions
+
+    path = str(tmp_path / "index")
+    changes.overwrite_documents(chunk_rows(spark, (1, 0, "old"), (2, 0, "kept")), path)
+    commit = versions.commit
+    monkeypatch.setattr(versions, "commit", lambda *a: 1 / 0)
+    for write in (lambda: changes.overwrite_documents(chunk_rows(spark, (1, 0, "new")), path), lambda: changes.remove_documents(spark.createDataFrame([(1,)], "document_id bigint"), path)):
+        with pytest.raises(ZeroDivisionError):
+            write()
+        assert index_rows(spark, path) == [(1, "old"), (2, "kept")]
+
+    def overtaken(*a):
+        monkeypatch.setattr(versions, "commit", commit)
+        changes.overwrite_documents(chunk_rows(spark, (2, 0, "first")), path)
+        return commit(*a)
+
+    monkeypatch.setattr(versions, "commit", overtaken)
+    with pytest.raises(versions.Conflict):
+        changes.overwrite_documents(chunk_rows(spark, (1, 0, "second")), path)
+    assert index_rows(spark, path) == [(1, "old"), (2, "first")]
+
+
+def test_update_can_empty(spark):
+    table = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "id int, v string, w string")
+    new = spark.createDataFrame([(1, None, None), (2, "B", None)], "id int, v string, w string")
+    assert sorted(tuple(r) for r in changes.update(table, new, "id").collect()) == [(1, "a", "x"), (2, "B", "y"), (3, "c", "z")]
+    assert sorted(tuple(r) for r in changes.update(table, new, "id", emptied=["w"]).collect()) == [(1, "a", None), (2, "B", None), (3, "c", "z")]
 
 
 def test_repeated_headers_and_csv(spark):
