@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -67,23 +66,6 @@ def run_queue(stream: DataFrame, work: Callable[[DataFrame], DataFrame], done_pa
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain_queue(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], done_path: str, checkpoint: str, wait: float = RETRY_SECONDS) -> int:
-    """Work a folder of jobs until none is pending: returned jobs re-enter the folder and are worked after the wait.
-
-    Each round is a stream over the same folder and checkpoint that takes what is new; there
-    are no more rounds than TRIES, as every return counts an attempt. Returns the rounds.
-    """
-    rounds = 0
-    while True:
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
-        before = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(source).count()
-        run_queue(stream, work, done_path, f"{source}/returned", checkpoint).awaitTermination()
-        rounds += 1
-        if spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(source).count() == before:
-            return rounds
-        time.sleep(wait)
-
-
 #: The statuses that may follow a status.
 NEXT_STATUS = {
     None: ("pending",),

@@ -49,20 +49,6 @@ def test_queue(spark, tmp_path):
     assert [(r["document_id"], r["attempt"]) for r in spark.read.parquet(retry).collect()] == [(2, 1)]
 
 
-def test_returned_jobs_are_worked_again(spark, tmp_path):
-    source, done = str(tmp_path / "jobs"), str(tmp_path / "done")
-    schema = "document_id bigint, seq bigint, attempt int"
-    spark.createDataFrame([(1, 1, 0), (2, 2, 0), (3, 3, 0)], schema).coalesce(1).write.parquet(f"{source}/first")
-
-    def work(batch):
-        """Document 2 succeeds at its second try, 3 never does."""
-        return batch.withColumn("ok", (F.col("document_id") == 1) | (F.col("document_id") == 2) & (F.col("attempt") == 1)).withColumn("message", F.lit("failed"))
-
-    rounds = jobs.drain_queue(spark, source, schema, work, done, str(tmp_path / "cp"), wait=0.1)
-    finished = {r["document_id"]: (r["status"], r["attempt"]) for r in spark.read.option("recursiveFileLookup", "true").parquet(done).collect()}
-    assert finished == {1: ("indexed", 1), 2: ("indexed", 2), 3: ("error", jobs.TRIES)} and rounds == jobs.TRIES
-
-
 def test_status(spark, tmp_path):
     source = str(tmp_path / "status")
     table = [(1, 1, "pending"), (1, 2, "processing_ocr"), (1, 3, "indexed"), (2, 1, "pending"), (2, 2, "indexed")]
