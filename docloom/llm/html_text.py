@@ -136,9 +136,10 @@ def tags_of(page: str):
     while (at := page.find("<", at)) >= 0:
         sign = page[at + 1 : at + 2]
         if sign in ("!", "?") or sign == "/" and not page[at + 2 : at + 3].isalpha():
-            end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
+            mark = "-->" if page.startswith("<!--", at) else ">"
+            end = page.find(mark, at + 2 * len(mark) - 2)
             yield page[done:at], "", False, ""
-            at = done = end if end > 3 or end > at else len(page)
+            at = done = end + len(mark) if end >= 0 else len(page)
             continue
         m = _NAME.match(page, at + 1)
         if not m or at > last:
