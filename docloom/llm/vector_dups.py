@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ CELL = 4096
 #: Share of the pairs just at the threshold that some pass must bring together.
 RECALL = 0.97
 SEED = 20
-#: Rows of one length that the driver finds medians on at most, and of these per cell.
+#: Rows that medians are found on at once, by the driver for the first levels and by a task for those below a node, and of these per cell.
 SAMPLE_ROWS = 32_768
 SAMPLE_OF_CELL = 32
+#: Parts that the rows of one node are dealt to while they are coded by the medians below it.
+SALTS = 16
 TILE = 1024
 #: Passes of one round at most; rounds follow until no row is left.
 ROUND_PASSES = 24
@@ -43,45 +46,130 @@ def _direction(which: int, dim: int, level: int) -> np.ndarray:
 
 def _unit(lists: pa.Array, dim: int) -> np.ndarray:
     x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of great numbers overflow
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _medians(x: np.ndarray, which: int, depth: int) -> list[np.ndarray]:
+def _medians(x: np.ndarray, which: int, levels: range) -> list[np.ndarray]:
     """For each level the medians at which its nodes are split, by rows of a sample."""
     node, out = np.zeros(len(x), np.int64), []
-    for level in range(depth):
+    for n, level in enumerate(levels):
         p = x @ _direction(which, x.shape[1], level)
         order = np.lexsort([p, node])
-        ends = np.searchsorted(node[order], np.arange((1 << level) + 1))
+        ends = np.searchsorted(node[order], np.arange((1 << n) + 1))
         middle = np.minimum((ends[:-1] + ends[1:]) // 2, len(x) - 1)
         out.append(p[order][middle])
         node = 2 * node + (p > out[-1][node])
     return out
 
 
+def _fall(x: np.ndarray, which: int, first: int, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The cell below a node that each vector falls into by the medians of the levels from `first`, and its distance from each."""
+    cell, margins = np.zeros(len(x), np.int64), np.zeros((len(x), len(cuts)), np.float32)
+    for n, at in enumerate(cuts):
+        apart = x @ _direction(which, x.shape[1], first + n) - at[cell]
+        margins[:, n] = np.abs(apart)
+        cell = 2 * cell + (apart > 0)
+    return cell, margins
+
+
+_ROW = ["pass", "dim", "cell", "rep", "vector", "margins"]
+
+
+def _lists(margins: np.ndarray) -> pa.Array:
+    return pa.array(list(margins), pa.list_(pa.float32()))
+
+
+def _by_dim(lists: pa.Array):
+    dims = pa.compute.list_value_length(lists).to_numpy()
+    for dim in np.unique(dims).tolist():
+        yield dim, pa.array(np.flatnonzero(dims == dim))
+
+
 def _coded(cuts: dict[tuple[int, int], list[np.ndarray]], passes: range):
-    """Each vector once per pass with the cell it falls into."""
+    """Each vector once per pass with the cell it falls into by the first levels."""
 
     def run(batches):
         for batch in batches:
             reps, lists = batch.column(0), batch.column(1)
-            dims = np.array([len(x) for x in lists])
-            for dim in np.unique(dims).tolist():
-                rows = pa.array(np.flatnonzero(dims == dim))
+            for dim, rows in _by_dim(lists):
                 x = _unit(lists.take(rows), dim)
                 for k in passes:
-                    cell = np.zeros(len(rows), np.int64)
-                    for level, at in enumerate(cuts.get((dim, k), ())):
-                        cell = 2 * cell + (x @ _direction(k, dim, level) > at[cell])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), k, np.int32)), pa.array(np.full(len(rows), dim, np.int32)), pa.array(cell)]
-                        + [reps.take(rows), lists.take(rows)],
-                        ["pass", "dim", "cell", "rep", "vector"],
-                    )
+                    cell, margins = _fall(x, k, 0, cuts.get((dim, k), []))
+                    head = [pa.array(np.full(len(rows), v, np.int32)) for v in (k, dim)]
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(cell), reps.take(rows), lists.take(rows), _lists(margins)], _ROW)
 
     return run
 
 
+def _node_cuts(first: dict[int, int], depth: dict[int, int]):
+    """The medians below one node, from a sample of its rows: all levels' in one binary."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        k, dim, cell = (rows[c][0].as_py() for c in ("pass", "dim", "cell"))
+        x = _unit(rows["vector"].combine_chunks(), dim)
+        cuts = np.concatenate([np.zeros(0), *_medians(x, k, range(first[dim], first[dim] + depth[dim]))])
+        return pa.table({"pass": pa.array([k], pa.int32()), "dim": pa.array([dim], pa.int32()), "cell": [cell], "cuts": pa.array([cuts.tobytes()], pa.binary())})
+
+    return run
+
+
+def _coded_below(first: dict[int, int], depth: dict[int, int]):
+    """Rows that come sorted by node, its medians first, with the cell below the node that each falls into."""
+
+    def run(batches):
+        node, cuts = None, []
+        for batch in batches:
+            k, dim, cell = (batch.column(i).to_numpy() for i in range(3))
+            new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (dim[1:] != dim[:-1]) | (cell[1:] != cell[:-1])))
+            for at, stop in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows]):
+                now = (int(k[at]), int(dim[at]), int(cell[at]))
+                if now != node:
+                    node, cuts = now, []
+                part = batch.slice(at, stop - at)
+                for held in part.column("cuts").drop_null():
+                    flat = np.frombuffer(held.as_buffer())
+                    cuts = np.split(flat, np.cumsum(1 << np.arange(depth[now[1]]))[:-1]) if len(flat) else []
+                part = part.filter(part.column("rep").is_valid())
+                if not part.num_rows:
+                    continue
+                below, margins = _fall(_unit(part.column("vector"), now[1]), now[0], first[now[1]], cuts)
+                if not len(cuts):  # no row of the sample lies here: few rows do
+                    margins = np.zeros((part.num_rows, 0), np.float32)
+                deeper = pa.array(part.column("cell").to_numpy() << depth[now[1]]) if not len(cuts) else pa.array((part.column("cell").to_numpy() << depth[now[1]]) + below)
+                old = part.column("margins").to_pylist()
+                joined = pa.array([a + b for a, b in zip(old, margins.tolist())], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), deeper, part.column("rep"), part.column("vector"), joined], _ROW)
+
+    return run
+
+
+def _split_further(coded: DataFrame, counts: dict[int, int], done: dict[int, int], wanted: dict[int, int]) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows coded down to the wanted depth, as many levels at a time as a sample of SAMPLE_ROWS of a node bears, and the tables on the way.
+
+    The medians below a node are found by a task on a sample of the node's rows and travel with its
+    rows, which are dealt by node and salt and are coded as they stream past; no node is gathered.
+    """
+    schema, tables = ", ".join(f"{n} {t}" for n, t in coded.dtypes), []
+    most = int(math.log2(SAMPLE_ROWS / SAMPLE_OF_CELL))
+    done = {d: done.get(d, 0) for d in counts}
+    while any(done[d] < wanted[d] for d in wanted):
+        depth = {d: min(max(wanted.get(d, 0) - done[d], 0), most) for d in counts}
+        coded = materialize(coded, "nodes")
+        tables.append(coded)
+        share = F.lit(1)
+        for d, n in counts.items():
+            share = F.when(F.col("dim") == d, max(1, (n >> done[d]) // (SAMPLE_OF_CELL << depth[d]))).otherwise(share)
+        sample = coded.where(F.pmod(F.xxhash64("rep", "pass"), share) == 0)
+        cuts = sample.groupBy("pass", "dim", "cell").applyInArrow(_node_cuts(dict(done), depth), "pass int, dim int, cell bigint, cuts binary")
+        everywhere = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = coded.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).unionByName(everywhere, allowMissingColumns=True)
+        by = ["pass", "dim", "cell", "salt"]
+        coded = rows.repartition(*by).sortWithinPartitions(*by, F.desc_nulls_last("cuts")).select(*_ROW, "cuts").mapInArrow(_coded_below(dict(done), depth), schema)
+        done = {d: done[d] + depth[d] for d in counts}
+    return coded, tables
+
+
 def _below(z: np.ndarray) -> np.ndarray:
     """The normal distribution function, to three places."""
     return 0.5 * (1 + np.tanh(0.7978845608 * (z + 0.044715 * z**3)))
@@ -107,7 +195,7 @@ def _chance_missed(x: np.ndarray, margins: np.ndarray, cosine: float) -> np.ndar
     return np.log1p(-np.minimum(same, 1 - 1e-9))
 
 
-def _cell_links(cuts: dict[tuple[int, int], list[np.ndarray]], cosine: float, size: int):
+def _cell_links(cosine: float, size: int):
     """(a, b, null) for each pair that links and (rep, null, chance) for each row of a cell."""
 
     def rows_of(a, b, chance):
@@ -129,10 +217,9 @@ def _cell_links(cuts: dict[tuple[int, int], list[np.ndarray]], cosine: float, si
                     yield rows_of(np.minimum(a, b), pa.array(np.maximum(a, b), pa.int64()), pa.nulls(len(a), pa.float64()))
         yield rows_of(ids, pa.nulls(len(ids), pa.int64()), pa.array(_chance_missed(x, margins, cosine)))
 
-    def cell_links(key, ids, x):
-        k, dim, cell = key
-        margins = [np.abs(x @ _direction(k, dim, n) - at[cell >> (len(cuts[dim, k]) - n)]) for n, at in enumerate(cuts.get((dim, k), ()))]
-        todo = [(np.arange(len(x)), np.stack(margins, axis=1) if margins else np.zeros((len(x), 0)))]
+    def cell_links(key, ids, x, margins):
+        k, dim, _ = key
+        todo = [(np.arange(len(x)), margins)]
         while todo:
             rows, margins = todo.pop()
             if len(rows) > 2 * size:
@@ -158,7 +245,9 @@ def _cell_links(cuts: dict[tuple[int, int], list[np.ndarray]], cosine: float, si
                     yield from cell_links(key, *(np.concatenate(part) for part in zip(*held)))
                     held = []
                 key = now
-                held.append((batch.column(3).to_numpy()[start:stop], _unit(batch.column(4).slice(start, stop - start), now[1])))
+                part = batch.slice(start, stop - start)
+                margins = np.array(part.column(5).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                held.append((part.column(3).to_numpy(), _unit(part.column(4), now[1]), margins))
         if held:
             yield from cell_links(key, *(np.concatenate(part) for part in zip(*held)))
 
@@ -166,17 +255,19 @@ def _cell_links(cuts: dict[tuple[int, int], list[np.ndarray]], cosine: float, si
 
 
 def vector_links(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, cell: int = CELL) -> DataFrame:
-    """Pairs (a < b) of rep numbers of (rep, vector) rows, all vectors valid and different, with at least that cosine.
+    """A table of the pairs (a < b) of rep numbers of (rep, vector) rows, all vectors valid and different, with at least that cosine.
 
     Every pass sorts all vectors into cells by their products with its own random directions,
     each node of the tree split at its median, so that a crowd is split inside itself and no
-    cell grows with it; all rows of a cell meet. A row is done when, by its own distances from
+    cell grows with it or with the table: below the levels that the driver has medians for,
+    nodes are split by medians found in tasks. All rows of a cell meet. A row is done when, by its own distances from
     the splits and by how close its neighbours stand, a pair at the threshold has met with
     probability RECALL or little less; the others go through a further round, and as soon as no
     more than a cell of them are left, all of these meet. With a number of passes there is
     one round. A pair is returned once, whatever the number of passes that met it.
     """
-    left, first, want, found, chances = vectors, 0, passes, [], []
+    left, first, found, chances, tables = vectors, 0, [], [], []
+    vector_type = dict(vectors.dtypes)["vector"]
     agree = 1 - math.acos(min(1.0, cosine)) / math.pi
     while True:
         counts = {r["dim"]: r["count"] for r in left.groupBy(F.size("vector").alias("dim")).count().collect()}
@@ -191,10 +282,14 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, passes: int | None
             share = max(1, counts[dim] // (SAMPLE_OF_CELL << levels))
             sample = left.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("rep"), F.lit(share)) == 0)).orderBy("rep").limit(2 * SAMPLE_ROWS)
             x = _unit(sample.select("vector").toArrow().column(0).combine_chunks(), dim)
-            cuts.update({(dim, k): _medians(x, k, levels) for k in now if len(x)})
-        coded = left.select("rep", "vector").mapInArrow(_coded(cuts, now), "pass int, dim int, cell bigint, rep bigint, vector array<float>")
+            cuts.update({(dim, k): _medians(x, k, range(levels)) for k in now if len(x)})
+        schema = f"pass int, dim int, cell bigint, rep bigint, vector {vector_type}, margins array<float>"
+        coded = left.select("rep", "vector").mapInArrow(_coded(cuts, now), schema)
+        coded, on_the_way = _split_further(coded, counts, depth, wanted_depth)
         dealt = coded.repartition("pass", "dim", "cell").sortWithinPartitions("pass", "dim", "cell", "rep")
-        met = materialize(dealt.mapInArrow(_cell_links(cuts, cosine, cell), "a bigint, b bigint, chance double"), "met")
+        met = materialize(dealt.mapInArrow(_cell_links(cosine, cell), "a bigint, b bigint, chance double"), "met")
+        release(*on_the_way)
+        tables.append(met)
         found.append(met.where("b is not null").select("a", "b"))
         first += len(now)
         if passes or rows <= cell:
@@ -203,12 +298,15 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, passes: int | None
         total = reduce(DataFrame.unionByName, chances).groupBy("rep").agg(F.sum("chance").alias("chance"))
         total = total.where(F.col("chance") > math.log(2 * (1 - RECALL)))
         left = materialize(left.select("rep", "vector").join(total, "rep"), "left")
+        tables.append(left)
         mean = left.agg(F.avg("chance")).first()[0]
         if mean is None:
             break
         # agreement in one split of the rows that are left, as they had it so far
         agree = max(0.5, (1 - math.exp(mean / first)) ** (1 / max(1, max(wanted_depth.values()))))
-    return reduce(DataFrame.union, found).distinct()
+    out = materialize(reduce(DataFrame.union, found).distinct(), "links")
+    release(*tables)
+    return out
 
 
 def vector_groups(
@@ -221,35 +319,38 @@ def vector_groups(
 
     Defined results: a vector that is null, empty, all zero or holds a null or non-finite
     component, and a row without an id, links with nothing and is its own group (kept, if
-    it has an id); repeated rows are equal vectors; an empty table gives no rows; other
-    columns are not read.
+    it has an id); repeated rows are equal vectors; rows that share an id and differ in their
+    vector are rows of their own, each with its links and the smallest id that it reaches;
+    an empty table gives no rows; other columns are not read. Cosines are of double precision.
     """
-    vector = F.col(vector_col).cast("array<float>")
+    kind = "array<float>" if dict(embeddings.dtypes)[vector_col] == "array<float>" else "array<double>"
+    vector = F.col(vector_col).cast(kind)
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = embeddings.select(
         F.col(id_col).cast("bigint").alias("vec_id"),
         vector.alias("vector"),
         F.coalesce(finite & F.exists(vector, lambda x: x != 0) & F.col(id_col).isNotNull(), F.lit(False)).alias("valid"),
         F.xxhash64(vector).alias("k1"),
-        F.hash(vector).alias("k2"),
+        F.xxhash64(F.lit(1), vector).alias("k2"),
     )
     valid = rows.where("valid")
-    classes = materialize(
-        valid.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector")), "classes"
-    )
-    links = materialize(vector_links(classes.select("rep", "vector"), cosine, passes), "links")
+    counted = valid.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
+    classes = materialize(counted.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    links = vector_links(classes.select("rep", "vector"), cosine, passes)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = classes.select(F.col("rep").alias("b"), "n")
     degree = both.join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     linked = components(links)
     merged = linked.select(F.col("node").alias("rep"), "component")
-    named = materialize(
-        classes.select("k1", "k2", "rep", "n").join(degree, "rep", "left").join(merged, "rep", "left").select(
-            "k1", "k2", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    grouped = materialize(
+        classes.select("k1", "k2", "rep", "least", "n").join(degree, "rep", "left").join(merged, "rep", "left").select(
+            "k1", "k2", "least", F.coalesce("component", "rep").alias("component"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
         ),
-        "named",
+        "grouped",
     )
-    release(classes, links, linked)
-    grouped = valid.select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialize(grouped.join(smallest, "component").select("k1", "k2", "n_links", "component_id"), "named")
+    release(classes, links, linked, grouped)
+    found = valid.select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not valid").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -139,3 +139,55 @@ def test_crowd_that_does_not_link(spark):
     table = spark.createDataFrame(pa.table({"rep": pa.array(np.arange(n)), "vector": vectors})).repartition(4)
     got = {(r["a"], r["b"]) for r in vector_dups.vector_links(table).collect()}
     assert len(true) == 200 and got <= true and len(got) >= 0.97 * len(true)
+
+
+def test_cells_stay_small_whatever_the_depth(spark, monkeypatch):
+    """Thirteen levels, five at a time by medians found in tasks: no cell grows, and no row is lost."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(vector_dups, "SAMPLE_ROWS", 1024)
+    rng = np.random.default_rng(4)
+    n, dim = 40_000, 8
+    x = rng.standard_normal((n, dim)).astype(np.float32)
+    x[: n // 3] = x[0] + 0.01 * rng.standard_normal((n // 3, dim))  # a crowd
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+    table = spark.createDataFrame(pa.table({"rep": pa.array(np.arange(n)), "vector": vectors})).repartition(4)
+    odd = spark.createDataFrame([(n + k, [1.0, float(k)]) for k in range(3)], "rep bigint, vector array<float>")
+    schema = "pass int, dim int, cell bigint, rep bigint, vector array<float>, margins array<float>"
+    coded = table.union(odd).mapInArrow(vector_dups._coded({}, range(2)), schema)
+    deep, on_the_way = vector_dups._split_further(coded, {dim: n, 2: 3}, {}, {dim: 13})
+    deep = deep.select("pass", "dim", "cell", F.size("margins").alias("levels")).cache()
+    sizes = [r["count"] for r in deep.where(f"dim = {dim}").groupBy("pass", "cell").count().collect()]
+    assert sum(sizes) == 2 * n and deep.where("dim = 2").count() == 6 and len(on_the_way) == 3
+    assert max(sizes) < 100 and np.mean(sizes) < 20
+    assert deep.where(f"dim = {dim}").agg(F.max("levels")).first()[0] == 13
+
+
+def test_deep_trees_find_what_shallow_ones_find(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 16))
+    x[1000:1500] = x[:500] + 0.02 * rng.standard_normal((500, 16))
+    table = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(vector_dups, "SAMPLE_ROWS", 64)
+    links = vector_dups.vector_links(table.select(F.col("vec_id").alias("rep"), F.col("embedding").alias("vector")), passes=10, cell=128)
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    assert len(got & {(k, k + 1000) for k in range(500)}) >= 0.97 * 500
+
+
+def test_doubles_and_repeated_ids(spark):
+    schema = "vec_id bigint, embedding array<double>"
+    of = lambda rows: sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_dups.vector_groups(spark.createDataFrame(rows, schema)).collect())
+    assert of([(1, [1e300, 0.0]), (2, [1e300, 1e299]), (3, [0.0, 1e-300])]) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    assert of([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01])]) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    assert of([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [-1.0, 0.0])]) == [(5, 0, 5, True), (5, 0, 5, True), (6, 0, 6, True)]
+
+
+def test_tables_are_released(spark, tmp_path, monkeypatch):
+    """Of what the search wrote only the table that the result reads is left."""
+    import os
+    import uuid
+
+    monkeypatch.setattr("docloom.llm.common.shared_folder", lambda spark: f"{tmp_path}/docloom-{uuid.uuid4().hex}")
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    assert vector_dups.vector_groups(table).count() == table.count()
+    assert [n for d in os.listdir(tmp_path) for n in os.listdir(tmp_path / d)] == ["named"]
