@@ -8,6 +8,7 @@ from docloom.functions.trees import mind_map
 from docloom.functions.values import key_points, tolerant_json
 from docloom.genai.models import embedding, generated
 from docloom.plans.base import query
+from docloom.plans.chunk_sql import CHUNK_SQL
 from docloom.session import read_table
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,13 +126,13 @@ def chunk_overlap(spark, sf_dir):
     return cut.select("doc_id", F.posexplode(overlapped(F.col("c"))).alias("chunk_index", "text"))
 
 
-@query()
+@query(f"WITH RECURSIVE {CHUNK_SQL} SELECT *, ceil(len(text) / 4)::INTEGER AS token_count FROM passages")
 def document_chunks(spark, sf_dir):
-    """Passages of every document; a golden test holds the fold against a model of it."""
+    """Passages of every document."""
     return explode_chunks(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"WITH RECURSIVE {CHUNK_SQL} SELECT document_id, chunk_index, ceil(len(text) / 4)::INTEGER AS token_count, 384 AS dimension FROM passages")
 def chunk_index(spark, sf_dir):
     """The vector index of every document with the offline embedding model."""
     rows = index_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text")
