@@ -6,11 +6,13 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from docloom.functions.text import clean_text, word_count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,35 +120,49 @@ def _column(ref: str) -> int:
     return total - 1
 
 
-def xlsx_rows(content: bytes) -> list[tuple[int, str, int, list[str]]]:
-    """(sheet number, sheet name, row number, cells) of a workbook; gaps are empty cells."""
+def _local(e: ElementTree.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _each(package: zipfile.ZipFile, name: str, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of a tag in a part of a package, one at a time; what has been read is dropped."""
+    with package.open(name) as part:
+        above: list[ElementTree.Element] = []
+        for event, e in ElementTree.iterparse(part, ("start", "end")):
+            if event == "start":
+                above.append(e)
+                continue
+            above.pop()
+            if _local(e) == tag:
+                yield e
+                if above:
+                    above[-1].remove(e)
+
+
+def xlsx_rows(content: bytes) -> Iterator[tuple[int, str, int, list[str]]]:
+    """(sheet number, sheet name, row number, cells) of a workbook, row by row; gaps are empty cells. Shared strings are held, sheets are not."""
     z = zipfile.ZipFile(io.BytesIO(content))
-    local = lambda e: e.tag.rpartition("}")[2]
     names = z.namelist()
-    shared = []
+    shared, titles = [], []
     if "xl/sharedStrings.xml" in names:
-        items = [e for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(e) == "si"]
-        shared = ["".join(t.text or "" for t in i.iter() if local(t) == "t") for i in items]
-    titles = []
+        shared = ["".join(t.text or "" for t in i.iter() if _local(t) == "t") for i in _each(z, "xl/sharedStrings.xml", "si")]
     if "xl/workbook.xml" in names:
-        titles = [e.get("name") or "" for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if local(e) == "sheet"]
-    out = []
+        titles = [e.get("name") or "" for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"]
     for s, name in enumerate(_numbered(names, r"xl/worksheets/sheet(\d+)\.xml")):
         title = titles[s] if s < len(titles) else f"Sheet{s + 1}"
-        for r, row in enumerate(e for e in ElementTree.fromstring(z.read(name)).iter() if local(e) == "row"):
+        for r, row in enumerate(_each(z, name, "row")):
             cells: list[str] = []
-            for cell in (c for c in row if local(c) == "c"):
+            for cell in (c for c in row if _local(c) == "c"):
                 at = _column(cell.get("r") or "")
                 at = len(cells) if at < 0 else at
                 cells += [""] * (at + 1 - len(cells))
-                value = next((v.text or "" for v in cell if local(v) == "v"), "")
+                value = next((v.text or "" for v in cell if _local(v) == "v"), "")
                 if cell.get("t") == "s":
                     value = shared[int(value)] if value.isdigit() and int(value) < len(shared) else ""
                 elif cell.get("t") == "inlineStr":
-                    value = "".join(t.text or "" for t in cell.iter() if local(t) == "t")
+                    value = "".join(t.text or "" for t in cell.iter() if _local(t) == "t")
                 cells[at] = value.replace("_x000D_", "").replace("\r", "").replace("\n", "\\n").strip()
-            out.append((s, title, r, cells))
-    return out
+            yield s, title, r, cells
 
 
 def xlsx_text(content: bytes) -> str:
@@ -157,28 +173,41 @@ def xlsx_text(content: bytes) -> str:
     return "\n\n".join("\n".join(lines) for lines in sheets.values())
 
 
+#: Rows of sheets that leave a task at once.
+SHEET_ROWS = 2000
+_SHEET = [("path", pa.string()), ("sheet_no", pa.int32()), ("sheet", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string()))]
+
+
+def _rows_of(files: DataFrame, read: Callable[[bytes], Iterator[tuple[int, str, int, list[str]]]]) -> DataFrame:
+    """(path, sheet_no, sheet, row_no, cells) of the files of a table: rows leave a task as they are read, a sheet of any length by SHEET_ROWS."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                rows = ((path.as_py(), *r) for r in read(content.as_py() or b""))
+                while part := list(islice(rows, SHEET_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part), _SHEET)], schema=pa.schema(_SHEET))
+
+    return files.select("path", "content").mapInArrow(run, "path string, sheet_no int, sheet string, row_no int, cells array<string>")
+
+
 def workbook_rows(files: DataFrame) -> DataFrame:
-    """(path, sheet_no, sheet, row_no, cells) of all workbooks of a file table."""
+    """(path, sheet_no, sheet, row_no, cells) of all workbooks of a file table, at once or as a stream; a file that is no package has no rows."""
 
-    @F.pandas_udf("array<struct<sheet_no:int,sheet:string,row_no:int,cells:array<string>>>")
-    def rows(contents: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("sheet_no", "sheet", "row_no", "cells"), r)) for r in xlsx_rows(c)] if c else [] for c in contents], dtype=object)
+    def read(content: bytes) -> Iterator[tuple[int, str, int, list[str]]]:
+        return xlsx_rows(content) if zipfile.is_zipfile(io.BytesIO(content)) else iter(())
 
-    return files.select("path", F.inline(rows(F.col("content"))))
+    return _rows_of(files, read)
 
 
 def csv_rows(files: DataFrame, delimiter: str = ",") -> DataFrame:
-    """(path, sheet_no, sheet, row_no, cells) of all CSV files of a file table, as sheets of one name."""
-
-    @F.pandas_udf("array<struct<sheet_no:int,sheet:string,row_no:int,cells:array<string>>>")
-    def rows(contents: pd.Series) -> pd.Series:
-        def read(content: bytes | None) -> list[dict]:
-            lines = csv.reader(io.StringIO((content or b"").decode("utf-8-sig", "replace"), newline=""), delimiter=delimiter)
-            return [{"sheet_no": 0, "sheet": "Sheet1", "row_no": r, "cells": [c.strip() for c in cells]} for r, cells in enumerate(lines)]
+    """(path, sheet_no, sheet, row_no, cells) of all CSV files of a file table, at once or as a stream, as sheets of one name."""
 
-        return pd.Series([read(c) for c in contents], dtype=object)
+    def read(content: bytes) -> Iterator[tuple[int, str, int, list[str]]]:
+        lines = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", "replace", newline=""), delimiter=delimiter)
+        return ((0, "Sheet1", r, [c.strip() for c in cells]) for r, cells in enumerate(lines))
 
-    return files.select("path", F.inline(rows(F.col("content"))))
+    return _rows_of(files, read)
 
 
 def unlike_names(names: Column) -> Column:
