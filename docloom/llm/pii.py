@@ -277,11 +277,25 @@ def _model(kind: str, examples: int, precision: float) -> tuple[BoostedTrees, fl
     return trees, least
 
 
+#: What joins groups of digits to one number, before and behind a span.
+_DIGITS_BEFORE = re.compile(r"[0-9][ .\-/()]?\Z")
+_DIGITS_BEHIND = re.compile(r"[ .\-/()]?[0-9]")
+
+
+def _is_piece(text: str, start: int, end: int) -> bool:
+    """Whether a span of digits is but a piece of a longer run of groups of digits."""
+    return bool(_DIGITS_BEFORE.search(text, max(0, start - 3), start) or _DIGITS_BEHIND.match(text, end))
+
+
 def _candidates(text: str, kind: str) -> list[tuple[int, int]]:
-    """Overlapping proposals of a kind's loose generator: a later one may start inside an earlier one."""
+    """Overlapping proposals of a kind's loose generator: a later one may start inside an earlier one.
+
+    A phone or card number is proposed as a whole only, not a piece of a longer number.
+    """
     found, at, pattern = [], 0, _LOOSE[kind]
     while m := pattern.search(text, at):
-        found.append(m.span())
+        if kind not in ("phone", "card") or not _is_piece(text, *m.span()):
+            found.append(m.span())
         cut = re.compile(r"\W").search(text, m.start() + 1)
         at = max(m.start() + 1, min(m.end(), cut.end() if cut else m.end()))
     return found

@@ -424,6 +424,13 @@ def test_phrase_of_ten_thousand_items(spark):
     assert keys and not set(keys) & set(weight)
 
 
+def test_pieces_of_longer_numbers_are_not_proposed():
+    for text in ("card 4111 1111 1111 1112", "in 2001 2002 2003 2004 2005", "No 4471 2210 9981 2034 7716 5"):
+        assert not any(pii.added_spans(text, pii.base_spans(text)).values()), text
+    text = "Tel. 030 12 34 56 78. 3 people asked."
+    assert pii.added_spans(text, pii.base_spans(text))["phone"] == [(5, 20)]
+
+
 def test_added_spans_in_documents():
     """Forms that the base patterns miss, put into whole documents, against the documents' own numbers."""
     import pyarrow.parquet as pq
