@@ -208,6 +208,26 @@ def test_repeated_bytes(spark, monkeypatch, window, seed, contexts):
     assert rows(byte_dups.remove_repeated_bytes(docs, window=window, seed=seed)) == bytes_brute(plain(docs), window)
 
 
+@pytest.mark.parametrize("contexts", [8192, 1])
+def test_repeated_bytes_of_one_id(spark, monkeypatch, contexts):
+    """Rows that share an id and differ in text: of equal strings those of a greater start go, whatever the rows' order."""
+    monkeypatch.setattr(byte_dups, "SHARD_CONTEXTS", contexts)
+    table = [(d // 3 if d % 7 else None, t) for d, t in passages(20)]
+    first = {}
+    order = lambda doc, k: (doc is not None, doc or 0, k)
+    for doc, text in table:
+        for k in range(len(text.encode()) - 19):
+            window = text.encode()[k : k + 20]
+            first[window] = min(first.get(window, order(doc, k)), order(doc, k))
+    want = []
+    for doc, text in table:
+        data = text.encode()
+        gone = {j for k in range(len(data) - 19) if first[data[k : k + 20]] < order(doc, k) for j in range(k, k + 20)}
+        kept = bytes(b for j, b in enumerate(data) if j not in gone)
+        want.append((doc, len(data), len(gone), sum(j - 1 not in gone for j in gone), hashlib.sha256(kept).hexdigest()))
+    assert rows(byte_dups.remove_repeated_bytes(spark.createDataFrame(table, "doc_id bigint, text string"), window=20, seed=6)) == sorted(want, key=str)
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(120):
