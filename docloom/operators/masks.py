@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Degrees that a slant is looked for among, and by how much columns are finer than rows.
+ANGLES, FINER = range(-20, 21), 50
 #: Shares of an image's area, width and height above which a part looks like a page.
 PAGE_AREA, PAGE_SIDE = 0.08, 0.35
 
@@ -79,3 +84,70 @@ def page_parts(parts: DataFrame, sizes: DataFrame) -> DataFrame:
     best = Window.partitionBy("image").orderBy(F.desc("area"), "part")
     found = parts.join(sizes, "image").where(like).withColumn("rank", F.row_number().over(best)).where("rank = 1")
     return found.drop("rank", "width", "height")
+
+
+def _variances(owner: np.ndarray, mass: np.ndarray, groups: int) -> np.ndarray:
+    """Variance of the positive masses of each group; less than any number for a group without one."""
+    owner, mass = owner[mass > 0], mass[mass > 0]
+    n = np.bincount(owner, minlength=groups)
+    largest = float(n.max(initial=0)) ** 2 * float(mass.max(initial=0)) ** 2
+    total, squares = (np.zeros(groups, np.int64 if largest < 2**62 else object) for _ in range(2))  # whole numbers of any size
+    mass = mass.astype(total.dtype)
+    np.add.at(total, owner, mass)
+    np.add.at(squares, owner, mass * mass)
+    spread = (n.astype(total.dtype) * squares - total * total).astype(float)
+    return np.where(n > 0, spread / np.maximum(n.astype(float) * n, 1), -np.inf)
+
+
+def _angle_rows(turns: list[tuple[float, float]]):
+    """Marks sorted by image; of an image that is not at its end only the masses of its bins are held."""
+    nothing = np.iinfo(np.int64).min  # the bin of marks without a place
+
+    def ended(images, known, scores):
+        found = np.isfinite(scores).any(axis=0)
+        angle = np.array(ANGLES, float)[scores.argmax(axis=0)]
+        return pa.RecordBatch.from_arrays([pa.array(images, mask=~known).filter(pa.array(found)), pa.array(angle[found])], ["image", "angle"])
+
+    def run(batches):
+        image, has, held = None, False, [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(turns)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            value, x, y, v = (pa.compute.fill_null(batch.column(k), 0).to_numpy() for k in range(4))
+            placed = (batch.column(1).is_valid().to_numpy(zero_copy_only=False)) & (batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            begins = np.append(image is None or (value[0], known[0]) != (image, has), (value[1:] != value[:-1]) | (known[1:] != known[:-1]))
+            group = np.cumsum(begins) - (image is None)
+            last, scores = int(group[-1]), []
+            for k, (sine, cosine) in enumerate(turns):
+                place = np.where(placed, np.floor(x * sine / FINER + y * cosine).astype(np.int64), nothing)
+                place, mass = np.append(held[k][0], place), np.append(held[k][1], v)
+                owner = np.append(np.zeros(len(held[k][0]), np.int64), group)
+                order = np.lexsort((place, owner))
+                place, owner = place[order], owner[order]
+                first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])))
+                mass, place, owner = np.add.reduceat(mass[order], first), place[first], owner[first]
+                stays = np.searchsorted(owner, last)
+                held[k] = place[stays:], mass[stays:]
+                scores.append(_variances(owner[:stays], mass[:stays], last))
+            if last:
+                ids, names = (np.append([] if image is None else [own], column[begins]) for own, column in ((image, value), (has, known)))
+                yield ended(ids[:last].astype(np.int64), names[:last].astype(bool), np.array(scores))
+            image, has = value[-1], known[-1]
+        if image is not None:
+            scores = [_variances(np.zeros(len(mass), np.int64), mass, 1) for _, mass in held]
+            yield ended(np.array([image]), np.array([has]), np.array(scores))
+
+    return run
+
+
+def skew_angles(marks: DataFrame) -> DataFrame:
+    """(image, angle) of the marks (image, x, y, v), whole numbers: the slant at which the masses by row vary most, the smallest of equals.
+
+    Columns are FINER times as fine as rows. The marks are shuffled once, by image, and sorted; each angle is tried
+    where they lie, so nothing is written for an angle, and of a large image a task holds its bins and not its marks.
+    Marks without a place are a bin of their own; images without a positive mass have no angle.
+    """
+    turns = [(round(math.sin(math.radians(a)), 6), round(math.cos(math.radians(a)), 6)) for a in ANGLES]
+    clean = marks.select(*[F.col(c).cast("bigint").alias(c) for c in ("image", "x", "y", "v")])
+    return clean.repartition("image").sortWithinPartitions("image").mapInArrow(_angle_rows(turns), "image bigint, angle double")

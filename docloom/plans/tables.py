@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docloom.functions.values import column_role, nearest_rank, to_date_string
 from docloom.operators import masks, series, tabular
+from docloom.operators.masks import skew_angles
 from docloom.plans.base import query
 from docloom.session import read_table
 from pyspark.sql import Window
@@ -180,17 +181,6 @@ def header_roles(spark, sf_dir):
     return read_table(spark, sf_dir, "nation").select("n_name", column_role(header).alias("role"))
 
 
-def skew_angles(p):
-    """(image, angle) of the marks (image, x, y, v) of images, columns being fifty times as fine as rows."""
-    a = p.withColumn("angle", F.explode(F.sequence(F.lit(-20), F.lit(20)))).withColumn("angle", F.col("angle").cast("double"))
-    turn = F.radians("angle")
-    place = F.floor(F.col("x") * F.round(F.sin(turn), 6) / 50 + F.col("y") * F.round(F.cos(turn), 6))
-    mass = a.groupBy("image", "angle", place.alias("bin")).agg(F.sum("v").alias("mass")).where("mass > 0")
-    n, total, squares = F.count(F.lit(1)), F.sum("mass"), F.sum(F.col("mass") * F.col("mass"))
-    score = mass.groupBy("image", "angle").agg(((n * squares - total * total).cast("double") / (n * n)).alias("score"))
-    return score.groupBy("image").agg(F.max_by("angle", F.struct(F.col("score"), -F.col("angle"))).alias("angle"))
-
-
 @query("""
     WITH p AS (SELECT l_orderkey AS image, l_linenumber AS y, l_partkey AS x, (l_quantity * 5)::BIGINT AS v, unnest(range(-20, 21)) AS angle FROM lineitem),
     b AS (SELECT image, angle, floor(x * round(sin(radians(angle)), 6) / 50 + y * round(cos(radians(angle)), 6)) AS bin, sum(v)::BIGINT AS mass FROM p GROUP BY ALL),

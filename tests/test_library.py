@@ -288,5 +288,34 @@ def test_plans(spark):
     assert "embedding" not in plan("lexical_search")
     listed = plan("list_documents_page")
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)" in listed and "text" not in listed.split("ReadSchema: ")[1].split("\n")[0]
+def test_deskew_batches(spark):
+    """Images over several batches, without places, ids or marks, and with sums beyond 64 bits, against plain sums; one shuffle, and no row for an angle."""
+    import math
+    import random
+    from collections import defaultdict
+
+    r = random.Random(3)
+    marks = [(i % 23 or None, r.randrange(4000) or None, r.randrange(60) or None, r.choice([None, 0, 1, 5])) for i in range(3000)]
+    marks += [(50, 1, 1, None), (51, 1, 1, 0), (52, r.randrange(9), 1, 1 << 31)] + [(52, r.randrange(900), r.randrange(9), 1 << 31) for _ in range(9)]
+    want = {}
+    for image in {m[0] for m in marks}:
+        for angle in range(-20, 21):
+            turn, bins = math.radians(angle), defaultdict(int)
+            for _, x, y, v in (m for m in marks if m[0] == image):
+                bins[None if x is None or y is None else math.floor(x * round(math.sin(turn), 6) / 50 + y * round(math.cos(turn), 6))] += v or 0
+            mass = [m for m in bins.values() if m > 0]
+            if mass:
+                score = float(len(mass) * sum(m * m for m in mass) - sum(mass) ** 2) / len(mass) ** 2
+                want[image] = max(want.get(image, (-1.0, 0)), (score, -angle))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        angles = skew_angles(spark.createDataFrame(marks, "image bigint, x bigint, y bigint, v bigint").repartition(3))
+        assert {x["image"]: x["angle"] for x in angles.collect()} == {k: -a for k, (_, a) in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = QUERIES["deskew_angle"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
 
 
