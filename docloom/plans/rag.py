@@ -71,7 +71,7 @@ def post_process(answer: Column, sources: Column) -> Column:
     openings = F.transform(sources, lambda s: regex_escape(F.substring(s, 1, 60)))
     openings = F.filter(openings, lambda e: F.length(e) > 20)
     joined = F.array_join(lines, "\n")
-    cleared = F.aggregate(openings, joined, lambda t, e: F.regexp_replace(t, F.concat(F.lit("(?i)"), e), F.lit("")))
+    cleared = F.aggregate(openings, joined, lambda t, e: F.regexp_replace(t, F.concat(F.lit("(?iu)"), e), F.lit("")))
     return js_trim(F.regexp_replace(cleared, r"\n{3,}", "\n\n"))
 
 

@@ -112,6 +112,8 @@ def test_answers(spark):
     assert one(spark, rag.post_process(F.lit(raw), F.array(F.lit(source)))) == "It ends in May."
     assert "not indexed" in one(spark, rag.canned_answer(F.lit("no_index"), F.lit("en")))
 
+    opening = "Über den Inhalt des Vertrags wird"
+    assert one(spark, rag.post_process(F.lit(f"{opening} nichts gesagt. {opening.lower()} es"), F.array(F.lit(opening)))) == "nichts gesagt.  es"
 
 def test_changes(spark):
     docs = spark.createDataFrame([(1, True, None), (2, True, "bad"), (3, True, None), (4, False, None)], "doc_id bigint, archived boolean, error_message string")
