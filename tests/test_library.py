@@ -85,6 +85,8 @@ def test_values(spark):
     assert one(spark, tolerant_json(F.lit('```json\n{"a": 1}\n```'))) == '{"a": 1}'
     assert one(spark, tolerant_json(F.lit("no json"))) is None
     assert one(spark, key_points(F.lit("nothing"))) == ["nothing"]
+    assert one(spark, key_points(F.lit("47 words in a line\nand another line"))) == ["words in a line", "and another line"]
+    assert [one(spark, tolerant_json(F.lit(x))) for x in ("1, 2", '1, "b": 2', "1] x", "1} x", '12 {"a": 1}', " [1, 2] ")] == [None, None, None, None, '{"a": 1}', "[1, 2]"]
 
 
 def test_tree_is_bounded():
@@ -110,10 +112,10 @@ def test_answers(spark):
     source = "The contract ends on the first of May and is renewed."
     raw = f"noise\n**ANSWER** {source} It ends in May.\nQUESTION: x"
     assert one(spark, rag.post_process(F.lit(raw), F.array(F.lit(source)))) == "It ends in May."
-    assert "not indexed" in one(spark, rag.canned_answer(F.lit("no_index"), F.lit("en")))
-
     opening = "Über den Inhalt des Vertrags wird"
     assert one(spark, rag.post_process(F.lit(f"{opening} nichts gesagt. {opening.lower()} es"), F.array(F.lit(opening)))) == "nichts gesagt.  es"
+    assert "not indexed" in one(spark, rag.canned_answer(F.lit("no_index"), F.lit("en")))
+
 
 def test_changes(spark):
     docs = spark.createDataFrame([(1, True, None), (2, True, "bad"), (3, True, None), (4, False, None)], "doc_id bigint, archived boolean, error_message string")
@@ -271,6 +273,9 @@ def test_models(spark):
     assert v[0] @ v[1] > v[0] @ v[2]
     docs = spark.createDataFrame([(1, "word " * 5000), (2, "short")], "id bigint, text string")
     assert textjobs.map_reduce(docs, "id", "text", "m", "r").count() == 2
+    kept = spark.createDataFrame([(1, "\na\n\nb"), (2, ""), (3, None), (4, "x" * 12000 + "last\n\npart")], "id bigint, text string")
+    got = {r["id"]: (r["short"], r["detailed"]) for r in textjobs.summaries(kept, "id", "text").collect()}
+    assert got == {1: ("\na\n\nb", "\na\n\nb"), 2: ("", ""), 3: (None, None), 4: ("x" * 200, "last\n\npart")}
 
 
 @pytest.mark.parametrize("slant", [-17, -4, 0, 9, 20])
@@ -283,13 +288,6 @@ def test_deskew_model(spark, slant):
     assert abs(skew_angles(pixels).first()["angle"] - slant) <= 1
 
 
-def test_plans(spark):
-    plan = lambda name: QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan("semantic_topk") and "aggregate(" not in plan("knn_multi_query")
-    assert "LeftSemi" in plan("semantic_topk_scoped")
-    assert "embedding" not in plan("lexical_search")
-    listed = plan("list_documents_page")
-    assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)" in listed and "text" not in listed.split("ReadSchema: ")[1].split("\n")[0]
 def test_deskew_batches(spark):
     """Images over several batches, without places, ids or marks, and with sums beyond 64 bits, against plain sums; one shuffle, and no row for an angle."""
     import math
@@ -319,5 +317,12 @@ def test_deskew_batches(spark):
     assert plan.count("Exchange") == 1 and "Generate" not in plan
 
 
+def test_plans(spark):
+    plan = lambda name: QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan("semantic_topk") and "aggregate(" not in plan("knn_multi_query")
+    assert "LeftSemi" in plan("semantic_topk_scoped")
+    assert "embedding" not in plan("lexical_search")
+    listed = plan("list_documents_page")
+    assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)" in listed and "text" not in listed.split("ReadSchema: ")[1].split("\n")[0]
 
 
