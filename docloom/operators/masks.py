@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 ANGLES, FINER = range(-20, 21), 50
 #: Shares of an image's area, width and height above which a part looks like a page.
 PAGE_AREA, PAGE_SIDE = 0.08, 0.35
+_PARTS = "image bigint, part bigint, area bigint, left_x bigint, right_x bigint, top_y bigint, bottom_y bigint"
 
 
 def runs_of(pixels: DataFrame) -> DataFrame:
@@ -50,12 +51,22 @@ def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _part_rows(table: pa.Table) -> pa.Table:
-    y, x0, x1 = (table[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+def merged(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in order by row and column, those of a row that overlap or touch as one; columns begin at 0."""
     order = np.lexsort((x0, y))
     y, x0, x1 = y[order], x0[order], x1[order]
+    span = int(x1.max(initial=0)) + 3
+    apart = (y * span + x0)[1:] > np.maximum.accumulate(y * span + x1)[:-1] + 1
+    first = np.flatnonzero(np.append(True, apart))
+    return y[first], x0[first], np.maximum.reduceat(x1, first)
+
+
+def _part_rows(table: pa.Table) -> pa.Table:
+    y, x0, x1 = (pa.compute.list_flatten(table[c]).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
     y0, left = y.min(), x0.min()
-    part = joined(len(y), *touching(y - y0, x0 - left, x1 - left))
+    y, x0, x1 = merged(y - y0, x0 - left, x1 - left)
+    part = joined(len(y), *touching(y, x0, x1))
+    y, x0, x1 = y + y0, x0 + left, x1 + left
     first, which = np.unique(part, return_inverse=True)
     least = lambda v: np.minimum.reduceat(v[np.argsort(which, kind="stable")], np.searchsorted(np.sort(which), np.arange(len(first))))
     area = np.bincount(which, weights=x1 - x0 + 1).astype(np.int64)
@@ -73,8 +84,38 @@ def parts_of(pixels: DataFrame) -> DataFrame:
     """
     clean = pixels.where("image is not null and x is not null and y is not null")
     clean = clean.select(F.col("image").cast("bigint"), F.col("x").cast("bigint"), F.col("y").cast("bigint"))
-    schema = "image bigint, part bigint, area bigint, left_x bigint, right_x bigint, top_y bigint, bottom_y bigint"
-    return runs_of(clean).groupBy("image").applyInArrow(_part_rows, schema)
+    runs = runs_of(clean).select("image", *[F.array(c).alias(c) for c in ("y", "x0", "x1")])
+    return runs.groupBy("image").applyInArrow(_part_rows, _PARTS)
+
+
+def _grid_runs(batches):
+    """Rows (image, width, lit) as (image, y, x0, x1), a list of runs for each."""
+    for batch in batches:
+        n = batch.num_rows
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(2)), 0).to_numpy()
+        lit = pa.compute.fill_null(batch.column(2).flatten(), False).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        owner = np.repeat(np.arange(n), sizes)
+        at, width = np.arange(len(lit)) - bounds[owner], batch.column(1).to_numpy().astype(np.int64)[owner]
+        y, x = np.divmod(at, width)
+        after = np.append(lit[1:], False)
+        after[bounds[1:][bounds[1:] > 0] - 1] = False
+        begin = np.flatnonzero(lit & ((x == 0) | ~np.append(False, lit[:-1])))
+        end = np.flatnonzero(lit & ((x == width - 1) | ~after))
+        cuts = pa.array(np.searchsorted(begin, bounds).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(v, pa.int64())) for v in (y[begin], x[begin], x[end])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["image", "y", "x0", "x1"])
+
+
+def parts_of_grids(grids: DataFrame) -> DataFrame:
+    """What `parts_of` gives, of images (image, width, lit) whose pixels are one array of booleans, row by row.
+
+    Runs are found where an image lies and shuffled as one row for each, so no row is made for a pixel.
+    Grids of one image lie over each other; null pixels are not set.
+    """
+    rows = grids.where("image is not null and width > 0").select(F.col("image").cast("bigint"), F.col("width").cast("bigint"), "lit")
+    runs = rows.mapInArrow(_grid_runs, "image bigint, y array<bigint>, x0 array<bigint>, x1 array<bigint>").where(F.size("y") > 0)
+    return runs.groupBy("image").applyInArrow(_part_rows, _PARTS)
 
 
 def page_parts(parts: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -254,11 +254,10 @@ def mask_pages(spark, sf_dir):
     """The page-like part of an image for each turn of a conversation: 16 signs in a row, consonants and marks set."""
     turns = read_table(spark, sf_dir, "conversations").where(F.length("text") > 0)
     image = (F.col("conv_id") * 100000 + F.col("turn")).alias("image")
-    signs = turns.select(image, F.posexplode(F.split("text", "")).alias("i", "sign"))
-    lit = signs.where(~F.contains(F.lit("aeiou "), F.lower("sign")))
-    pixels = lit.select("image", (F.col("i") % 16).alias("x"), F.floor(F.col("i") / 16).alias("y"))
+    lit = F.transform(F.split("text", ""), lambda sign: ~F.contains(F.lit("aeiou "), F.lower(sign)))
+    grids = turns.select(image, F.lit(16).alias("width"), lit.alias("lit"))
     sizes = turns.select(image, F.lit(16).alias("width"), F.ceil(F.length("text") / 16).alias("height")).distinct()
-    return masks.page_parts(masks.parts_of(pixels), sizes).select("image", "area", "left_x", "right_x", "top_y", "bottom_y")
+    return masks.page_parts(masks.parts_of_grids(grids), sizes).select("image", "area", "left_x", "right_x", "top_y", "bottom_y")
 
 
 @query("SELECT l_linenumber AS row_y, round(avg((l_quantity > 25)::INT), 6) AS ratio, count(*) AS n FROM lineitem GROUP BY 1")

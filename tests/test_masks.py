@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from docloom.operators.masks import page_parts, parts_of, touching
+from docloom.operators.masks import page_parts, parts_of, parts_of_grids, touching
+from docloom.plans.registry import QUERIES
 
 SCHEMA = "image bigint, x int, y int"
 
@@ -60,3 +61,15 @@ def test_no_pixels(spark):
 def test_touching_is_by_columns():
     y, x0, x1 = np.array([0, 0, 1, 1, 3]), np.array([0, 5, 1, 4, 0]), np.array([2, 9, 3, 5, 9])
     assert sorted(zip(*(v.tolist() for v in touching(y, x0, x1)))) == [(0, 2), (1, 3)]
+
+
+def test_grids(spark):
+    """Arrays of pixels, some of an image twice, with null pixels, short last rows and nothing set; no row is made for a pixel."""
+    rng = np.random.default_rng(8)
+    grids = [(image % 7, 5 + image % 7, [None if v < 0.1 else bool(v < 0.7) for v in rng.random(n)]) for image, n in enumerate([83, 60, 1, 7, 200, 11, 12, 90, 64, 3])]
+    grids += [(20, 4, [False] * 9), (21, 4, []), (22, 4, None), (None, 4, [True])]
+    pixels = sorted({(i, k % w, k // w) for i, w, lit in grids for k, v in enumerate(lit or []) if v and i is not None})
+    rows = spark.createDataFrame(grids, "image bigint, width int, lit array<boolean>").repartition(2)
+    assert sorted(tuple(r) for r in parts_of_grids(rows).collect()) == flooded(pixels)
+    plan = QUERIES["mask_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
