@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a row block and of a query block that are multiplied at once.
 ROW_BLOCK, QUERY_BLOCK = 4096, 256
+#: Bytes of an Arrow batch: a pair of blocks has megabytes, and as many pairs as a batch has rows by default would fill a worker.
+BATCH_BYTES = 4 << 20
 #: Decimal places that scores are compared and returned with.
 PLACES = 6
 
@@ -19,6 +22,14 @@ _BLOCK = [("dim", pa.int32()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(
 BLOCK = "dim int, ids array<bigint>, tags array<bigint>, vectors binary"
 
 
+def few_blocks(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of BATCH_BYTES for the session unless it sets another bound itself."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("67108864b", "-1"):
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def unit_vectors(values: np.ndarray) -> np.ndarray:
     """Rows of length 1; those without a length, or with a part that is no finite number, are zero."""
     largest = np.abs(values).max(axis=1, initial=0.0, keepdims=True)
@@ -108,8 +119,8 @@ def _compare(k: int):
     def run(batches):
         best: dict[bytes, TopK] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                key = bytes(str(row["q_ids"]), "ascii")
+            for row in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
+                key = hashlib.blake2b(np.array(row["q_ids"], np.int64).tobytes() + row["q_vectors"], digest_size=16).digest()
                 if key not in best:
                     best[key] = TopK(row["q_ids"], opened(row, "q_")[3], k)
                 best[key].meet(*opened(row))
@@ -137,7 +148,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, search: Callable = _c
     numbers of components score 0. Rows and queries without an id take no part. Repeated query ids
     share one list. No rows or no queries give no rows.
     """
-    rows = chunks.where("chunk_id is not null")
+    rows = few_blocks(chunks).where("chunk_id is not null")
     tag = F.col("document_id") if "document_id" in chunks.columns else F.lit(None)
     asked = blocks_of(queries.where("query_id is not null"), F.col("query_id"), F.lit(None), F.col("q"), QUERY_BLOCK)
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "vectors")], F.col("tags").alias("q_tags")).hint("rebalance")

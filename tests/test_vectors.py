@@ -143,3 +143,26 @@ def test_two_writers(spark, tmp_path):
     with pytest.raises(versions.Conflict):
         versions.commit(spark, path, {"folders": ["x"]}, 0)
     assert versions.manifest(spark, path) == {"folders": [], "version": 1}
+
+
+def test_batches_of_blocks(spark):
+    """A worker is given a few pairs of blocks at a time, whatever their number, and not as many as a batch has rows."""
+    import pyarrow as pa
+    from docloom.operators import nearest as exact
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    largest = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), *[pa.array([0], pa.int64())] * 2, pa.array([0.0])], ["query_id", "chunk_id", "document_id", "score"]) for b in batches)
+    seen = []
+    try:
+        rows = spark.range(30_000).selectExpr("id AS chunk_id", "id AS document_id", "transform(sequence(1, 64), x -> cast(hash(id, x) AS float)) AS embedding").coalesce(1)
+        queries = rows.where("chunk_id < 3000").selectExpr("chunk_id AS query_id", "embedding AS q")
+        original, exact.ranked = exact.ranked, lambda found, k: seen.append(found) or original(found, k)
+        try:
+            exact.nearest(rows, queries, 5, search=lambda k: largest)
+        finally:
+            exact.ranked = original
+        assert max(r["query_id"] for r in seen[0].collect()) < 4 * exact.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
