@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from math import ceil, sqrt
 
 import numpy as np
@@ -94,7 +95,7 @@ def build_index(chunks: DataFrame, path: str) -> int:
     no task gets more of it than of others. Centres, at most CENTRE_BYTES, go through the driver.
     """
     spark = chunks.sparkSession
-    rows = chunks.select(F.col("chunk_id").cast("bigint"), F.col("document_id").cast("bigint"), "embedding")
+    rows = exact.few_blocks(chunks).select(F.col("chunk_id").cast("bigint"), F.col("document_id").cast("bigint"), "embedding")
     has_length = F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = rows.where(F.coalesce(has_length, F.lit(False)))
     sizes = usable.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
@@ -156,20 +157,20 @@ def _compare(k: int, cells: np.ndarray):
     """Compare each row with the queries that have chosen its cell; rows of NO_CELL with all."""
 
     def run(batches):
-        best: dict[str, tuple[TopK, np.ndarray]] = {}
+        best: dict[bytes, tuple[TopK, np.ndarray]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                key = str(row["q_ids"])
+            for row in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
+                key = hashlib.blake2b(np.array(row["q_ids"], np.int64).tobytes() + row["q_vectors"], digest_size=16).digest()
                 if key not in best:
                     queries = TopK(row["q_ids"], opened(row, "q_")[3], k)
-                    chosen = np.unpackbits(np.frombuffer(row["q_chosen"], np.uint8).reshape(len(queries.ids), -1), axis=1, count=len(cells)).astype(bool)
+                    chosen = np.frombuffer(row["q_chosen"], np.uint8).reshape(len(queries.ids), -1)  # bits, as cells number with the rows
                     best[key] = queries, chosen
                 queries, chosen = best[key]
                 block, of = opened(row), np.array(row["cells"])
                 names, first = np.unique(of, return_index=True)
                 for name, start, stop in zip(names, first, [*first[1:], len(of)]):
                     column = np.searchsorted(cells, name)
-                    asked = np.arange(len(queries.ids)) if name == NO_CELL else np.flatnonzero(chosen[:, column])
+                    asked = np.arange(len(queries.ids)) if name == NO_CELL else np.flatnonzero(chosen[:, column >> 3] & (128 >> (column & 7)))
                     queries.meet(*(x[start:stop] for x in block), asked=asked)
         for kept, _ in best.values():
             yield kept.found()
@@ -205,7 +206,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, chu
     centres = np.array([np.frombuffer(r["centre"]) for r in listed]).reshape(len(cells), -1)
     sizes = np.array([counts.get(c, 0) for c in cells.tolist()], np.int64)
     wanted = max(CANDIDATES * k, LEAST_CANDIDATES, ceil(share * sizes.sum()))
-    asked = exact.blocks_of(queries.where("query_id is not null"), F.col("query_id"), F.lit(None), F.col("q"), exact.QUERY_BLOCK)
+    asked = exact.blocks_of(exact.few_blocks(queries).where("query_id is not null"), F.col("query_id"), F.lit(None), F.col("q"), exact.QUERY_BLOCK)
     asked = asked.mapInArrow(_choose(centres, cells, sizes, wanted), _CHOSEN)
     union = np.zeros(len(cells), bool)
     for bits in _any_of(asked, len(cells)):
