@@ -39,25 +39,18 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     whole-word hits add a little. Queries without a word that counts give nothing.
     """
     rows = chunks.select("chunk_id", searched_text(F.col("name"), F.col("text")).alias("t"))
-    return _word_scores(_spaced_words(rows).crossJoin(_grouped(queries)))
+    return _word_scores(rows.crossJoin(_grouped(queries)))
 
 
 def _grouped(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", lexical_groups(F.col("query")).alias("groups")).where(F.size("groups") > 0)
 
 
-def _spaced_words(rows: DataFrame) -> DataFrame:
-    """Searched texts with their words between two spaces each, so that whole-word hits are counted by length."""
-    return rows.withColumn("words", F.concat(F.lit(" "), F.regexp_replace("t", "[^A-Za-z0-9_]+", "  "), F.lit(" ")))
-
-
 def _word_scores(rows: DataFrame) -> DataFrame:
-    """Scores of searched texts (query_id, chunk_id, t, words, groups) in which any group is found."""
+    """Scores of searched texts (query_id, chunk_id, t, groups) in which any group is found; whole words are counted only in texts that contain them."""
     found = F.filter("groups", lambda g: F.exists(g, lambda a: F.contains(F.col("t"), a)))
-    spaced = lambda a: F.concat(F.lit(" "), a, F.lit(" "))
-    counted = lambda a: ((F.length("words") - F.length(F.replace(F.col("words"), spaced(a), F.lit("")))) / F.length(spaced(a))).cast("int")
     matched = lambda a: F.regexp_count(F.col("t"), F.concat(F.lit(WORD_START), regex_escape(a), F.lit(WORD_END)))
-    hits = lambda g: F.aggregate(g, F.lit(0), lambda n, a: n + F.when(~F.contains(F.col("t"), a), 0).when(a.rlike("^[A-Za-z0-9_]+$"), counted(a)).otherwise(matched(a)))
+    hits = lambda g: F.aggregate(g, F.lit(0), lambda n, a: n + F.when(~F.contains(F.col("t"), a), 0).otherwise(matched(a)))
     bonus = F.aggregate("found", F.lit(0.0), lambda s, g: s + F.least(hits(g), F.lit(3)) * 0.03)
     rows = rows.withColumn("found", found).where(F.size("found") > 0)
     score = F.least(F.lit(0.72), 0.14 + 0.42 * F.size("found") / F.size("groups") + F.least(F.lit(0.18), bonus))
@@ -65,13 +58,18 @@ def _word_scores(rows: DataFrame) -> DataFrame:
 
 
 def indexed_scores(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
-    """What `lexical_scores` gives, from a lexical index: only texts that can contain a word of the query are read and scored."""
+    """What `lexical_scores` gives, from a lexical index: only texts that can contain a word of the query are read and scored.
+
+    Each text is shuffled once, with the numbers of its queries; their words, a stated set that the search gathers anyway, are broadcast.
+    """
     grouped = _grouped(queries)
     words = grouped.select("query_id", F.explode(F.flatten("groups")).alias("word")).distinct()
     pairs, texts = candidates(spark, path, words)
     shelves = [r["shelf"] for r in pairs.select("shelf").distinct().collect()]  # one for each SHELF_ROWS texts at most
-    texts = texts.where(F.col("shelf").isin(shelves))
-    return _word_scores(_spaced_words(pairs.join(texts, ["shelf", "chunk_id"])).join(grouped, "query_id"))
+    asked = pairs.groupBy("shelf", "chunk_id").agg(F.collect_list("query_id").alias("asked"))
+    rows = asked.join(texts.where(F.col("shelf").isin(shelves)), ["shelf", "chunk_id"])
+    each = rows.select("chunk_id", "t", F.explode("asked").alias("query_id"))
+    return _word_scores(each.join(F.broadcast(grouped), "query_id"))
 
 
 def fuse(semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
