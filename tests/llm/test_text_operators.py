@@ -228,6 +228,20 @@ def test_repeated_bytes_of_one_id(spark, monkeypatch, contexts):
     assert rows(byte_dups.remove_repeated_bytes(spark.createDataFrame(table, "doc_id bigint, text string"), window=20, seed=6)) == sorted(want, key=str)
 
 
+def test_wanted_prefixes():
+    """Only neighbours that are both wanted are compared, with the lengths that a comparison of all gives."""
+    rng = np.random.default_rng(5)
+    for n in (2, 9, 400):
+        s = np.append(rng.integers(1, 3, n), 0)
+        text = np.append(s, np.zeros(40, np.int64)).astype(np.uint8)
+        sa = suffix_array(s, 3)
+        wanted = rng.random(len(text)) < 0.5
+        every, some = permuted_prefixes(text, sa, 32), permuted_prefixes(text, sa, 32, wanted)
+        both = np.zeros(len(text), bool)
+        both[sa[1:]] = wanted[sa[1:]] & wanted[sa[:-1]]
+        assert np.array_equal(some, np.where(both, every, 0))
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(120):
