@@ -102,6 +102,20 @@ def subsequence_kernel(a: list[str], b: list[str] | None, order: int = ORDER, de
     return decay**2 * np.einsum("ijr,ijr->r", same, inner[:m, :n], dtype=np.float64)
 
 
+def largest(values: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Largest of values[index], by column, in each of the runs of index that begin at `first`; runs are taken together place by place."""
+    count = np.diff(np.append(first, len(index)))
+    order = np.argsort(-count, kind="stable")
+    start, count = first[order], count[order]
+    best = values[index[start]]
+    for at in range(1, count[0] if len(count) else 0):
+        live = int(np.searchsorted(-count, -at))  # runs of more than `at` rows
+        np.maximum(best[:live], values[index[start[:live] + at]], out=best[:live])
+    out = np.empty_like(best)
+    out[order] = best
+    return out
+
+
 class Landmarks:
     """Normalised kernel between words and landmark words.
 
@@ -149,10 +163,11 @@ class Landmarks:
                 rows = mine[at : at + 2048]
                 part = [words[r] for r in rows.tolist()]
                 codes, weights = self._threes_of(_codes(part))
-                which, three = np.nonzero(self.row[codes])
+                held = self.row[codes]
+                which, three = np.nonzero(held)
                 if not len(which):
                     continue
-                shared = self.weights[self.row[codes[which, three]]] * weights[three, None]
+                shared = self.weights[held[which, three]] * weights[three, None]
                 first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
                 hit = which[first]
                 own = subsequence_kernel([part[h] for h in hit.tolist()], None, ORDER, self.decay)
@@ -163,51 +178,51 @@ class Landmarks:
 class WordScorer:
     """Best landmark values over a text's words, with a memo of recurring tokens.
 
-    The memo has two generations of at most MEMO_WORDS rows: what a group of texts uses is
-    entered in, or moved to, the new one; when that is full it becomes the old one.
+    The memo has two generations of at most MEMO_WORDS tokens: what a group of texts uses is
+    entered in, or moved to, the new one; when that is full it becomes the old one. Tokens of one word share its row of values.
+    Values are short floats from 0 to 1, compared by their bits, whose order is the same.
     """
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
-        self.old: tuple[dict[str, int], np.ndarray] = ({}, self._blank(0))
+        self.old: tuple[dict[str, int], dict[str, int], list[str], np.ndarray] = ({}, {}, [], self._blank(0))
         self.rows: dict[str, int] = {}
+        self.words: dict[str, int] = {}
         self.values = self._blank(0)
 
     def _blank(self, rows: int) -> np.ndarray:
-        return np.zeros((rows, len(self.landmarks.words)), np.float16)
+        return np.zeros((rows, len(self.landmarks.words)), np.uint16)
 
-    def _of_tokens(self, tokens: list[str]) -> np.ndarray:
-        """Values of tokens: the best of each word's parts."""
-        words = [normal_word(t) for t in tokens]
-        distinct = list(dict.fromkeys(words))
-        cut = [parts_of(w) for w in distinct]
+    def _of_words(self, words: list[str]) -> np.ndarray:
+        """Values of different words: the best of each one's parts."""
+        cut = [parts_of(w) for w in words]
         place: dict[str, int] = {}
         index = np.array([place.setdefault(p, len(place)) for parts in cut for p in parts], np.int64)
         first = np.concatenate([[0], np.cumsum([len(parts) for parts in cut])[:-1]])
-        best = np.maximum.reduceat(self.landmarks.similar(list(place))[index], first).astype(np.float16)
-        where = {w: k for k, w in enumerate(distinct)}
-        return best[[where[w] for w in words]]
+        return largest(self.landmarks.similar(list(place)).astype(np.float16).view(np.uint16), index, first)
 
     def _learn(self, tokens: set[str]) -> None:
         """Have all tokens in the new generation."""
         if len(self.rows) > MEMO_WORDS:
-            self.old = (self.rows, self.values[: len(self.rows)].copy())
-            self.rows = {}
-        known, values = self.old
-        missing = tokens.difference(self.rows)
-        kept = list(missing.intersection(known))
-        new = list(missing.difference(kept))
-        need = len(self.rows) + len(kept) + len(new)
+            self.old = (self.rows, self.words, list(self.words), self.values[: len(self.words)].copy())
+            self.rows, self.words = {}, {}
+        known, old_words, named, values = self.old
+        missing = list(tokens.difference(self.rows))
+        words = [named[known[t]] if t in known else normal_word(t) for t in missing]
+        needed = [w for w in dict.fromkeys(words) if w not in self.words]
+        kept, new = [w for w in needed if w in old_words], [w for w in needed if w not in old_words]
+        need = len(self.words) + len(needed)
         if need > len(self.values):
             grown = self._blank(need + need // 2)
-            grown[: len(self.rows)] = self.values[: len(self.rows)]
+            grown[: len(self.words)] = self.values[: len(self.words)]
             self.values = grown
-        for part, of in ((kept, lambda ts: values[[known[t] for t in ts]]), (new, self._of_tokens)):
+        for part, of in ((kept, lambda ws: values[[old_words[w] for w in ws]]), (new, self._of_words)):
             for at in range(0, len(part), 10_000):
                 some = part[at : at + 10_000]
-                start = len(self.rows)
+                start = len(self.words)
                 self.values[start : start + len(some)] = of(some)
-                self.rows.update(zip(some, range(start, start + len(some))))
+                self.words.update(zip(some, range(start, start + len(some))))
+        self.rows.update(zip(missing, map(self.words.__getitem__, words)))
 
     def features(self, texts: list[str]) -> np.ndarray:
         """(text, landmark): the best value of any word in the text."""
@@ -219,7 +234,7 @@ class WordScorer:
                 some = [k for k in range(block.start, block.stop) if found[k]]
                 index = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(found[k] for k in some)), np.int64)
                 sizes = [len(found[k]) for k in some]
-                out[some] = np.maximum.reduceat(self.values[index], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                out[some] = np.maximum.reduceat(self.values[index], np.concatenate([[0], np.cumsum(sizes)[:-1]])).view(np.float16)
         return out
 
 

@@ -604,6 +604,21 @@ def insults(seed, n=400):
     return out
 
 
+def test_tokens_of_one_word(monkeypatch):
+    """Each word is compared once, whatever signs its tokens have, and a memo of any size gives the same values."""
+    texts = ["idiot, you", "an Idiot! here", "id1ot. you?", "", "an (idiot) and an idiom", "here you; are"] * 3
+    marks, cut = toxicity.Landmarks(["^idiot", "here"]), []
+    want = np.concatenate([toxicity.WordScorer(marks).features([t]) for t in texts])
+    for size in (0, 3, 150_000):
+        monkeypatch.setattr(toxicity, "MEMO_WORDS", size)
+        scorer = toxicity.WordScorer(marks)
+        assert np.array_equal(np.concatenate([scorer.features([t]) for t in texts]), want)
+    monkeypatch.setattr(toxicity, "parts_of", lambda w, parts=toxicity.parts_of: cut.append(w) or parts(w))
+    scorer = toxicity.WordScorer(marks)
+    assert np.array_equal(np.concatenate([scorer.features([t]) for t in texts]), want)
+    assert sorted(cut) == ["an", "and", "are", "here", "idiom", "idiot", "you"]
+
+
 def test_toxicity(spark):
     table = insults(1)
     docs = odd_docs(spark, [r[:2] for r in table])
