@@ -13,10 +13,10 @@ from docloom.functions.trees import normalize_tree
 from docloom.plans.tables import skew_angles
 from docloom.functions.values import key_points, to_date_string, to_number, tolerant_json
 from docloom.functions.vectors import cosine
-from docloom.genai.models import Fallback, HashEmbedder
+from docloom.genai.models import Fallback, HashEmbedder, KeySentences
 from docloom.operators import catalog, changes, series, tabular
 from docloom.plans import planner, rag, retrieval, textjobs
-from docloom.plans.registry import QUERIES
+from docloom.plans.registry import ORACLES, QUERIES
 from docloom.sources import files
 
 DATA = "/root/testdata/sf0.001"
@@ -278,6 +278,35 @@ def test_models(spark):
     assert got == {1: ("\na\n\nb", "\na\n\nb"), 2: ("", ""), 3: (None, None), 4: ("x" * 200, "last\n\npart")}
 
 
+def test_summaries_of_whole_texts(spark, tmp_path):
+    """What only the end of a text says is in all its summaries, in one segment and in several; rows that share an id or have none stay apart."""
+    import duckdb
+
+    start = lambda n: "".join(f"first{i} second{i}. " for i in range(n))
+    end = "The end says what the end of the text says"
+    texts = [(1, start(9) + end), (1, start(30) + end), (2, start(2000) + end), (None, start(2000)), (None, end + "\n" + start(900)), (3, " "), (4, ""), (5, None), (6, "x" * 12001)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["summary_jobs"](spark, str(tmp_path))
+    got = [tuple(r) for r in rows.collect()]
+    for k, (_, text) in enumerate(texts):
+        ended = end in (text or "")
+        assert [end in (x or "") for x in (got[k][1], got[k][2], got[k][4])] == [ended] * 3
+    assert [(r[0], r[3]) for r in got] == [(1, 8), (1, 8), (2, 8), (None, 8), (None, 8), (3, 1), (4, 1), (5, 1), (6, 1)]
+    assert got[5:8] == [(3, "", "", 1, ""), (4, "", "", 1, ""), (5, None, None, 1, None)]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(repr, got)) == sorted(map(repr, duck.execute(ORACLES["summary_jobs"]).fetchall()))
+    points = textjobs.summaries(spark.createDataFrame(texts[2:3], "id bigint, text string"), "id", "text", "key_points", textjobs.WEIGHING).first()
+    assert end in points["points"] and points["summary"] is None
+
+
+def test_key_sentences():
+    ask = lambda text, n: KeySentences(n).generate("Tell.\n\n" + text)
+    assert ask("a b. a c! - d\n\n* a b *\n---", 2) == "a b\na c"
+    assert ask("one two. three", 1) == "one two" and ask("one. two", 1) == "one" and ask("... - ?", 1) == ""
+    assert ask("x" * 200 + "y" * 200 + "z", 3) == "\n".join(["x" * 200, "y" * 200, "z"])
+
+
 @pytest.mark.parametrize("slant", [-17, -4, 0, 9, 20])
 def test_deskew_model(spark, slant):
     """Slanted lines of marks are found at their slant."""
